@@ -6,7 +6,7 @@ import importlib
 
 from trackloom.catalog.registry import ENTRIES, Entry
 
-AREAS = ("names",)
+AREAS = ("names", "space")
 
 
 def entries() -> dict[str, Entry]:

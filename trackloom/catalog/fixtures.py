@@ -23,19 +23,20 @@ def _items(rows: list[str]) -> str:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """session, sid, frame, ok"""
+    """session, sid, frame, ok, prio, status"""
     return table(spark, sf, "orders").selectExpr(
         "o_orderkey AS ok",
         "CASE WHEN o_orderkey % 9 < 3 THEN 0 ELSE o_orderkey % 9 - 2 END AS sid",
         "CASE WHEN o_orderkey % 9 < 3 THEN (o_orderkey div 9) * 3 + o_orderkey % 9 ELSE o_orderkey div 9 END AS frame",
-    ).selectExpr("concat('S', sid) AS session", "sid", "frame", "ok")
+        "CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS prio", "o_orderstatus AS status",
+    ).selectExpr("concat('S', sid) AS session", "sid", "frame", "ok", "prio", "status")
 
 
 def points(df: DataFrame, names: list[str]) -> DataFrame:
     """Each frame with every keypoint and its 3-D position."""
     made = _items([f"named_struct('kp', {i}L, 'keypoint', '{n}')" for i, n in enumerate(names)])
     return df.selectExpr("*", f"{made} AS _k").selectExpr(
-        "session", "sid", "frame", "ok", "_k.kp AS kp", "_k.keypoint AS keypoint",
+        "session", "sid", "frame", "ok", "prio", "status", "_k.kp AS kp", "_k.keypoint AS keypoint",
         "abs((7 * frame + 13 * _k.kp + sid) % 40 - 20) / 20D AS X",
         "abs((3 * frame + 29 * _k.kp) % 60 - 30) / 30D AS Y",
         "abs((5 * frame + 11 * _k.kp + 2 * sid) % 48 - 24) / 24D AS Z")
@@ -51,7 +52,7 @@ def seen(spark: SparkSession, sf: str) -> DataFrame:
     made = _items([f"named_struct('vi', {i}L, 'view', '{v}', 'c', {c}D, 'n', {n}D)"
                    for i, (v, (c, n)) in enumerate(zip(VIEWS, TURN))])
     return world(spark, sf).selectExpr("*", f"{made} AS _v").selectExpr(
-        "session", "sid", "frame", "ok", "kp", "keypoint", "X", "Y", "Z", "_v.vi AS vi", "_v.view AS view",
+        "session", "sid", "frame", "ok", "prio", "status", "kp", "keypoint", "X", "Y", "Z", "_v.vi AS vi", "_v.view AS view",
         "400D * (_v.c * X + _v.n * Z) / (-_v.n * X + _v.c * Z + 6D) + 320D AS u",
         "400D * Y / (-_v.n * X + _v.c * Z + 6D) + 240D AS w")
 
@@ -59,7 +60,7 @@ def seen(spark: SparkSession, sf: str) -> DataFrame:
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """model, seed, session, sid, view, vi, frame, ok, kp, keypoint, x, y, likelihood, u, w"""
     return seen(spark, sf).selectExpr("*", "explode(array(0L, 1L, 2L)) AS seed").selectExpr(
-        "'m0' AS model", "seed", "session", "sid", "view", "vi", "frame", "ok", "kp", "keypoint",
+        "'m0' AS model", "seed", "session", "sid", "view", "vi", "frame", "ok", "prio", "status", "kp", "keypoint",
         "u + ((31 * ok + 17 * kp + 11 * vi + 7 * seed) % 97 - 48) / 48D AS x",
         "w + ((13 * ok + 5 * kp + 19 * vi + 23 * seed) % 89 - 44) / 44D AS y",
         "0.02D + 0.98D * ((7 * ok + 3 * kp + 5 * vi + 11 * seed) % 100) / 99D AS likelihood", "u", "w")
@@ -72,24 +73,25 @@ def holes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    """session, sid, view, vi, frame, ok, kp, keypoint, lx, ly, image_path, split, set"""
-    return seen(spark, sf).where("frame % 25 = 0").selectExpr(
-        "session", "sid", "view", "vi", "frame", "ok", "kp", "keypoint", "u AS lx", "w AS ly",
+    """Urgent orders are the labelled frames: session, sid, view, vi, frame, ok, status, kp, keypoint, lx, ly,
+    image_path, split, set"""
+    return seen(spark, sf).where("prio = 1").selectExpr(
+        "session", "sid", "view", "vi", "frame", "ok", "status", "kp", "keypoint", "u AS lx", "w AS ly",
         "concat('labeled-data/', session, '_', view, '/img', format_string('%08d', frame), '.png')"
         " AS image_path",
         "CASE WHEN sid >= 4 THEN 'OOD' ELSE 'InD' END AS split",
-        "CASE WHEN frame % 10 = 0 THEN 'test' WHEN ok % 7 = 0 THEN 'validation' ELSE 'train' END AS set")
+        "CASE status WHEN 'P' THEN 'test' WHEN 'O' THEN 'validation' ELSE 'train' END AS set")
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """session, view, frame, bx, by, bw, bh; one in 97 frames has width zero"""
+    """session, view, frame, box_x, box_y, box_w, box_h; one in 97 frames has width zero"""
     made = _items([f"named_struct('vi', {i}L, 'view', '{v}')" for i, v in enumerate(VIEWS)])
     return frames(spark, sf).selectExpr("*", f"{made} AS _v").selectExpr(
-        "session", "_v.view AS view", "frame",
-        "CAST(100 + (3 * frame + 7 * _v.vi) % 50 AS DOUBLE) AS bx",
-        "CAST(80 + (5 * frame + _v.vi) % 40 AS DOUBLE) AS by",
-        "CAST(CASE WHEN frame % 97 = 0 THEN 0 ELSE 200 + (frame + _v.vi) % 60 END AS DOUBLE) AS bw",
-        "CAST(180 + (2 * frame + _v.vi) % 70 AS DOUBLE) AS bh")
+        "session", "_v.view AS view", "frame", "prio", "status",
+        "CAST(100 + (3 * frame + 7 * _v.vi) % 50 AS DOUBLE) AS box_x",
+        "CAST(80 + (5 * frame + _v.vi) % 40 AS DOUBLE) AS box_y",
+        "CAST(CASE WHEN frame % 97 = 0 THEN 0 ELSE 200 + (frame + _v.vi) % 60 END AS DOUBLE) AS box_w",
+        "CAST(180 + (2 * frame + _v.vi) % 70 AS DOUBLE) AS box_h")
 
 
 def cameras(spark: SparkSession, sf: str, dist: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
@@ -185,36 +187,36 @@ def _target(block: str) -> str:
 _B = "(frame + sid) // 17"
 
 CTES = {
-    "fx_frame": ([], """SELECT 'S' || sid AS session, sid, frame, ok FROM (
+    "fx_frame": ([], """SELECT 'S' || sid AS session, sid, frame, ok, prio, status FROM (
   SELECT o_orderkey AS ok, CASE WHEN o_orderkey % 9 < 3 THEN 0 ELSE o_orderkey % 9 - 2 END AS sid,
-  CASE WHEN o_orderkey % 9 < 3 THEN (o_orderkey // 9) * 3 + o_orderkey % 9 ELSE o_orderkey // 9 END AS frame
-  FROM orders)"""),
+  CASE WHEN o_orderkey % 9 < 3 THEN (o_orderkey // 9) * 3 + o_orderkey % 9 ELSE o_orderkey // 9 END AS frame,
+  CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS prio, o_orderstatus AS status FROM orders)"""),
     "fx_view": ([], _VIEW_ROWS),
     "fx_kp": ([], _KP_ROWS),
     "fx_headkp": ([], _HEAD_ROWS),
-    "fx_world": (["fx_frame", "fx_kp"], f"SELECT session, sid, frame, ok, kp, keypoint, {_XYZ} FROM fx_frame, fx_kp"),
+    "fx_world": (["fx_frame", "fx_kp"], f"SELECT session, sid, frame, ok, prio, status, kp, keypoint, {_XYZ}\n  FROM fx_frame, fx_kp"),
     "fx_seen": (["fx_world", "fx_view"], """SELECT w.*, vi, view,
   400 * (c * X + n * Z) / (-n * X + c * Z + 6) + 320 AS u, 400 * Y / (-n * X + c * Z + 6) + 240 AS w
   FROM fx_world w, fx_view"""),
-    "fx_pred": (["fx_seen"], """SELECT 'm0' AS model, seed, session, sid, view, vi, frame, ok, kp, keypoint,
+    "fx_pred": (["fx_seen"], """SELECT 'm0' AS model, seed, session, sid, view, vi, frame, ok, prio, status, kp, keypoint,
   u + CAST((31*ok + 17*kp + 11*vi + 7*seed) % 97 - 48 AS DOUBLE) / 48 AS x,
   w + CAST((13*ok + 5*kp + 19*vi + 23*seed) % 89 - 44 AS DOUBLE) / 44 AS y,
   CAST(0.02 AS DOUBLE) + CAST(0.98 AS DOUBLE) * ((7*ok + 3*kp + 5*vi + 11*seed) % 100) / 99 AS likelihood, u, w
-  FROM fx_seen, (SELECT unnest([0, 1, 2]) AS seed)"""),
+  FROM fx_seen, (SELECT unnest([0, 1, 2])::BIGINT AS seed)"""),
     "fx_holes": (["fx_pred"], """SELECT * REPLACE (CASE WHEN (ok + kp + vi) % 53 <> 0 THEN x END AS x,
   CASE WHEN (ok + kp + vi) % 53 <> 0 THEN y END AS y) FROM fx_pred"""),
-    "fx_label": (["fx_seen"], """SELECT session, sid, view, vi, frame, ok, kp, keypoint, u AS lx, w AS ly,
+    "fx_label": (["fx_seen"], """SELECT session, sid, view, vi, frame, ok, status, kp, keypoint, u AS lx, w AS ly,
   'labeled-data/' || session || '_' || view || '/img' || printf('%08d', frame) || '.png' AS image_path,
   CASE WHEN sid >= 4 THEN 'OOD' ELSE 'InD' END AS split,
-  CASE WHEN frame % 10 = 0 THEN 'test' WHEN ok % 7 = 0 THEN 'validation' ELSE 'train' END AS set
-  FROM fx_seen WHERE frame % 25 = 0"""),
-    "fx_bbox": (["fx_frame", "fx_view"], """SELECT session, view, frame,
-  CAST(100 + (3*frame + 7*vi) % 50 AS DOUBLE) AS bx, CAST(80 + (5*frame + vi) % 40 AS DOUBLE) AS by,
-  CAST(CASE WHEN frame % 97 = 0 THEN 0 ELSE 200 + (frame + vi) % 60 END AS DOUBLE) AS bw,
-  CAST(180 + (2*frame + vi) % 70 AS DOUBLE) AS bh FROM fx_frame, fx_view"""),
+  CASE status WHEN 'P' THEN 'test' WHEN 'O' THEN 'validation' ELSE 'train' END AS set
+  FROM fx_seen WHERE prio = 1"""),
+    "fx_bbox": (["fx_frame", "fx_view"], """SELECT session, view, frame, prio, status,
+  CAST(100 + (3*frame + 7*vi) % 50 AS DOUBLE) AS box_x, CAST(80 + (5*frame + vi) % 40 AS DOUBLE) AS box_y,
+  CAST(CASE WHEN frame % 97 = 0 THEN 0 ELSE 200 + (frame + vi) % 60 END AS DOUBLE) AS box_w,
+  CAST(180 + (2*frame + vi) % 70 AS DOUBLE) AS box_h FROM fx_frame, fx_view"""),
     "fx_angle": (["fx_frame"], f"""SELECT 'm' || m AS model, m, session, sid, frame,
   {_target(_B)} + CAST(({_target(_B + ' + 1')} - {_target(_B)}) * least((frame + sid) % 17, 3) AS DOUBLE) / 3 AS yaw
-  FROM fx_frame, (SELECT unnest([0, 1, 2]) AS m)"""),
+  FROM fx_frame, (SELECT unnest([0, 1, 2])::BIGINT AS m)"""),
     "fx_head": (["fx_frame", "fx_headkp", "fx_view"], f"""SELECT 'm' || vi AS model, session, sid, frame, kp, keypoint,
   c * X - n * Y AS X, n * X + c * Y AS Y, Z FROM (SELECT *, {_XYZ} FROM fx_frame, fx_headkp), fx_view WHERE vi < 3"""),
     "fx_sweep": ([], """SELECT 'v' || l_linenumber AS view, 'm' || l_returnflag AS model,

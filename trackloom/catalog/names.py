@@ -15,8 +15,9 @@ LONGEST = sorted(VIEWS, key=len, reverse=True)
 def names(spark: SparkSession, sf: str) -> DataFrame:
     """id, view, session, name, path: six naming styles, some with overlapping views, one without any"""
     view = "CASE (o_orderkey div 6) % 5 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(VIEWS)) + " END"
-    return table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{view} AS view").selectExpr(
-        "id", "view",
+    return table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{view} AS view",
+                                                "o_orderstatus AS status").selectExpr(
+        "id", "view", "status",
         "CASE id % 6 WHEN 0 THEN concat('_iblrig.downsampled.u', id)"
         " WHEN 1 THEN concat('05272019_fly', id % 8, '_0_R2C14_str-ccw-0.72_sec')"
         " WHEN 2 THEN concat('PRL43_200617_', id, '.short')"
@@ -33,8 +34,8 @@ def names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _VIEW = "CASE (o_orderkey // 6) % 5 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(VIEWS)) + " END"
-NAMES = f"""WITH b AS (SELECT o_orderkey AS id, {_VIEW} AS view FROM orders),
-s AS (SELECT id, view,
+NAMES = f"""WITH b AS (SELECT o_orderkey AS id, {_VIEW} AS view, o_orderstatus AS status FROM orders),
+s AS (SELECT id, view, status,
  CASE id % 6 WHEN 0 THEN '_iblrig.downsampled.u' || id WHEN 1 THEN '05272019_fly' || (id % 8) || '_0_R2C14_str-ccw-0.72_sec'
  WHEN 2 THEN 'PRL43_200617_' || id || '.short' WHEN 3 THEN '20231031_B' || (id % 9) || '_chew_bl_000_08-38-25'
  WHEN 4 THEN 'CSDS-Day1-A_' || id || '-Defeat' ELSE 'plain_T_' || id END AS session,
@@ -163,14 +164,14 @@ def name_box_file(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("name_calibration", "F12 J11", NAMES + f""", c AS (SELECT id, name, CASE WHEN id % 2 = 0 THEN
  replace({FIRST_OUT}, '.short', '') ELSE {seq_sql('name')} END AS session FROM (SELECT *, {view_case('name')} AS v FROM n)),
-t AS (SELECT DISTINCT replace(session, '.short', '') AS session FROM n WHERE id % 7 <> 0)
+t AS (SELECT DISTINCT replace(session, '.short', '') AS session FROM n WHERE status <> 'P')
 SELECT id, c.session, CASE WHEN t.session IS NOT NULL THEN 'calibrations/' || t.session || '.toml' END AS toml
 FROM c LEFT JOIN t ON c.session = t.session""")
 def name_calibration(spark: SparkSession, sf: str) -> DataFrame:
     from trackloom.operators.joins import calibration_lookup
 
     n = names(spark, sf)
-    available = n.where("id % 7 <> 0").select(F.replace("session", F.lit(".short"), F.lit("")).alias("session")).distinct()
+    available = n.where("status <> 'P'").select(F.replace("session", F.lit(".short"), F.lit("")).alias("session")).distinct()
     available = available.withColumn("toml", F.concat(F.lit("calibrations/"), "session", F.lit(".toml")))
     asked = n.select("id", F.when(F.col("id") % 2 == 0, F.concat("name", F.lit(".csv"))).otherwise(F.col("name"))
                      .alias("name"))

@@ -110,7 +110,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
 
     picked = counts.groupBy(*grouped, "_i").agg(
         F.max("_at").alias("_at"), at(F.floor("_at")).alias("_a"), at(F.ceil("_at")).alias("_b"))
-    found = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
+    found = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between)
     missed = F.raise_error(F.lit("order statistic outside its span")).cast("double")
     found = F.when(F.col("_a").isNull() | F.col("_b").isNull(), missed).otherwise(found)
     picked = picked.select(*grouped, "_i", found.alias("_q"))
