@@ -6,7 +6,7 @@ import importlib
 
 from trackloom.catalog.registry import ENTRIES, Entry
 
-AREAS = ("names", "space")
+AREAS = ("names", "space", "joining", "ensembles", "scoring", "tracks")
 
 
 def entries() -> dict[str, Entry]:

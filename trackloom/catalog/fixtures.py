@@ -171,10 +171,10 @@ def _union(rows: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT {r}" for r in rows)
 
 
-_VIEW_ROWS = _union([f"{i} AS vi, '{v}' AS view, CAST({c} AS DOUBLE) AS c, CAST({n} AS DOUBLE) AS n"
+_VIEW_ROWS = _union([f"CAST({i} AS BIGINT) AS vi, '{v}' AS view, CAST({c} AS DOUBLE) AS c, CAST({n} AS DOUBLE) AS n"
                      for i, (v, (c, n)) in enumerate(zip(VIEWS, TURN))])
-_KP_ROWS = _union([f"{i} AS kp, '{n}' AS keypoint" for i, n in enumerate(KEYPOINTS)])
-_HEAD_ROWS = _union([f"{i} AS kp, '{n}' AS keypoint" for i, n in enumerate(HEAD)])
+_KP_ROWS = _union([f"CAST({i} AS BIGINT) AS kp, '{n}' AS keypoint" for i, n in enumerate(KEYPOINTS)])
+_HEAD_ROWS = _union([f"CAST({i} AS BIGINT) AS kp, '{n}' AS keypoint" for i, n in enumerate(HEAD)])
 _XYZ = """CAST(abs((7*frame + 13*kp + sid) % 40 - 20) AS DOUBLE) / 20 AS X,
   CAST(abs((3*frame + 29*kp) % 60 - 30) AS DOUBLE) / 30 AS Y,
   CAST(abs((5*frame + 11*kp + 2*sid) % 48 - 24) AS DOUBLE) / 24 AS Z"""

@@ -22,9 +22,9 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], *, ahead: bool = False,
                chunk: int = CHUNK) -> DataFrame:
-    """Add ``prev_<v>`` (and ``next_<v>`` when ``ahead``) of the previous and next row of each group.
+    """Add ``prev_<v>`` and ``has_prev`` (and ``next_<v>``, ``has_next`` when ``ahead``) of the adjacent rows.
 
-    ``order`` is a unique non-negative integer inside a group; gaps are allowed. NULL at the ends.
+    ``order`` is a unique non-negative integer inside a group; gaps are allowed. NULL and false at the ends.
     """
     part = [*keys, "_chunk"]
     state = F.struct(F.lit(True).alias("_there"), *[F.col(v) for v in values])
@@ -39,10 +39,10 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[
         out = out.withColumn("_next", F.lead(state).over(inside))
     out = _join(out, edges, part)
     before = F.coalesce("_prev", "_before")
-    added = [before[v].alias(f"prev_{v}") for v in values]
+    added = [before["_there"].isNotNull().alias("has_prev"), *[before[v].alias(f"prev_{v}") for v in values]]
     if ahead:
         after = F.coalesce("_next", "_after")
-        added += [after[v].alias(f"next_{v}") for v in values]
+        added += [after["_there"].isNotNull().alias("has_next"), *[after[v].alias(f"next_{v}") for v in values]]
     return out.select(*df.columns, *added)
 
 
