@@ -50,12 +50,12 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value: Column,
                   chunk: int = CHUNK) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows of the group up to and including this one."""
     part = [*keys, "_chunk"]
-    cut = df.withColumn("_v", value).withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    cut = df.withColumn("_summed", value).withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
     inside = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     between = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_chunk")
-    sums = cut.groupBy(*part).agg(F.sum("_v").alias("_sum"))
+    sums = cut.groupBy(*part).agg(F.sum("_summed").alias("_sum"))
     sums = sums.select(*part, F.sum("_sum").over(between.rowsBetween(Window.unboundedPreceding, -1)).alias("_base"))
-    out = _join(cut.withColumn("_run", F.sum("_v").over(inside)), sums, part)
+    out = _join(cut.withColumn("_run", F.sum("_summed").over(inside)), sums, part)
     zero = F.lit(0)
     return out.select(*df.columns, (F.coalesce("_base", zero) + F.coalesce("_run", zero)).alias(name))
 
