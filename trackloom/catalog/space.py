@@ -15,19 +15,19 @@ from trackloom.schema import rounded
 KEYS = ["session", "view", "frame", "keypoint"]
 
 
-def digest(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+def digest(df: DataFrame, keys: list[str], values: list[str], digits: int = 6) -> DataFrame:
     """count, mean, min and max of each value per group, for results too long to list."""
     made = []
     for v in values:
-        made += [F.count(v).alias(f"{v}_n"), rounded(F.avg(v)).alias(f"{v}_mean"), rounded(F.min(v)).alias(f"{v}_min"),
-                 rounded(F.max(v)).alias(f"{v}_max")]
+        made += [F.count(v).alias(f"{v}_n"), *[rounded(f(v), digits).alias(f"{v}_{n}")
+                                              for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]]
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *made)
 
 
-def digest_sql(source: str, keys: list[str], values: list[str]) -> str:
-    made = ", ".join(f"count({v}) AS {v}_n, round(avg({v}), 6) + 0.0::DOUBLE AS {v}_mean, "
-                     f"round(min({v}), 6) + 0.0::DOUBLE AS {v}_min, round(max({v}), 6) + 0.0::DOUBLE AS {v}_max"
-                     for v in values)
+def digest_sql(source: str, keys: list[str], values: list[str], digits: int = 6) -> str:
+    made = ", ".join(f"count({v}) AS {v}_n, round(avg({v}), {digits}) + 0.0::DOUBLE AS {v}_mean, "
+                     f"round(min({v}), {digits}) + 0.0::DOUBLE AS {v}_min, "
+                     f"round(max({v}), {digits}) + 0.0::DOUBLE AS {v}_max" for v in values)
     k = ", ".join(keys)
     return f"SELECT {k}, count(*) AS n, {made} FROM {source} GROUP BY {k}"
 
