@@ -6,7 +6,7 @@ import importlib
 
 from trackloom.catalog.registry import ENTRIES, Entry
 
-AREAS = ("names", "space", "joining", "ensembles", "scoring", "tracks", "behaviour", "geometry")
+AREAS = ("names", "space", "joining", "ensembles", "scoring", "tracks", "behaviour", "geometry", "latent")
 
 
 def entries() -> dict[str, Entry]:
