@@ -6,7 +6,8 @@ import importlib
 
 from trackloom.catalog.registry import ENTRIES, Entry
 
-AREAS = ("names", "space", "joining", "ensembles", "scoring", "tracks", "behaviour", "geometry", "latent")
+AREAS = ("names", "space", "joining", "ensembles", "scoring", "tracks", "behaviour", "geometry", "latent",
+         "clusters", "selection")
 
 
 def entries() -> dict[str, Entry]:
