@@ -64,15 +64,15 @@ def train_limited_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PSEUDO = """ex AS (SELECT session, view, frame, keypoint, lx AS x, 'existing' AS origin FROM fx_label WHERE status <> 'P'),
-ps AS (SELECT session, view, frame, keypoint, x + 1 AS x, 'pseudo' AS origin FROM fx_pred WHERE seed = 0 AND prio <= 2)"""
+ps AS (SELECT session, view, frame, keypoint, avg(x) AS x, 'pseudo' AS origin FROM fx_pred WHERE prio <= 2 GROUP BY 1, 2, 3, 4)"""
 
 
 def existing_and_pseudo(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Labels of settled orders, and the first model's predictions of urgent and high-priority orders; the session
-    names of the latter carry a suffix."""
+    """Labels of settled orders, and the seed means of urgent and high-priority orders; the session names of the
+    latter carry a suffix."""
     ex = X.labels(spark, sf).where("status <> 'P'").select(*KEYS, F.col("lx").alias("x"), F.lit("existing").alias("origin"))
-    ps = X.predictions(spark, sf).where("seed = 0 AND prio <= 2").select(
-        F.concat("session", F.lit(".short")).alias("session"), "view", "frame", "keypoint", (F.col("x") + 1).alias("x"),
+    ps = X.predictions(spark, sf).where("prio <= 2").groupBy(*KEYS).agg(F.avg("x").alias("x")).select(
+        F.concat("session", F.lit(".short")).alias("session"), "view", "frame", "keypoint", "x",
         F.lit("pseudo").alias("origin"))
     return ex, ps
 
