@@ -7,7 +7,7 @@ import importlib
 from trackloom.catalog.registry import ENTRIES, Entry
 
 AREAS = ("names", "space", "joining", "ensembles", "scoring", "tracks", "behaviour", "geometry", "latent",
-         "clusters", "selection", "tables", "files")
+         "clusters", "selection", "tables", "files", "whole")
 
 
 def entries() -> dict[str, Entry]:

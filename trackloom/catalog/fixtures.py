@@ -136,7 +136,8 @@ def values(spark: SparkSession, sf: str) -> DataFrame:
     """session, sid, keypoint, axis, value from ``orders``"""
     return frames(spark, sf).join(
         table(spark, sf, "orders").selectExpr("o_orderkey AS ok", "o_totalprice AS value"), "ok").selectExpr(
-        "concat('bird.', session, 'abcdefgh') AS session", "'nose' AS keypoint", "'x' AS axis",
+        "concat('bird.', session, 'abcdefgh') AS session",
+        "CASE status WHEN 'P' THEN 'nose' ELSE 'pawL' END AS keypoint", "CASE WHEN prio <= 2 THEN 'x' ELSE 'y' END AS axis",
         "value * (1D + sid / 10D) AS value")
 
 
@@ -222,7 +223,8 @@ CTES = {
     "fx_sweep": ([], """SELECT 'v' || l_linenumber AS view, 'm' || l_returnflag AS model,
   'k' || (l_suppkey % 5) AS keypoint, abs(l_extendedprice - 30000) / 5000 AS ens_std, l_quantity AS error
   FROM lineitem"""),
-    "fx_value": (["fx_frame"], """SELECT 'bird.' || session || 'abcdefgh' AS session, 'nose' AS keypoint, 'x' AS axis,
+    "fx_value": (["fx_frame"], """SELECT 'bird.' || session || 'abcdefgh' AS session,
+  CASE status WHEN 'P' THEN 'nose' ELSE 'pawL' END AS keypoint, CASE WHEN prio <= 2 THEN 'x' ELSE 'y' END AS axis,
   o_totalprice * (CAST(1 AS DOUBLE) + CAST(sid AS DOUBLE) / 10) AS value
   FROM fx_frame JOIN orders ON o_orderkey = ok"""),
     "fx_feature": ([], "SELECT 'm' || (vec_id % 2) AS model, 'S' || (vec_id % 5) AS session, vec_id AS frame,\n"

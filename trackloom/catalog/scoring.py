@@ -120,20 +120,20 @@ def session_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return r(V.session_statistics(long), "min", "max", "mean", "std", "range")
 
 
-_KS = """st AS (SELECT session, count(value) AS n, avg(value) AS mean, min(value) AS lo, max(value) AS hi FROM fx_value
- GROUP BY 1 HAVING count(value) >= 100),
-pr AS (SELECT a.session AS s1, b.session AS s2, a.n AS n1, b.n AS n2, abs(a.mean - b.mean) AS mean_diff,
+_KS = """st AS (SELECT session, keypoint, axis, count(value) AS n, avg(value) AS mean, min(value) AS lo, max(value) AS hi FROM fx_value
+ GROUP BY 1, 2, 3 HAVING count(value) >= 100),
+pr AS (SELECT a.keypoint, a.axis, a.session AS s1, b.session AS s2, a.n AS n1, b.n AS n2, abs(a.mean - b.mean) AS mean_diff,
  greatest(least(a.hi, b.hi) - greatest(a.lo, b.lo), 0) AS ov, greatest(a.hi, b.hi) - least(a.lo, b.lo) AS tot
- FROM st a JOIN st b ON a.session < b.session),
-vv AS (SELECT pr.s1, pr.s2, pr.n1, pr.n2, round(value, 9) AS v, session = pr.s1 AS first FROM pr JOIN fx_value
- ON session = pr.s1 OR session = pr.s2),
-cu AS (SELECT s1, s2, abs(CAST(count_if(first) OVER w AS DOUBLE) / n1 - CAST(count_if(NOT first) OVER w AS DOUBLE) / n2) AS d
- FROM vv WINDOW w AS (PARTITION BY s1, s2 ORDER BY v RANGE UNBOUNDED PRECEDING)),
-ks AS (SELECT s1, s2, max(d) AS ks FROM cu GROUP BY 1, 2),
-sd AS (SELECT 'nose' AS keypoint, 'x' AS axis, s1 AS session1, s2 AS session2, ks, mean_diff,
+ FROM st a JOIN st b ON a.keypoint = b.keypoint AND a.axis = b.axis AND a.session < b.session),
+vv AS (SELECT pr.keypoint, pr.axis, pr.s1, pr.s2, pr.n1, pr.n2, round(value, 9) AS v, session = pr.s1 AS first FROM pr JOIN fx_value f
+ ON f.keypoint = pr.keypoint AND f.axis = pr.axis AND (session = pr.s1 OR session = pr.s2)),
+cu AS (SELECT keypoint, axis, s1, s2, abs(CAST(count_if(first) OVER w AS DOUBLE) / n1 - CAST(count_if(NOT first) OVER w AS DOUBLE) / n2) AS d
+ FROM vv WINDOW w AS (PARTITION BY keypoint, axis, s1, s2 ORDER BY v RANGE UNBOUNDED PRECEDING)),
+ks AS (SELECT keypoint, axis, s1, s2, max(d) AS ks FROM cu GROUP BY 1, 2, 3, 4),
+sd AS (SELECT keypoint, axis, s1 AS session1, s2 AS session2, ks, mean_diff,
  CASE WHEN tot > 0 THEN 100 * ov / tot ELSE 0 END AS overlap_pct,
  least(greatest(2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END *
-  exp(-2.0::DOUBLE * k * k * ks * ks * n1 * n2 / (n1 + n2)))), 0), 1) AS p_value FROM ks JOIN pr USING (s1, s2))"""
+  exp(-2.0::DOUBLE * k * k * ks * ks * n1 * n2 / (n1 + n2)))), 0), 1) AS p_value FROM ks JOIN pr USING (keypoint, axis, s1, s2))"""
 
 
 @register("session_difference", "A13 J9", with_tables("fx_value", _KS + """
@@ -143,13 +143,14 @@ def session_difference(spark: SparkSession, sf: str) -> DataFrame:
     return r(V.session_difference(X.values(spark, sf), SESSIONS), "ks", "p_value", "mean_diff", "overlap_pct")
 
 
-@register("session_pairs", "J9", with_tables("fx_value", """st AS (SELECT session, count(value) AS n, avg(value) AS mean FROM fx_value
- GROUP BY 1 HAVING count(value) >= 100)
-SELECT a.session AS session1, b.session AS session2, a.n AS n_valid1, b.n AS n_valid2,
- round(a.mean - b.mean, 6) AS diff FROM st a JOIN st b ON a.session < b.session"""))
+@register("session_pairs", "J9", with_tables("fx_value", """st AS (SELECT session, keypoint, axis, count(value) AS n, avg(value) AS mean FROM fx_value
+ GROUP BY 1, 2, 3 HAVING count(value) >= 100)
+SELECT a.keypoint, a.axis, a.session AS session1, b.session AS session2, a.n AS n_valid1, b.n AS n_valid2,
+ round(a.mean - b.mean, 6) AS diff FROM st a JOIN st b ON a.keypoint = b.keypoint AND a.axis = b.axis AND a.session < b.session"""))
 def session_pairs(spark: SparkSession, sf: str) -> DataFrame:
     pairs = V.session_pairs(V.session_statistics(X.values(spark, sf)), SESSIONS)
-    return pairs.select("session1", "session2", "n_valid1", "n_valid2", rounded(F.col("mean1") - F.col("mean2")).alias("diff"))
+    return pairs.select("keypoint", "axis", "session1", "session2", "n_valid1", "n_valid2",
+                        rounded(F.col("mean1") - F.col("mean2")).alias("diff"))
 
 
 @register("consistency_verdict", "A14", with_tables("fx_value", _KS + """
@@ -160,17 +161,23 @@ def consistency_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return r(V.consistency_verdict(V.session_difference(X.values(spark, sf), SESSIONS)), "mean_ks", "mean_overlap")
 
 
+@register("axis_consistency", "A14", with_tables("fx_value", _KS + """
+SELECT axis, round(avg(ks), 6) AS mean_ks, round(avg(overlap_pct), 6) AS mean_overlap FROM sd GROUP BY 1"""))
+def axis_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    return r(V.axis_consistency(V.session_difference(X.values(spark, sf), SESSIONS)), "mean_ks", "mean_overlap")
+
+
 @register("most_different_sessions", "A14", with_tables("fx_value", _KS + """
-SELECT session1, session2, round(ks, 6) AS ks FROM sd WHERE ks > 0.3
-ORDER BY round(ks, 9) DESC, session1, session2 LIMIT 5"""))
+SELECT session1, session2, keypoint, axis, round(ks, 6) AS ks FROM sd WHERE ks > 0.3
+ORDER BY round(ks, 9) DESC, session1, session2, keypoint, axis LIMIT 5"""))
 def most_different_sessions(spark: SparkSession, sf: str) -> DataFrame:
     top = V.most_different(V.session_difference(X.values(spark, sf), SESSIONS))
-    return r(top.select("session1", "session2", "ks"), "ks")
+    return r(top.select("session1", "session2", "keypoint", "axis", "ks"), "ks")
 
 
-@register("range_ratio", "A14", with_tables("fx_value", """st AS (SELECT session, max(value) - min(value) AS rg FROM fx_value GROUP BY 1)
-SELECT 'nose' AS keypoint, 'x' AS axis, round(min(rg), 6) AS min_range, round(max(rg), 6) AS max_range,
- round(max(rg) / min(rg), 6) AS ratio FROM st"""))
+@register("range_ratio", "A14", with_tables("fx_value", """st AS (SELECT session, keypoint, axis, max(value) - min(value) AS rg FROM fx_value GROUP BY 1, 2, 3)
+SELECT keypoint, axis, round(min(rg), 6) AS min_range, round(max(rg), 6) AS max_range,
+ round(max(rg) / min(rg), 6) AS ratio FROM st GROUP BY 1, 2"""))
 def range_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return r(V.range_ratio(V.session_statistics(X.values(spark, sf))), "min_range", "max_range", "ratio")
 

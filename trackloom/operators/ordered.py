@@ -20,6 +20,13 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     return left.join(right, list(keys), how)
 
 
+def _attached(df: DataFrame, one_per_group: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """``df`` with ``column`` of its group's row; without keys the single row is a scalar subquery, not a join."""
+    if keys:
+        return _join(df, one_per_group, keys)
+    return df.withColumn(column, one_per_group.select(column).scalar())
+
+
 def neighbours(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], *, ahead: bool = False,
                chunk: int = CHUNK) -> DataFrame:
     """Add ``prev_<v>`` and ``has_prev`` (and ``next_<v>``, ``has_next`` when ``ahead``) of the adjacent rows.
@@ -73,16 +80,12 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
     the sorted values, and ``p`` is that place as a share of the group, within one row. Groups above ``ACCURACY`` rows
     are narrowed to the values between two approximate quantiles; rows below only add to a count.
     """
-    names = list(wanted)
+    names, keys = list(wanted), list(keys)
     margin = 4.0 / ACCURACY
-    keys = list(keys)
-    grouped = keys or ["_all"]
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    if not keys:
-        src = src.withColumn("_all", F.lit(0))
     low = F.array(*[F.lit(max(0.0, wanted[n][0] - margin)) for n in names])
     high = F.array(*[F.lit(min(1.0, wanted[n][0] + margin)) for n in names])
-    stats = src.groupBy(*grouped).agg(
+    stats = src.groupBy(*keys).agg(
         F.count("_v").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", low, ACCURACY).alias("_lo"), F.percentile_approx("_v", high, ACCURACY).alias("_hi"))
     spans = F.array(*[
@@ -94,30 +97,30 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
             .otherwise(F.col("_hi")[i]).alias("hi"),
             wanted[n][1](F.col("n")).cast("double").alias("at"))
         for i, n in enumerate(names)])
-    stats = stats.select(*grouped, "n", spans.alias("_spans"))
+    stats = stats.where("n > 0").select(*keys, F.struct("n", spans.alias("spans")).alias("_stats"))
     # One pass: values under the span of a statistic collapse into one NULL entry that carries their count.
-    hits = _join(src, stats.select(*grouped, "_spans"), grouped).select(
-        *grouped, "_v", F.explode(F.filter("_spans", lambda s: F.col("_v") <= s["hi"])).alias("_s"))
-    hits = hits.select(*grouped, F.col("_s.i").alias("_i"), F.col("_s.at").alias("_at"),
+    hits = _attached(src, stats, keys, "_stats").select(
+        *keys, "_v", F.explode(F.filter("_stats.spans", lambda s: F.col("_v") <= s["hi"])).alias("_s"))
+    hits = hits.select(*keys, F.col("_s.i").alias("_i"), F.col("_s.at").alias("_at"),
                        F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v")).alias("_v"))
-    counts = hits.groupBy(*grouped, "_i", "_at", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*grouped, "_i").orderBy(F.col("_v").asc_nulls_first())
+    counts = hits.groupBy(*keys, "_i", "_at", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
     counts = counts.withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def at(rank: Column) -> Column:
         inside = (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
         return F.max(F.when(inside, F.col("_v")))
 
-    picked = counts.groupBy(*grouped, "_i").agg(
+    picked = counts.groupBy(*keys, "_i").agg(
         F.max("_at").alias("_at"), at(F.floor("_at")).alias("_a"), at(F.ceil("_at")).alias("_b"))
     between = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
     found = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between)
     missed = F.raise_error(F.lit("order statistic outside its span")).cast("double")
     found = F.when(F.col("_a").isNull() | F.col("_b").isNull(), missed).otherwise(found)
-    picked = picked.select(*grouped, "_i", found.alias("_q"))
-    wide = picked.groupBy(*grouped).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n)
-                                         for i, n in enumerate(names)])
-    return _join(stats.select(*grouped, "n"), wide, grouped).select(*keys, "n", *names)
+    picked = picked.select(*keys, "_i", found.alias("_q"))
+    wide = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n)
+                                       for i, n in enumerate(names)])
+    return _attached(wide, stats, keys, "_stats").select(*keys, F.col("_stats.n").alias("n"), *names)
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom.operators.ordered import first_n, order_statistics, row_index
 from trackloom.schema import cols
+from trackloom.session import materialised
 
 
 def select_coords(pred: DataFrame, coords: Sequence[str], keypoints: Sequence[str] | None = None,
@@ -149,30 +150,35 @@ def top_low_variance(scores: DataFrame, frames_per_video: int, min_frames: int)
 
 
 def remove_worst_share(scores: DataFrame, share: float) -> DataFrame:
-    """Without the round-half-even(n * share) frames of the highest score over all sessions.
+    """(session, frame, score) without the round-half-even(n * share) frames of the highest score over all sessions.
 
-    Unknown scores count towards n and go last; ties go in the order of (session, frame). Only the cut-off value is
-    looked up; the rows are filtered, not sorted.
+    Unknown scores count towards n and go last; without any known score all frames stay. Ties go in the order of
+    (session, frame). Only the cut-off value is looked up, then rows are filtered; nothing is sorted as a whole. The
+    scores are written to the shared folder first, as they are read several times.
     """
-    low = float("-inf")
-    known = scores.withColumn("_s", F.coalesce(F.round("score", 9), F.lit(low)))
-    n = known.agg(F.count(F.lit(1)).alias("n")).scalar()
-    drop = F.bround(n * F.lit(share), 0).cast("bigint")
-
-    def cut(count: Column) -> Column:
-        return F.greatest(count - F.greatest(F.bround(count * F.lit(share), 0), F.lit(1)), F.lit(0))
-
-    value = order_statistics(known, [], "_s", {"_cut": (1.0 - share, cut)}).select("_cut").scalar()
-    above = known.where(F.col("_s") > value).agg(F.count(F.lit(1)).alias("n")).scalar()
-    ties = known.where(F.col("_s") == value)
-    per = ties.groupBy("session").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(F.lit(0)).orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("session", (drop - above - F.coalesce(F.sum("_c").over(before), F.lit(0))).alias("_take"))
-    out = row_index(ties.select("session", "frame"), ["session"], "frame", "_rn").join(per, "session")
-    out = out.where(F.col("_rn") <= F.col("_take")).select("session", "frame")
-    gone = known.where((F.col("_s") > value) & (drop > 0)).select("session", "frame").unionByName(out)
-    has_known = scores.agg((F.count("score") > 0).alias("k")).scalar()
-    return scores.join(gone.where(has_known), ["session", "frame"], "left_anti")
+    known = scores.select("session", "frame", "score", F.coalesce(F.round("score", 9), F.lit(float("-inf"))).alias("_s"))
+    known = materialised(known, "scores")
+
+    def dropped(n: Column) -> Column:
+        return F.bround(n * F.lit(share), 0).cast("bigint")
+
+    def cut(n: Column) -> Column:
+        return F.greatest(n - F.greatest(dropped(n), F.lit(1)), F.lit(0))
+
+    limit = order_statistics(known, [], "_s", {"cut": (1.0 - share, cut)})
+    whole = known.agg(F.count("score").alias("k")).scalar()
+    rows = known.withColumn("_q", limit.select(F.struct("n", "cut")).scalar()).withColumn("_k", whole)
+    rows = rows.withColumn("_drop", F.when(F.col("_k") == 0, F.lit(0)).otherwise(dropped(F.col("_q.n"))))
+    clear = rows.where((F.col("_drop") == 0) | (F.col("_s") < F.col("_q.cut")))
+    ties = rows.where((F.col("_drop") > 0) & (F.col("_s") == F.col("_q.cut")))
+    per = rows.groupBy("session", "_drop").agg(F.count_if(F.col("_s") > F.col("_q.cut")).alias("_above"),
+                                               F.count_if(F.col("_s") == F.col("_q.cut")).alias("_ties"))
+    one = Window.partitionBy(F.lit(0))
+    before = F.sum("_ties").over(one.orderBy("session").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("session", (F.col("_drop") - F.sum("_above").over(one) - F.coalesce(before, F.lit(0))).alias("_take"))
+    late = row_index(ties.select("session", "frame", "score"), ["session"], "frame", "_rn").join(per, "session")
+    keep = ["session", "frame", "score"]
+    return clear.select(*keep).unionByName(late.where(F.col("_rn") > F.col("_take")).select(*keep))
 
 
 def worst_frames(scores: DataFrame, n: int) -> DataFrame:
