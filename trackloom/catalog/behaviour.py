@@ -10,6 +10,7 @@ from trackloom.catalog.registry import register
 from trackloom.catalog.scoring import r
 from trackloom.catalog.tracks import GRADIENT
 from trackloom.operators import behaviour as B
+from trackloom.session import materialised
 
 DT = 1 / 200
 WRAP = "(({0}) + 180 - 360 * floor((({0}) + 180) / 360) - 180)"
@@ -117,14 +118,14 @@ ev AS (SELECT m3.model, m3.session, onset, offset_ AS "offset", any_value(la.aft
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return B.detect_saccades(X.angles(spark, sf), DT)
+    return materialised(B.detect_saccades(X.angles(spark, sf), DT), "saccades")
 
 
 @register("detect_saccades", "W7", with_tables("fx_angle", EVENTS + """
 SELECT model, session, onset, "offset", round(amplitude_deg, 6) + 0.0::DOUBLE AS amplitude_deg,
  round(abs(peak), 6) AS peak_speed, duration_ms, CASE WHEN peak > 0 THEN 'CW' ELSE 'CCW' END AS direction FROM ev"""))
 def detect_saccades(spark: SparkSession, sf: str) -> DataFrame:
-    out = events(spark, sf).withColumn("peak_speed", F.abs("peak_velocity_deg_s")).drop("peak_velocity_deg_s")
+    out = B.detect_saccades(X.angles(spark, sf), DT).withColumn("peak_speed", F.abs("peak_velocity_deg_s")).drop("peak_velocity_deg_s")
     return r(out, "amplitude_deg", "peak_speed", "duration_ms")
 
 

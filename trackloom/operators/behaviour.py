@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trackloom.operators.joins import event_windows, near
 from trackloom.operators.ordered import neighbours, percentiles, running_total
 from trackloom.operators.tracks import gradient, pivot_points, velocity
+from trackloom.session import materialised
 
 # Names and order of the eleven pose features.
 FEATURES = ("pawL_vx", "pawL_vy", "pawL_vz", "pawR_vx", "pawR_vy", "pawR_vz", "pawL_speed", "pawR_speed",
@@ -218,14 +219,15 @@ def detect_saccades(traces: DataFrame, dt: float, threshold: float = 500, min_ms
 
     Runs no more than ``merge_ms`` apart are joined, runs shorter than ``min_ms`` dropped. onset and offset are frames
     (offset is the first frame after the run); amplitude is the angle there minus the angle at the onset; the direction
-    is CW for a positive peak velocity.
+    is CW for a positive peak velocity. The fast frames, a small part of the trace, are written to the shared folder.
     """
     min_frames = max(1, round(min_ms / 1000 / dt))
     merge_frames = max(0, round(merge_ms / 1000 / dt))
     keys = list(keys)
     fast = gradient(traces, keys, value, dt, "_v", keep_next=True)
-    fast = fast.where(F.round(F.abs("_v"), 9) >= threshold).withColumn("_f", F.col("frame"))
-    fast = neighbours(fast.select(*keys, "frame", "_f", "_v", value, f"after_{value}"), keys, "frame", ["_f"])
+    fast = fast.where(F.round(F.abs("_v"), 9) >= threshold).select(
+        *keys, "frame", F.col("frame").alias("_f"), "_v", value, f"after_{value}")
+    fast = neighbours(materialised(fast, "fast"), keys, "frame", ["_f"])
     starts = (~F.col("has_prev") | (F.col("frame") - F.col("prev__f") - 1 > merge_frames)).cast("bigint")
     runs = running_total(fast, keys, "frame", starts, "run")
     first, last = F.min("frame"), F.max("frame")

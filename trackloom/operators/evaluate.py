@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom.operators.joins import labels_with_predictions
-from trackloom.operators.ordered import cumulative_counts, percentiles, strict_rank_share
+from trackloom.operators.ordered import cumulative_counts, percentiles, strict_rank_shares
+from trackloom.session import materialised
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 ERROR_PROBS = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
@@ -26,11 +27,16 @@ def pixel_error(labels: DataFrame, pred: DataFrame, keys: Sequence[str] = ("sess
 
 def error_table(errors: DataFrame, stds: DataFrame) -> DataFrame:
     """Per model, view, frame and keypoint: error, ens_std, and the share of smaller ens_std in the view and in the
-    view and keypoint. Deviations are ranked at nine digits."""
-    ranked = stds.withColumn("_k", F.round("ens_std", 9))
-    ranked = strict_rank_share(ranked, ["view"], "_k", "std_rank")
-    ranked = strict_rank_share(ranked, ["view", "keypoint"], "_k", "std_rank_keypoint").drop("_k")
-    return errors.join(ranked, ["session", "view", "frame", "keypoint"])
+    view and keypoint. Deviations are ranked at nine digits.
+
+    The deviations are written to the shared folder once, as both ranks and the result read them.
+    """
+    key = ["session", "view", "frame", "keypoint"]
+    base = materialised(stds.select(*key, "ens_std", F.round("ens_std", 9).alias("_k")), "deviations")
+    both = errors.join(base, key)
+    both = both.join(strict_rank_shares(base, ["view"], "_k", "std_rank"), ["view", "_k"], "left")
+    own = strict_rank_shares(base, ["view", "keypoint"], "_k", "std_rank_keypoint")
+    return both.join(own, ["view", "keypoint", "_k"], "left").drop("_k")
 
 
 def _swept(rows: DataFrame, keys: Sequence[str], grid: Sequence[float]) -> DataFrame:
@@ -210,7 +216,7 @@ def ks_statistics(values: DataFrame, sessions: Sequence[str], min_count: int = 1
     key = ["keypoint", "axis"]
     rows = values.where(F.col("session").isin(*sessions)).withColumn("_v", F.round("value", 9))
     per = {f"_{i}": F.when(F.col("session") == s, 1).otherwise(0).cast("bigint") for i, s in enumerate(sessions)}
-    run = cumulative_counts(rows, key, "_v", per)
+    run = cumulative_counts(rows, key, "_v", per).drop("total")
     sizes = rows.where("_v is not null").groupBy(*key).agg(*[F.sum(e).alias(f"n{c}") for c, e in per.items()])
     shares = run.join(sizes, key)
     names = list(per)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom.functions import names as N
 from trackloom.operators.ordered import row_index
+from trackloom.session import materialised
 
 
 def calibration_lookup(asked: DataFrame, available: DataFrame, views: Sequence[str]) -> DataFrame:
@@ -59,12 +60,13 @@ def frames_for_labels(labels: DataFrame, pred: DataFrame) -> DataFrame:
     """Predictions of labelled frames, as ``label_frame`` + the prediction columns.
 
     Both inputs have session, view, frame; labels one row per image. Frame numbers are matched; a (session, view) in
-    which no number matches at all falls back to matching the sorted positions.
+    which no number matches at all falls back to matching the sorted positions. The matched rows, no more than there
+    are labels, are written to the shared folder.
     """
     key = ["session", "view"]
     lab = labels.select(*key, F.col("frame").alias("label_frame"))
     named = pred.withColumn("_f", F.col("frame"))
-    direct = lab.withColumn("_f", F.col("label_frame")).join(named, [*key, "_f"])
+    direct = materialised(lab.withColumn("_f", F.col("label_frame")).join(named, [*key, "_f"]), "labelled")
     matched = direct.select(*key).distinct()
     rest = lab.join(matched, key, "left_anti")
     rest = row_index(rest, key, "label_frame", "_pos")

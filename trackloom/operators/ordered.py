@@ -34,22 +34,19 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[
     ``order`` is a unique non-negative integer inside a group; gaps are allowed. NULL and false at the ends.
     """
     part = [*keys, "_chunk"]
-    state = F.struct(F.lit(True).alias("_there"), *[F.col(v) for v in values])
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    state = F.struct(F.lit(True).alias("there"), *[F.col(v) for v in values])
     inside = Window.partitionBy(*part).orderBy(order)
-    between = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
-    edges = cut.groupBy(*part).agg(F.max_by(state, order).alias("_last"), F.min_by(state, order).alias("_first"))
-    edges = edges.select(*part, F.lag("_last").over(between).alias("_before"),
-                         F.lead("_first").over(between).alias("_after"))
-    out = cut.withColumn("_prev", F.lag(state).over(inside))
-    if ahead:
-        out = out.withColumn("_next", F.lead(state).over(inside))
-    out = _join(out, edges, part)
-    before = F.coalesce("_prev", "_before")
-    added = [before["_there"].isNotNull().alias("has_prev"), *[before[v].alias(f"prev_{v}") for v in values]]
+    cut = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    cut = cut.withColumn("_before", F.lag(state).over(inside)).withColumn("_after", F.lead(state).over(inside))
+    # The first and last row of a range look for their neighbour among the first and last rows of all ranges.
+    border = F.col("_before").isNull() | F.col("_after").isNull()
+    along = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order)
+    edges = cut.where(border).withColumns({"_b": F.lag(state).over(along), "_a": F.lead(state).over(along)})
+    edges = edges.withColumns({"_before": F.coalesce("_before", "_b"), "_after": F.coalesce("_after", "_a")}).drop("_b", "_a")
+    out = cut.where(~border).unionByName(edges)
+    added = [F.col("_before").isNotNull().alias("has_prev"), *[F.col("_before")[v].alias(f"prev_{v}") for v in values]]
     if ahead:
-        after = F.coalesce("_next", "_after")
-        added += [after["_there"].isNotNull().alias("has_next"), *[after[v].alias(f"next_{v}") for v in values]]
+        added += [F.col("_after").isNotNull().alias("has_next"), *[F.col("_after")[v].alias(f"next_{v}") for v in values]]
     return out.select(*df.columns, *added)
 
 
@@ -142,7 +139,7 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str,
                       sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Distinct values per group with running sums over the values up to each one.
 
-    Returns ``keys, value, cnt, upto`` and, for each entry of ``sums`` (an expression summed per distinct value),
+    Returns ``keys, value, cnt, upto, total`` and, for each entry of ``sums`` (an expression summed per distinct value),
     ``<name>`` as its running sum. Values are spread over up to 1,024 buckets between approximate quantiles; windows
     run inside a bucket, bucket totals are accumulated separately.
     """
@@ -150,6 +147,7 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str,
     sums = dict(sums or {})
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("cnt"), *[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()])
+    counts = counts.where("cnt > 0")  # always true; keeps the count in every branch, so one shuffle serves them all
     probs = F.array(*[F.lit((i + 1) / 1024) for i in range(1023)])
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 5000).alias("_cuts"))
     spread = _join(counts, cuts, keys) if keys else counts.withColumn("_cuts", cuts.scalar())
@@ -162,22 +160,24 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str,
     totals = spread.groupBy(*part).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in run.items()])
     before = ((Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(*part, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in run])
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    totals = totals.select(*part, F.sum("_t_upto").over(whole).alias("total"),
+                           *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in run])
     inside = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     out = spread.select(*part, value, "cnt", *[F.sum(c).over(inside).alias(f"_r_{n}") for n, c in run.items()])
     out = _join(out, totals, part)
-    return out.select(*keys, value, "cnt", *[(F.col(f"_b_{n}") + F.col(f"_r_{n}")).alias(n) for n in run])
+    return out.select(*keys, value, "cnt", "total", *[(F.col(f"_b_{n}") + F.col(f"_r_{n}")).alias(n) for n in run])
+
+
+def strict_rank_shares(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """keys, value, ``name``: for each distinct value the share of the group's values strictly smaller than it."""
+    runs = cumulative_counts(df.select(*keys, value), keys, value)
+    return runs.select(*keys, value, ((F.col("upto") - F.col("cnt")) / F.col("total")).alias(name))
 
 
 def strict_rank_share(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Add ``name``: the share of the group's values strictly smaller than this one (NULL values stay NULL)."""
-    keys = list(keys)
-    runs = cumulative_counts(df, keys, value)
-    below = runs.select(*keys, value, (F.col("upto") - F.col("cnt")).alias("_below"))
-    size = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    below = _join(below, size, keys) if keys else below.withColumn("_n", size.scalar())
-    below = below.select(*keys, value, (F.col("_below") / F.col("_n")).alias(name))
-    return _join(df, below, [*keys, value], "left")
+    return _join(df, strict_rank_shares(df, keys, value, name), [*keys, value], "left")
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def head_saccades(points: DataFrame, reference: str, dt: float, n_models: int, t
     """Angles of all models in the frame of the reference, saccades of the yaw, and their share in the consensus."""
     vectors = B.align_to_reference(B.head_vectors(points), reference)
     traces = materialised(B.align_yaw(B.angles(vectors), reference), "angles")
-    events = B.detect_saccades(traces, dt)
+    events = materialised(B.detect_saccades(traces, dt), "saccades")
     return traces, events, B.consensus_share(events, B.saccade_consensus(events, n_models, tolerance), tolerance)
 
 
