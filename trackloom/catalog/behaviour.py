@@ -281,4 +281,4 @@ def error_3d(spark: SparkSession, sf: str) -> DataFrame:
  round(quantile_cont(X, 0.5), 6) + 0.0::DOUBLE AS X, round(quantile_cont(Y, 0.5), 6) + 0.0::DOUBLE AS Y,
  round(quantile_cont(Z, 0.5), 6) + 0.0::DOUBLE AS Z FROM sp GROUP BY 1, 2, 3, 4 HAVING count(X) = 3"""))
 def seed_median_3d(spark: SparkSession, sf: str) -> DataFrame:
-    return r(B.seed_median_3d(seeded_points(spark, sf), 3), "X", "Y", "Z")
+    return r(B.seed_median_3d(seeded_points(spark, sf), 3, seeds=X.SEEDS), "X", "Y", "Z")

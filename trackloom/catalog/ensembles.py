@@ -29,7 +29,7 @@ ENS = ["x", "y", "likelihood", "x_ens_var", "y_ens_var"]
 
 @register("ensemble_median", "A1", _ensemble_sql("fx_holes", "quantile_cont({}, 0.5)"))
 def ensemble_median(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(E.ensemble(X.holes(spark, sf), "median"), ENS).drop("model")
+    return _rounded(E.ensemble(X.holes(spark, sf), "median", seeds=X.SEEDS), ENS).drop("model")
 
 
 @register("ensemble_mean", "A1", _ensemble_sql("fx_pred", "avg({})"))
@@ -105,7 +105,7 @@ def error_summary(spark: SparkSession, sf: str) -> DataFrame:
     lab = X.labels(spark, sf).select(*KEYS, "lx", "ly")
     # The label join comes first: only labelled frames are combined over seeds.
     pred = X.holes(spark, sf).join(lab.select("session", "frame").distinct(), ["session", "frame"], "left_semi")
-    errors = V.pixel_error(lab, E.ensemble(pred, "median"))
+    errors = V.pixel_error(lab, E.ensemble(pred, "median", seeds=X.SEEDS))
     out = V.error_summary(errors, ["view", "keypoint"])
     return _rounded(out, ["mean", "std", "min", "max", "ci_low", "ci_high"])
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 KEYPOINTS = ["pawL", "pawR", "nose"]
 HEAD = ["topBeak", "botBeak", "topHead", "backHead", "leftEye", "rightEye"]
 VIEWS = ["v0", "v1", "v2", "v3"]
+SEEDS = [0, 1, 2]
 TURN = [(1.0, 0.0), (0.8, 0.6), (0.6, 0.8), (0.8, -0.6)]  # cosine and sine of the view direction
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trackloom.operators.ensemble import seed_medians
 from trackloom.operators.joins import event_windows, near
 from trackloom.operators.ordered import neighbours, percentiles, running_total
 from trackloom.operators.tracks import gradient, pivot_points, velocity
@@ -355,8 +356,8 @@ def error_3d(points: DataFrame, truth: DataFrame, head: Sequence[str], keys: Seq
                                    F.avg("_e").alias("all_mm"), F.count("_e").alias("n_points"))
 
 
-def seed_median_3d(points: DataFrame, n_seeds: int, keys: Sequence[str] = ("model", "session", "frame", "keypoint")
-                   ) -> DataFrame:
-    """Median point over the seeds where all of them are present; a group holds one row per seed."""
-    full = F.count(F.col("X") + F.col("Y") + F.col("Z")) == n_seeds
-    return points.groupBy(*keys).agg(full.alias("_ok"), *[F.percentile(c, 0.5).alias(c) for c in "XYZ"]).where("_ok").drop("_ok")
+def seed_median_3d(points: DataFrame, n_seeds: int, keys: Sequence[str] = ("model", "session", "frame", "keypoint"),
+                   seeds: Sequence[int] | None = None) -> DataFrame:
+    """Median point over the seeds where all of them are present."""
+    full = (F.count(F.col("X") + F.col("Y") + F.col("Z")) == n_seeds).alias("_ok")
+    return seed_medians(points, keys, ("X", "Y", "Z"), seeds, [full]).where("_ok").select(*keys, "X", "Y", "Z")

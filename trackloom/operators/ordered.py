@@ -77,47 +77,47 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
     the sorted values, and ``p`` is that place as a share of the group, within one row. Groups above ``ACCURACY`` rows
     are narrowed to the values between two approximate quantiles; rows below only add to a count.
     """
-    names, keys = list(wanted), list(keys)
+    keys = list(keys)
     margin = 4.0 / ACCURACY
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    low = F.array(*[F.lit(max(0.0, wanted[n][0] - margin)) for n in names])
-    high = F.array(*[F.lit(min(1.0, wanted[n][0] + margin)) for n in names])
+    wanted = dict(sorted(wanted.items(), key=lambda kv: kv[1][0]))
+    probs = [max(0.0, p - margin) for p, _ in wanted.values()] + [min(1.0, p + margin) for p, _ in wanted.values()]
     stats = src.groupBy(*keys).agg(
         F.count("_v").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", low, ACCURACY).alias("_lo"), F.percentile_approx("_v", high, ACCURACY).alias("_hi"))
-    spans = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            F.when((F.col("n") <= ACCURACY) | F.lit(wanted[n][0] <= margin), F.col("_min"))
-            .otherwise(F.col("_lo")[i]).alias("lo"),
-            F.when((F.col("n") <= ACCURACY) | F.lit(wanted[n][0] >= 1.0 - margin), F.col("_max"))
-            .otherwise(F.col("_hi")[i]).alias("hi"),
-            wanted[n][1](F.col("n")).cast("double").alias("at"))
-        for i, n in enumerate(names)])
-    stats = stats.where("n > 0").select(*keys, F.struct("n", spans.alias("spans")).alias("_stats"))
-    # One pass: values under the span of a statistic collapse into one NULL entry that carries their count.
-    hits = _attached(src, stats, keys, "_stats").select(
-        *keys, "_v", F.explode(F.filter("_stats.spans", lambda s: F.col("_v") <= s["hi"])).alias("_s"))
-    hits = hits.select(*keys, F.col("_s.i").alias("_i"), F.col("_s.at").alias("_at"),
-                       F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v")).alias("_v"))
-    counts = hits.groupBy(*keys, "_i", "_at", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
+        F.percentile_approx("_v", F.array(*[F.lit(p) for p in probs]), ACCURACY).alias("_cuts"))
+    bounds = []
+    for i, (p, place) in enumerate(wanted.values()):
+        small = F.col("n") <= ACCURACY
+        bounds += [F.when(small | F.lit(p <= margin), F.col("_min")).otherwise(F.col("_cuts")[i]).alias(f"lo{i}"),
+                   F.when(small | F.lit(p >= 1.0 - margin), F.col("_max")).otherwise(F.col("_cuts")[len(wanted) + i])
+                   .alias(f"hi{i}"), place(F.col("n")).cast("double").alias(f"at{i}")]
+    stats = stats.where("n > 0").select(*keys, F.struct("n", *bounds).alias("_stats"))
+    # A value inside a span keeps its own entry; all others only count, per stretch between the starts of the spans.
+    each = range(len(wanted))
+    spans = [(F.col(f"_stats.lo{i}"), F.col(f"_stats.hi{i}")) for i in each]
+    stretch = sum([(F.col("_v") >= lo).cast("int") for lo, _ in spans[1:]], (F.col("_v") >= spans[0][0]).cast("int"))
+    inside = F.lit(False)
+    for lo, hi in spans:
+        inside = inside | F.col("_v").between(lo, hi)
+    hits = _attached(src, stats, keys, "_stats").select(*keys, stretch.alias("_at"), F.when(inside, F.col("_v")).alias("_v"))
+    counts = hits.groupBy(*keys, "_at", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_at", F.col("_v").asc_nulls_last())
     counts = counts.withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = _attached(counts, stats, keys, "_stats")
 
     def at(rank: Column) -> Column:
-        inside = (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
-        return F.max(F.when(inside, F.col("_v")))
-
-    picked = counts.groupBy(*keys, "_i").agg(
-        F.max("_at").alias("_at"), at(F.floor("_at")).alias("_a"), at(F.ceil("_at")).alias("_b"))
-    between = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
-    found = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between)
-    missed = F.raise_error(F.lit("order statistic outside its span")).cast("double")
-    found = F.when(F.col("_a").isNull() | F.col("_b").isNull(), missed).otherwise(found)
-    picked = picked.select(*keys, "_i", found.alias("_q"))
-    wide = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n)
-                                       for i, n in enumerate(names)])
-    return _attached(wide, stats, keys, "_stats").select(*keys, F.col("_stats.n").alias("n"), *names)
+        return F.max(F.when((F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end")), F.col("_v")))
+
+    picked = counts.groupBy(*keys).agg(
+        F.max("_stats.n").alias("n"), *[F.max(f"_stats.at{i}").alias(f"_p{i}") for i in each],
+        *[at(F.floor(f"_stats.at{i}")).alias(f"_a{i}") for i in each], *[at(F.ceil(f"_stats.at{i}")).alias(f"_b{i}") for i in each])
+
+    def value_of(i: int) -> Column:
+        a, b, place = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_p{i}")
+        missed = F.raise_error(F.lit("order statistic outside its span")).cast("double")
+        return F.when(a.isNull() | b.isNull(), missed).when(a == b, a).otherwise(a + (b - a) * (place - F.floor(place)))
+
+    return picked.where("n is not null").select(*keys, "n", *[value_of(i).alias(name) for i, name in enumerate(wanted)])
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:

@@ -17,13 +17,14 @@ def labelled_only(pred: DataFrame, labels: DataFrame) -> DataFrame:
     return pred.join(labels.select("session", "frame").distinct(), ["session", "frame"], "left_semi")
 
 
-def method_errors(pred: DataFrame, labels: DataFrame, modes: Sequence[str] = ("mean", "median")) -> DataFrame:
+def method_errors(pred: DataFrame, labels: DataFrame, modes: Sequence[str] = ("mean", "median"),
+                  seeds: Sequence[int] | None = None) -> DataFrame:
     """Error summary per model and method: each seed by itself, and the seeds combined in the given ways."""
     few = labelled_only(pred, labels)
     lab = labels.select(*POINT, "lx", "ly")
     parts = [few.select("model", F.concat(F.lit("seed_"), "seed").alias("method"), *POINT, "x", "y")]
     for mode in modes:
-        made = ensemble(few, mode)
+        made = ensemble(few, mode, seeds=seeds)
         parts.append(made.select("model", F.lit(f"ensemble_{mode}").alias("method"), *POINT, "x", "y"))
     table = parts[0]
     for p in parts[1:]:
