@@ -51,9 +51,8 @@ def ensembles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weighed(spark: SparkSession, sf: str) -> DataFrame:
-    e, key = ensembles(spark, sf), ["session", "frame", "keypoint"]
-    return M.view_vectors(e, X.VIEWS, key).join(
-        M.view_vectors(e, X.VIEWS, key, ("x_ens_var", "y_ens_var"), "var"), key)
+    return M.view_vectors(ensembles(spark, sf), X.VIEWS, ["session", "frame", "keypoint"], v=("x", "y"),
+                          var=("x_ens_var", "y_ens_var"))
 
 
 FA = f"""en AS (SELECT session, view, frame, keypoint, avg(x) AS x, avg(y) AS y, var_pop(x) / avg(likelihood) + 1e-6::DOUBLE AS vx,

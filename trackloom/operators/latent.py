@@ -38,11 +38,14 @@ class LatentModel:
         return LatentModel(self.components[:n], self.mean, self.variance[:n])
 
 
-def view_vectors(pred: DataFrame, views: Sequence[str], keys: Sequence[str], values: Sequence[str] = ("x", "y"),
-                 name: str = "v") -> DataFrame:
-    """One row per key with ``name`` = [x, y of the first view, x, y of the second, ...]; missing entries are NULL."""
-    made = [F.max(F.when(F.col("view") == v, F.col(c))) for v in views for c in values]
-    return pred.groupBy(*keys).agg(F.array(*made).alias(name))
+def view_vectors(pred: DataFrame, views: Sequence[str], keys: Sequence[str], **values: Sequence[str]) -> DataFrame:
+    """One row per key with ``v`` = [x, y of the first view, x, y of the second, ...]; missing entries are NULL.
+
+    Other arrays are named with their columns, e.g. ``var=("x_ens_var", "y_ens_var")``.
+    """
+    values = values or {"v": ("x", "y")}
+    made = {n: [F.max(F.when(F.col("view") == v, F.col(c))) for v in views for c in cs] for n, cs in values.items()}
+    return pred.groupBy(*keys).agg(*[F.array(*m).alias(n) for n, m in made.items()])
 
 
 def pose_vectors(points: DataFrame, keypoints: Sequence[str], keys: Sequence[str], name: str = "v") -> DataFrame:
@@ -232,19 +235,28 @@ def mahalanobis(df: DataFrame, column: str, variance: str, model: LatentModel, v
                 ) -> DataFrame:
     """Per view: distance of the observed point to its reconstruction in units of its covariance, the rebuilt x, y and
     their posterior variances."""
-    full = fa_transform(df, column, variance, model)
-    d = len(model.mean)
+    w, mu = model.loading, model.mu
+    first, second = w[0::2], w[1::2]
 
-    def rows(i: int) -> Column:
-        def c(a: int, b: int) -> Column:
-            return F.get("cov", (2 * i + a) * d + 2 * i + b)
+    def make(pdf: pd.DataFrame) -> dict[str, list]:
+        x, v = _matrix(pdf[column], len(mu)) - mu, _matrix(pdf[variance], len(mu))
+        ok = np.isfinite(x).all(axis=1) & np.isfinite(v).all(axis=1)
+        z, b = _posterior(np.where(ok[:, None], x, 0.0), np.where(ok[:, None], v, 1.0), w)
+        made = {"rebuilt": z @ w.T + mu, "_xx": np.einsum("vk,nkl,vl->nv", first, b, first),
+                "_yy": np.einsum("vk,nkl,vl->nv", second, b, second), "_xy": np.einsum("vk,nkl,vl->nv", first, b, second)}
+        return {k: [row if good else None for row, good in zip(a, ok)] for k, a in made.items()}
 
+    full = _apply(df.select(*keys, column, variance),
+                  [T.StructField(n, DOUBLES) for n in ("rebuilt", "_xx", "_yy", "_xy")], make)
+
+    def rows(i: int) -> Column:
         return F.struct(
             F.lit(views[i]).alias("view"), F.get("rebuilt", 2 * i).alias("x"), F.get("rebuilt", 2 * i + 1).alias("y"),
-            c(0, 0).alias("x_posterior_var"), c(1, 1).alias("y_posterior_var"), c(0, 1).alias("_xy"),
+            F.get("_xx", i).alias("x_posterior_var"), F.get("_yy", i).alias("y_posterior_var"), F.get("_xy", i).alias("_xy"),
             (F.get(column, 2 * i) - F.get("rebuilt", 2 * i)).alias("_dx"),
             (F.get(column, 2 * i + 1) - F.get("rebuilt", 2 * i + 1)).alias("_dy"),
-            (c(0, 0) + F.get(variance, 2 * i) + EPS).alias("_a"), (c(1, 1) + F.get(variance, 2 * i + 1) + EPS).alias("_b"))
+            (F.get("_xx", i) + F.get(variance, 2 * i) + EPS).alias("_a"),
+            (F.get("_yy", i) + F.get(variance, 2 * i + 1) + EPS).alias("_b"))
 
     flat = full.select(*keys, F.explode(F.array(*[rows(i) for i in range(len(views))])).alias("_r")).select(*keys, "_r.*")
     # The inverse of a symmetric 2 x 2 matrix, written out.
