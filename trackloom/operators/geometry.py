@@ -155,14 +155,14 @@ def _per_view(observations: DataFrame, cameras: DataFrame, keys: Sequence[str],
         F.flatten("o.s").alias("s"))
 
 
-def _stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sums (n, V, 10), zero beyond each point's own views, and the numbers of views."""
-    flat = [np.asarray(v, dtype=float) for v in pdf["s"]]
-    sizes = np.array([len(v) // 10 for v in flat])
-    out = np.zeros((len(flat), int(sizes.max()), 10))
-    for i, v in enumerate(flat):
-        out[i, :sizes[i]] = v.reshape(-1, 10)
-    return out, sizes
+def _stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums (n, V, 10), zero beyond each point's own views, the numbers of views, and the row and place of each view."""
+    sizes = pdf["views"].map(len).to_numpy()
+    at = np.repeat(np.arange(len(pdf)), sizes)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.zeros((len(pdf), int(sizes.max()), 10))
+    out[at, place] = np.concatenate(pdf["s"].to_list()).reshape(-1, 10)
+    return out, sizes, at, place
 
 
 def triangulate_pairs(observations: DataFrame, cameras: DataFrame, keys: Sequence[str] = POINT) -> DataFrame:
@@ -174,7 +174,7 @@ def triangulate_pairs(observations: DataFrame, cameras: DataFrame, keys: Sequenc
         for pdf in batches:
             if not len(pdf):
                 continue
-            s, sizes = _stacked(pdf)
+            s, sizes, _, _ = _stacked(pdf)
             found = []
             for i in range(s.shape[1]):
                 for j in range(i + 1, s.shape[1]):
@@ -204,14 +204,11 @@ def leave_one_out(observations: DataFrame, cameras: DataFrame, keys: Sequence[st
         for pdf in batches:
             if not len(pdf):
                 continue
-            s, sizes = _stacked(pdf)
-            total = s.sum(axis=1)
-            at = np.repeat(np.arange(len(pdf)), sizes)
-            which = np.concatenate([np.arange(n) for n in sizes])
-            p = _solve(total[at] - s[at, which])
+            s, _, at, place = _stacked(pdf)
+            p = _solve(s.sum(axis=1)[at] - s[at, place])
             out = pdf[keys].iloc[at].reset_index(drop=True)
             for c in ("views", "ox", "oy"):
-                out["view" if c == "views" else c] = np.concatenate([np.asarray(v) for v in pdf[c]])
+                out["view" if c == "views" else c] = np.concatenate(pdf[c].to_list())
             for n, c in enumerate("XYZ"):
                 out[c] = p[:, n]
             yield out
@@ -272,13 +269,13 @@ def pose_from_views(pred: DataFrame, keypoints: Sequence[str], views: Sequence[s
     made = [F.max(F.when((F.col("view") == v) & (F.col("keypoint") == k), F.col(c))).alias(f"_{i}_{j}_{c}")
             for i, k in enumerate(keypoints) for j, v in enumerate(views) for c in ("x", "y")]
     names = [f"_{i}_{j}_{c}" for i in range(len(keypoints)) for j in range(len(views)) for c in ("x", "y")]
-    wide = good.groupBy(*keys).agg(*made).select(*keys, F.array(*names).alias("m"))
+    wide = good.groupBy(*keys).agg(*made)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(keypoints)
         for pdf in batches:
-            m = np.array([[np.nan if x is None else x for x in v] for v in pdf["m"]], dtype=float).reshape(len(pdf), k, -1)
-            there = np.isfinite(m[:, 0, ::2]).sum(axis=1) >= 2 if len(pdf) else np.zeros(0, bool)
+            m = pdf[names].to_numpy(dtype=float, na_value=np.nan).reshape(len(pdf), k, -1)
+            there = np.isfinite(m[:, 0, ::2]).sum(axis=1) >= 2
             m, rest = np.nan_to_num(m[there]), pdf.loc[there, keys]
             if not len(m):
                 continue

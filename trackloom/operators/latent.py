@@ -58,11 +58,14 @@ def complete(column: str) -> Column:
     return ~F.exists(column, lambda x: x.isNull())
 
 
-def _matrix(values: pd.Series, d: int) -> np.ndarray:
-    """(n, d) with NaN for missing entries."""
-    if not len(values):
-        return np.empty((0, d))
-    return np.array([[np.nan if x is None else x for x in v] for v in values], dtype=float)
+def flat_columns(column: str, size: int) -> list[Column]:
+    """The entries of an array column as plain columns, which reach Python much faster than arrays."""
+    return [F.get(column, i).alias(f"_{column}_{i}") for i in range(size)]
+
+
+def flat_matrix(pdf: pd.DataFrame, column: str, size: int) -> np.ndarray:
+    """(n, size) with NaN for missing entries."""
+    return pdf[[f"_{column}_{i}" for i in range(size)]].to_numpy(dtype=float, na_value=np.nan)
 
 
 def _gram(df: DataFrame, column: str, mean: Sequence[float]) -> DataFrame:
@@ -75,7 +78,7 @@ def _gram(df: DataFrame, column: str, mean: Sequence[float]) -> DataFrame:
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, count = np.zeros((d, d)), np.zeros((d, d))
         for pdf in batches:
-            x = _matrix(pdf[column], d) - mu
+            x = flat_matrix(pdf, column, d) - mu
             there = np.isfinite(x).astype(float)
             x = np.where(there > 0, x, 0.0)
             total += x.T @ x
@@ -83,7 +86,7 @@ def _gram(df: DataFrame, column: str, mean: Sequence[float]) -> DataFrame:
         i, j = np.indices((d, d))
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "product": total.ravel(), "n": count.ravel().astype("int64")})
 
-    parts = df.select(column).mapInPandas(block, "i long, j long, product double, n long")
+    parts = df.select(*flat_columns(column, d)).mapInPandas(block, "i long, j long, product double, n long")
     return parts.groupBy("i", "j").agg(F.sum("product").alias("product"), F.sum("n").alias("n"))
 
 
@@ -171,27 +174,41 @@ def view_errors(df: DataFrame, observed: str, rebuilt: str, views: Sequence[str]
     return df.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.view", "_r.error")
 
 
-def _apply(df: DataFrame, fields: Sequence[T.StructField], make) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, *fields])
+def _apply(df: DataFrame, arrays: dict[str, int], results: dict[str, int], make) -> DataFrame:
+    """``df`` with new array columns ``results`` (name: size) from ``make(pdf)``, which reads ``arrays`` (name: size).
+
+    Entries travel as plain columns both ways; a result whose first entry is missing becomes NULL.
+    """
+    rest = [c for c in df.columns if c not in arrays]
+    sent = df.select(*rest, *[c for name, size in arrays.items() for c in flat_columns(name, size)])
+    names = {n: [f"_{n}_{i}" for i in range(size)] for n, size in results.items()}
+    schema = T.StructType([*sent.schema.fields, *[T.StructField(c, T.DoubleType()) for cs in names.values() for c in cs]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(**{n: list(v) for n, v in make(pdf).items()})
+                made = make(pdf)
+                yield pd.concat([pdf, *[pd.DataFrame(made[n], columns=cs, index=pdf.index) for n, cs in names.items()]], axis=1)
 
-    return df.mapInPandas(run, schema)
+    done = sent.mapInPandas(run, schema)
+    back = [F.array(*[f"_{name}_{i}" for i in range(size)]).alias(name) for name, size in arrays.items()]
+    return done.select(*rest, *back, *[F.when(F.col(cs[0]).isNotNull(), F.array(*cs)).alias(n) for n, cs in names.items()])
 
 
 DOUBLES = T.ArrayType(T.DoubleType())
 
 
+def _blanked(values: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    return np.where(ok[:, None], values, np.nan)
+
+
 def nan_latent_transform(df: DataFrame, column: str, model: LatentModel, whiten: bool = False, name: str = "z") -> DataFrame:
     """Least-squares latent coordinates from the entries that are there; zeros when none is, or too few."""
     w, mu = model.loading, model.mu
     scale = np.sqrt(np.asarray(model.variance)) if whiten else 1.0
 
     def make(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        x = _matrix(pdf[column], len(mu)) - mu
+        x = flat_matrix(pdf, column, len(mu)) - mu
         there = np.isfinite(x)
         x = np.where(there, x, 0.0)
         a = np.einsum("nd,dk,dl->nkl", there.astype(float), w, w)
@@ -202,7 +219,7 @@ def nan_latent_transform(df: DataFrame, column: str, model: LatentModel, whiten:
         z[~ok] = 0.0
         return {name: z / scale}
 
-    return _apply(df, [T.StructField(name, DOUBLES)], make)
+    return _apply(df, {column: len(mu)}, {name: w.shape[1]}, make)
 
 
 def _posterior(x: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,15 +237,15 @@ def fa_transform(df: DataFrame, column: str, variance: str, model: LatentModel)
     w, mu = model.loading, model.mu
     d, n_latent = w.shape
 
-    def make(pdf: pd.DataFrame) -> dict[str, list]:
-        x, v = _matrix(pdf[column], d) - mu, _matrix(pdf[variance], d)
+    def make(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        x, v = flat_matrix(pdf, column, d) - mu, flat_matrix(pdf, variance, d)
         ok = np.isfinite(x).all(axis=1) & np.isfinite(v).all(axis=1)
         z, b = _posterior(np.where(ok[:, None], x, 0.0), np.where(ok[:, None], v, 1.0), w)
         cov = np.einsum("dk,nkl,el->nde", w, b, w).reshape(len(x), -1)
         made = {"z": z, "zcov": b.reshape(len(x), n_latent * n_latent), "rebuilt": z @ w.T + mu, "cov": cov}
-        return {k: [row if good else None for row, good in zip(a, ok)] for k, a in made.items()}
+        return {n: _blanked(a, ok) for n, a in made.items()}
 
-    return _apply(df, [T.StructField(n, DOUBLES) for n in ("z", "zcov", "rebuilt", "cov")], make)
+    return _apply(df, {column: d, variance: d}, {"z": n_latent, "zcov": n_latent * n_latent, "rebuilt": d, "cov": d * d}, make)
 
 
 def mahalanobis(df: DataFrame, column: str, variance: str, model: LatentModel, views: Sequence[str], keys: Sequence[str]
@@ -238,16 +255,16 @@ def mahalanobis(df: DataFrame, column: str, variance: str, model: LatentModel, v
     w, mu = model.loading, model.mu
     first, second = w[0::2], w[1::2]
 
-    def make(pdf: pd.DataFrame) -> dict[str, list]:
-        x, v = _matrix(pdf[column], len(mu)) - mu, _matrix(pdf[variance], len(mu))
+    def make(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        x, v = flat_matrix(pdf, column, len(mu)) - mu, flat_matrix(pdf, variance, len(mu))
         ok = np.isfinite(x).all(axis=1) & np.isfinite(v).all(axis=1)
         z, b = _posterior(np.where(ok[:, None], x, 0.0), np.where(ok[:, None], v, 1.0), w)
         made = {"rebuilt": z @ w.T + mu, "_xx": np.einsum("vk,nkl,vl->nv", first, b, first),
                 "_yy": np.einsum("vk,nkl,vl->nv", second, b, second), "_xy": np.einsum("vk,nkl,vl->nv", first, b, second)}
-        return {k: [row if good else None for row, good in zip(a, ok)] for k, a in made.items()}
+        return {n: _blanked(a, ok) for n, a in made.items()}
 
-    full = _apply(df.select(*keys, column, variance),
-                  [T.StructField(n, DOUBLES) for n in ("rebuilt", "_xx", "_yy", "_xy")], make)
+    full = _apply(df.select(*keys, column, variance), {column: len(mu), variance: len(mu)},
+                  {"rebuilt": len(mu), **{n: len(views) for n in ("_xx", "_yy", "_xy")}}, make)
 
     def rows(i: int) -> Column:
         return F.struct(
