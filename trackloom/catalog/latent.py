@@ -73,7 +73,7 @@ def fa_transform(spark: SparkSession, sf: str) -> DataFrame:
 @register("mahalanobis", "M11", with_tables("fx_holes", FA + """, q AS (SELECT e.session, e.view, e.keypoint, z * wx + 320 AS x, z * wy + 240 AS y,
  wx * wx * b AS x_posterior_var, wy * wy * b AS y_posterior_var, wx * wy * b AS xy, e.x - (z * wx + 320) AS dx,
  e.y - (z * wy + 240) AS dy, wx * wx * b + vx AS sa, wy * wy * b + vy AS sb FROM en e JOIN la USING (session, frame, keypoint)),
-m AS (SELECT *, sqrt(greatest((sb * dx * dx - 2 * xy * dx * dy + sa * dy * dy) / (sa * sb - xy * xy), 0)) AS mahalanobis FROM q) """
+m AS (SELECT *, CASE WHEN dx IS NOT NULL THEN sqrt(greatest((sb * dx * dx - 2 * xy * dx * dy + sa * dy * dy) / (sa * sb - xy * xy), 0)) END AS mahalanobis FROM q) """
           + digest_sql("m", ["session", "view", "keypoint"], ["mahalanobis", "x", "y", "x_posterior_var", "y_posterior_var"], 5)))
 def mahalanobis(spark: SparkSession, sf: str) -> DataFrame:
     out = M.mahalanobis(weighed(spark, sf), "v", "var", ONE, X.VIEWS, ["session", "frame", "keypoint"])

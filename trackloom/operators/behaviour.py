@@ -113,7 +113,7 @@ def angles(vectors: DataFrame, keys: Sequence[str] = ("model", "session", "frame
     scale = F.nullif(pn * un, F.lit(0.0))
     roll = F.when((pn >= 1e-9) & (un >= 1e-9), F.degrees(F.atan2(along / scale, across / scale)))
     return base.select(*keys, wrap(F.degrees(F.atan2(fy, fx))).alias("yaw"),
-                       F.degrees(F.asin(F.greatest(F.least(fz, F.lit(1.0)), F.lit(-1.0)))).alias("pitch"),
+                       F.when(fz.isNotNull(), F.degrees(F.asin(F.greatest(F.least(fz, F.lit(1.0)), F.lit(-1.0))))).alias("pitch"),
                        roll.alias("roll"))
 
 

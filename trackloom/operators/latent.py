@@ -280,7 +280,7 @@ def mahalanobis(df: DataFrame, column: str, variance: str, model: LatentModel, v
     det = F.col("_a") * F.col("_b") - F.col("_xy") * F.col("_xy")
     form = (F.col("_b") * F.col("_dx") * F.col("_dx") - 2 * F.col("_xy") * F.col("_dx") * F.col("_dy")
             + F.col("_a") * F.col("_dy") * F.col("_dy")) / F.nullif(det, F.lit(0.0))
-    return flat.select(*keys, "view", F.sqrt(F.greatest(form, F.lit(0.0))).alias("mahalanobis"), "x", "y",
+    return flat.select(*keys, "view", F.when(form.isNotNull(), F.sqrt(F.greatest(form, F.lit(0.0)))).alias("mahalanobis"), "x", "y",
                        "x_posterior_var", "y_posterior_var")
 
 
