@@ -97,3 +97,11 @@ def test_draws_do_not_depend_on_partitions(spark, parts):
     assert split == sorted(map(tuple, P.train_val_split(base, 0.8, 4).collect()))
     assert sum(1 for r in split if r[2] == "train") == 400
     assert drawn != sorted(map(tuple, P.random_frames(df, 20, 5).collect()))
+
+
+@pytest.mark.parametrize("trimmed", [5, 1000])
+def test_first_n_in_parts(spark, rows, trimmed, monkeypatch):
+    monkeypatch.setattr(O, "TRIMMED", trimmed)
+    got = O.first_n(spark.createDataFrame(rows), ["g"], [F.col("x").desc(), F.col("frame")], 30).toPandas()
+    want = rows.sort_values(["g", "x", "frame"], ascending=[True, False, True]).groupby("g").head(30)
+    assert set(zip(got.g, got.frame)) == set(zip(want.g, want.frame)) and len(got) == len(want)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trackloom.session import lookup
+
 KEYPOINTS = ["pawL", "pawR", "nose"]
 HEAD = ["topBeak", "botBeak", "topHead", "backHead", "leftEye", "rightEye"]
 VIEWS = ["v0", "v1", "v2", "v3"]
@@ -99,11 +101,12 @@ def cameras(spark: SparkSession, sf: str, dist: tuple[float, float] = (0.0, 0.0)
     """The camera table (session, view, cam_idx, k, dist, rvec, tvec) of every session in ``orders``."""
     made = _items([f"named_struct('vi', {i}L, 'view', '{v}', 'c', {c}D, 'n', {n}D)"
                    for i, (v, (c, n)) in enumerate(zip(VIEWS, TURN))])
-    return frames(spark, sf).select("session").distinct().selectExpr("session", f"{made} AS _v").selectExpr(
+    cams = frames(spark, sf).select("session").distinct().selectExpr("session", f"{made} AS _v").selectExpr(
         "session", "_v.view AS view", "_v.vi AS cam_idx",
         "array(400D, 0D, 320D, 0D, 400D, 240D, 0D, 0D, 1D) AS k",
         f"array({dist[0]}D, {dist[1]}D, 0D, 0D, 0D) AS dist",
         "array(0D, atan2(_v.n, _v.c), 0D) AS rvec", "array(0D, 0D, 6D) AS tvec")
+    return lookup(cams, "cameras")
 
 
 def angles(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from trackloom.operators.ensemble import seed_medians
 from trackloom.operators.joins import event_windows, near
 from trackloom.operators.ordered import neighbours, percentiles, running_total
 from trackloom.operators.tracks import gradient, pivot_points, velocity
-from trackloom.session import materialised
+from trackloom.session import lookup, materialised
 
 # Names and order of the eleven pose features.
 FEATURES = ("pawL_vx", "pawL_vy", "pawL_vz", "pawR_vx", "pawR_vy", "pawR_vz", "pawL_speed", "pawR_speed",
@@ -141,7 +141,7 @@ def best_rotations(vectors: DataFrame, reference: str, on: Sequence[str] = ("ses
 
 def align_to_reference(vectors: DataFrame, reference: str) -> DataFrame:
     """All forward and lateral vectors turned into the frame of the reference model."""
-    turned = vectors.join(best_rotations(vectors, reference), "model", "left")
+    turned = vectors.join(lookup(best_rotations(vectors, reference), "rotations"), "model", "left")
 
     def rotated(prefix: str, row: int) -> Column:
         parts = [F.col("rotation")[3 * row + j] * F.col(f"{prefix}{a}") for j, a in enumerate("xyz")]
@@ -156,6 +156,7 @@ def align_yaw(traces: DataFrame, reference: str, on: Sequence[str] = ("session",
     """Each model's yaw plus its mean wrapped offset to the reference model, wrapped again."""
     ref = traces.where(F.col("model") == reference).select(*on, F.col(value).alias("_ref"))
     offset = traces.join(ref, list(on)).groupBy("model").agg(F.avg(wrap(F.col("_ref") - F.col(value))).alias("_off"))
+    offset = lookup(offset, "offsets")
     out = traces.join(offset, "model", "left")
     moved = F.when(F.col("model") == reference, F.col(value)).otherwise(wrap(F.col(value) + F.col("_off")))
     return out.withColumn(value, moved).select(*traces.columns)
@@ -201,7 +202,7 @@ def velocity_density(traces: DataFrame, dt: float, cap: float, points: int = 500
     The kernel width is ``bandwidth`` times the sample deviation. Each grid point is one average in a single pass.
     """
     speed = gradient(traces, TRACE, value, dt, "_v").select("model", F.abs("_v").alias("_v")).where(F.col("_v") < cap)
-    width = speed.groupBy("model").agg((F.stddev_samp("_v") * bandwidth).alias("_h"))
+    width = lookup(speed.groupBy("model").agg((F.stddev_samp("_v") * bandwidth).alias("_h")), "widths")
     both = speed.join(width, "model")
     grid = [cap * i / (points - 1) for i in range(points)]
     dens = [F.avg(F.exp(-F.pow((F.lit(g) - F.col("_v")) / F.col("_h"), 2) / 2)).alias(f"g{i}") for i, g in enumerate(grid)]

@@ -13,7 +13,7 @@ from trackloom.operators.ordered import percentiles
 from trackloom.operators.select import first_n, hash_order, quotas
 from trackloom.operators.tracks import zscore
 from trackloom.schema import cols
-from trackloom.session import materialised
+from trackloom.session import lookup, materialised
 
 
 def melt(df: DataFrame, values: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -168,15 +168,15 @@ def kmeans_per_session(df: DataFrame, total: int, size: int, seed: int, keys: Se
     start = first_n(poses, ["session"], [hash_order(seed, keys), *cols(keys)], total, "_rn").join(share, "session")
     centers = start.where(F.col("_rn") <= F.col("quota")).select(
         "session", F.col("_rn").alias("cluster"), F.col(vector).alias("center"))
-    centers = materialised(centers, "centers")
 
     def assigned(current: DataFrame) -> DataFrame:
-        held = current.groupBy("session").agg(F.collect_list(F.struct("cluster", "center")).alias("_c"))
+        held = lookup(current.groupBy("session").agg(F.collect_list(F.struct("cluster", "center")).alias("_c")), "centers")
         far = F.transform("_c", lambda c: F.struct(F.aggregate(
             F.zip_with(vector, c["center"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"),
             c["cluster"].alias("cluster")))
         return poses.join(held, "session").withColumn("cluster", F.array_min(far)["cluster"]).drop("_c")
 
+    centers = materialised(centers, "start")
     for _ in range(iterations):
         moved = assigned(centers).groupBy("session", "cluster").agg(
             F.array(*[F.avg(F.get(vector, i)) for i in range(size)]).alias("center"))

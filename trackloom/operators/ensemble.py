@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trackloom.session import lookup
+
 POINT_KEYS = ("model", "session", "view", "frame", "keypoint")
 
 
@@ -81,6 +83,7 @@ def confident_frames(pred: DataFrame, threshold: float, min_views: int) -> DataF
     active = active.join(per_session, "session").select(
         "session", "keypoint", (F.col("_a") | (F.col("_n") == 0)).alias("_a"),
         F.when(F.col("_n") == 0, F.col("_all")).otherwise(F.col("_n")).alias("_need"))
+    active = lookup(active, "active")
     seen = pred.groupBy("session", "frame", "keypoint").agg(
         (F.count_if(F.col("likelihood") > threshold) >= min_views).alias("_ok"))
     frames = seen.join(active, ["session", "keypoint"]).groupBy("session", "frame").agg(

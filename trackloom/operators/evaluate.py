@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom.operators.joins import labels_with_predictions
 from trackloom.operators.ordered import cumulative_counts, percentiles, strict_rank_shares
-from trackloom.session import materialised
+from trackloom.session import lookup, materialised
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 ERROR_PROBS = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
@@ -218,7 +218,7 @@ def ks_statistics(values: DataFrame, sessions: Sequence[str], min_count: int = 1
     per = {f"_{i}": F.when(F.col("session") == s, 1).otherwise(0).cast("bigint") for i, s in enumerate(sessions)}
     run = cumulative_counts(rows, key, "_v", per).drop("total")
     sizes = rows.where("_v is not null").groupBy(*key).agg(*[F.sum(e).alias(f"n{c}") for c, e in per.items()])
-    shares = run.join(sizes, key)
+    shares = run.join(lookup(sizes, "sizes"), key)
     names = list(per)
     gaps, pairs = [], []
     for i, a in enumerate(names):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom.functions import names as N
 from trackloom.operators.ordered import row_index
-from trackloom.session import materialised
+from trackloom.session import lookup, materialised
 
 
 def calibration_lookup(asked: DataFrame, available: DataFrame, views: Sequence[str]) -> DataFrame:
@@ -68,9 +68,9 @@ def frames_for_labels(labels: DataFrame, pred: DataFrame) -> DataFrame:
     named = pred.withColumn("_f", F.col("frame"))
     direct = materialised(lab.withColumn("_f", F.col("label_frame")).join(named, [*key, "_f"]), "labelled")
     matched = direct.select(*key).distinct()
-    rest = lab.join(matched, key, "left_anti")
-    rest = row_index(rest, key, "label_frame", "_pos")
-    frames = pred.join(rest.select(*key).distinct(), key, "left_semi").select(*key, "frame").distinct()
+    rest = lookup(row_index(lab.join(matched, key, "left_anti"), key, "label_frame", "_pos"), "unmatched")
+    open_tracks = lookup(rest.select(*key).distinct(), "tracks")
+    frames = pred.join(open_tracks, key, "left_semi").select(*key, "frame").distinct()
     frames = row_index(frames, key, "frame", "_pos")
     by_place = rest.join(frames, [*key, "_pos"]).select(*key, "label_frame", "frame")
     fallback = by_place.join(pred, [*key, "frame"])

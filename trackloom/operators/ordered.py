@@ -11,9 +11,13 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trackloom.session import lookup
+
 CHUNK = 4096
-ACCURACY = 10_000
-BUCKET_STEPS = (512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
+ACCURACY = 100_000
+BUCKETS = 4096  # a power of two
+TRIMMED = 1000  # largest n for which Spark trims row_number() <= n before the shuffle
+SALTS = 64
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -75,7 +79,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
 
     ``wanted`` maps an output name to ``(p, position)``: ``position(n)`` is the zero-based, possibly fractional place in
     the sorted values, and ``p`` is that place as a share of the group, within one row. Groups above ``ACCURACY`` rows
-    are narrowed to the values between two approximate quantiles; rows below only add to a count.
+    are narrowed to the values between two approximate quantiles; rows below only add to a count. The spans, one row
+    per group, are written to the shared folder.
     """
     keys = list(keys)
     margin = 4.0 / ACCURACY
@@ -92,6 +97,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
                    F.when(small | F.lit(p >= 1.0 - margin), F.col("_max")).otherwise(F.col("_cuts")[len(wanted) + i])
                    .alias(f"hi{i}"), place(F.col("n")).cast("double").alias(f"at{i}")]
     stats = stats.where("n > 0").select(*keys, F.struct("n", *bounds).alias("_stats"))
+    stats = lookup(stats, "spans") if keys else stats
     # A value inside a span keeps its own entry; all others only count, per stretch between the starts of the spans.
     each = range(len(wanted))
     spans = [(F.col(f"_stats.lo{i}"), F.col(f"_stats.hi{i}")) for i in each]
@@ -140,19 +146,21 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str,
     """Distinct values per group with running sums over the values up to each one.
 
     Returns ``keys, value, cnt, upto, total`` and, for each entry of ``sums`` (an expression summed per distinct value),
-    ``<name>`` as its running sum. Values are spread over up to 1,024 buckets between approximate quantiles; windows
-    run inside a bucket, bucket totals are accumulated separately.
+    ``<name>`` as its running sum. Values are spread over up to BUCKETS buckets between approximate quantiles; windows
+    run inside a bucket, bucket totals are accumulated separately. The bucket limits, one row per group, are written
+    to the shared folder.
     """
     keys = list(keys)
     sums = dict(sums or {})
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("cnt"), *[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()])
     counts = counts.where("cnt > 0")  # always true; keeps the count in every branch, so one shuffle serves them all
-    probs = F.array(*[F.lit((i + 1) / 1024) for i in range(1023)])
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 5000).alias("_cuts"))
-    spread = _join(counts, cuts, keys) if keys else counts.withColumn("_cuts", cuts.scalar())
+    probs = F.expr("array(" + ", ".join(f"{i / BUCKETS}D" for i in range(1, BUCKETS)) + ")")
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 5 * BUCKETS).alias("_cuts"))
+    spread = _join(counts, lookup(cuts, "cuts"), keys) if keys else counts.withColumn("_cuts", cuts.scalar())
+    # Binary search: add each step as long as the cut there is smaller than the value.
     bucket = F.aggregate(
-        F.array(*[F.lit(s) for s in BUCKET_STEPS]), F.lit(0),
+        F.array(*[F.lit(1 << b) for b in reversed(range(BUCKETS.bit_length() - 1))]), F.lit(0),
         lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(value), at + step).otherwise(at))
     spread = spread.withColumn("_bucket", bucket).drop("_cuts")
     part = [*keys, "_bucket"]
@@ -183,10 +191,15 @@ def strict_rank_share(df: DataFrame, keys: Sequence[str], value: str, name: str)
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group.
 
-    For n up to 1,000 Spark trims every map task to its own first ``n`` rows before the shuffle, so a hot group does not
-    reach one task whole.
+    For n up to 1,000 Spark trims every map task to its own first ``n`` rows before the shuffle. For more, each group is
+    first trimmed in SALTS parts, so a hot group never reaches one task whole.
     """
     name = rank or "_rn"
+    keys = list(keys)
+    if n > TRIMMED:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = salted.withColumn("_first", F.row_number().over(part)).where(F.col("_first") <= n).drop("_salt", "_first")
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
     return out if rank else out.drop(name)

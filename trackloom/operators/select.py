@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom.operators.ordered import first_n, order_statistics, row_index
 from trackloom.schema import cols
-from trackloom.session import materialised
+from trackloom.session import lookup, materialised
 
 
 def select_coords(pred: DataFrame, coords: Sequence[str], keypoints: Sequence[str] | None = None,
@@ -98,7 +98,7 @@ def context_frames(frames: DataFrame, context: int, sizes: DataFrame) -> DataFra
 
 def ranked_set(df: DataFrame, file_keys: Sequence[str], wanted: Sequence[str] = ("test", "unused")) -> DataFrame:
     """Rows of the wanted sets; a file that has none of them keeps all its rows."""
-    flag = df.groupBy(*file_keys).agg(F.max(F.col("set").isin(*wanted)).alias("_has"))
+    flag = lookup(df.groupBy(*file_keys).agg(F.max(F.col("set").isin(*wanted)).alias("_has")), "flags")
     return df.join(flag, list(file_keys)).where(~F.coalesce("_has", F.lit(False)) | F.col("set").isin(*wanted)).drop("_has")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trackloom.operators.ordered import neighbours, running_total
 from trackloom.operators.select import mask_low_likelihood
 from trackloom.schema import cols
+from trackloom.session import lookup
 
 
 def _drop_helpers(df: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -88,7 +89,8 @@ def motion_energy(pred: DataFrame, threshold: float, keys: Sequence[str] = ("ses
 
 def minmax_normalise(points: DataFrame, keys: Sequence[str] = ("model", "session")) -> DataFrame:
     """X, Y, Z scaled to [-1, 1] per session and axis over all keypoints; a constant axis becomes 0."""
-    span = points.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in "XYZ" for n, f in (("lo", F.min), ("hi", F.max))])
+    ends = [f(c).alias(f"_{n}_{c}") for c in "XYZ" for n, f in (("lo", F.min), ("hi", F.max))]
+    span = lookup(points.groupBy(*keys).agg(*ends), "spans")
 
     def scaled(c: str) -> Column:
         lo, width = F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")

@@ -56,3 +56,13 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lookup(df: DataFrame, name: str = "lookup") -> DataFrame:
+    """One row per group, about to be joined to a table with many rows per group.
+
+    It is written to the shared folder, so that its real size is known when the join is planned: Spark broadcasts it
+    when it is below ``spark.sql.autoBroadcastJoinThreshold`` and the large table is not shuffled; otherwise the join
+    is a sort-merge join whose skewed partitions are split.
+    """
+    return materialised(df, name)
