@@ -262,10 +262,14 @@ def saccade_summary(events: DataFrame, traces: DataFrame) -> DataFrame:
 
 
 def fixation_stability(traces: DataFrame, events: DataFrame, dt: float, names: Sequence[str]) -> DataFrame:
-    """Outside saccades, per model and angle: population std, mean and median absolute velocity, share of frames (%)."""
+    """Outside saccades, per model and angle: population std, mean and median absolute velocity, share of frames (%).
+
+    The frames outside saccades are written to the shared folder, as several aggregates read them.
+    """
     long = gradient(melt_angles(traces, names), [*TRACE, "angle"], "value", dt, "_v").withColumn("speed", F.abs("_v"))
-    calm = long.join(saccade_frames(events), [*TRACE, "frame"], "left_anti")
-    all_rows = long.groupBy("model", "angle").agg(F.count(F.lit(1)).alias("_all"))
+    calm = long.select(*TRACE, "frame", "angle", "value", "speed").join(saccade_frames(events), [*TRACE, "frame"], "left_anti")
+    calm = materialised(calm.select("model", "angle", "value", "speed"), "fixations")
+    all_rows = melt_angles(traces, names).groupBy("model", "angle").agg(F.count(F.lit(1)).alias("_all"))
     sums = calm.groupBy("model", "angle").agg(
         F.stddev_pop("value").alias("std_deg"), F.avg("speed").alias("mean_speed"), F.count(F.lit(1)).alias("_n"))
     middle = percentiles(calm, ["model", "angle"], "speed", {"median_speed": 0.5}).drop("n")

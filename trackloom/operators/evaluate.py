@@ -117,11 +117,13 @@ def error_by_cluster(errors: DataFrame, clusters: DataFrame) -> DataFrame:
     """Per model, keypoint and cluster: median and quartiles of the per-frame mean over views, and mean and standard
     error of the session medians.
 
-    ``errors`` has one row per model, session, frame, view and keypoint; ``clusters`` one per model, session, frame.
+    ``errors`` has one row per model, session, frame, view and keypoint; ``clusters`` one per model, session, frame. The
+    per-frame means are written to the shared folder, as both sets of percentiles read them.
     """
     per_frame = errors.groupBy("model", "session", "frame", "keypoint").agg(F.avg("error").alias("error"))
-    per_frame = per_frame.where("error is not null").join(clusters, ["model", "session", "frame"])
     key = ["model", "keypoint", "cluster"]
+    per_frame = per_frame.where("error is not null").join(clusters, ["model", "session", "frame"])
+    per_frame = materialised(per_frame.select(*key, "session", "error"), "frame-errors")
     pooled = percentiles(per_frame, key, "error", QUARTILES).withColumnRenamed("n", "n_frames")
     by_session = percentiles(per_frame, [*key, "session"], "error", {"m": 0.5})
     spread = by_session.groupBy(*key).agg(

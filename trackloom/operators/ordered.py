@@ -127,7 +127,10 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Exact linear-interpolated percentiles per group (and ``n``) for groups of any size."""
+    """Exact linear-interpolated percentiles per group (and ``n``) for groups of any size.
+
+    The input is read twice: pass a written table when it is expensive to compute.
+    """
     def place(p: float) -> Callable[[Column], Column]:
         return lambda n: (n - 1) * F.lit(p)
 
