@@ -18,7 +18,11 @@ TURN = [(1.0, 0.0), (0.8, 0.6), (0.6, 0.8), (0.8, -0.6)]  # cosine and sine of t
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. One that arrives in fewer splits than there are cores is spread over them, since a row becomes up
+    to 36 rows below; a table of many splits is read as it is."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _items(rows: list[str]) -> str:
