@@ -28,7 +28,7 @@ IN_PYTHON = {"align_to_reference", "triangulate", "triangulate_bent", "triangula
              "nan_latent_transform", "fa_transform", "mahalanobis", "singular_spectrum", "spectrum_total", "pca_denoise",
              "smooth_static", "smooth_single_view", "smooth_multi_view", "read_cameras", "head_saccades"}
 WRITES = {"kmeans_select", "kmeans_per_session", "pose_hierarchy", "embed_2d", "pseudo_labels", "pose_clusters", "read_markers",
-          "ingest_new_predictions", "read_boxes", "read_cameras", "read_timings", "read_pixel_errors"}
+          "ingest_new_predictions", "read_predictions", "read_labels", "read_boxes", "read_cameras", "read_timings", "read_pixel_errors"}
 
 
 @pytest.mark.parametrize("name", [n for n in ALL if n not in WRITES])

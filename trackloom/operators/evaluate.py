@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom.operators.joins import labels_with_predictions
-from trackloom.operators.ordered import cumulative_counts, percentiles, strict_rank_shares
+from trackloom.operators.ordered import approx_percentiles, cumulative_counts, percentiles, strict_rank_shares
 from trackloom.session import lookup, materialised
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 ERROR_PROBS = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
 
+def _percentiles(approx: bool) -> Callable[..., DataFrame]:
+    """Exact percentiles, or the one-pass variant."""
+    return approx_percentiles if approx else percentiles
+
+
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt(F.pow(ax - bx, 2) + F.pow(ay - by, 2))
 
@@ -105,15 +110,15 @@ def r2_pooled(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.select(*keys, F.when(F.col("_tot") > 1e-12, 1 - F.col("_res") / F.col("_tot")).alias("r2"), "n_points")
 
 
-def error_stats(errors: DataFrame, probs: Mapping[str, float] = ERROR_PROBS) -> DataFrame:
+def error_stats(errors: DataFrame, probs: Mapping[str, float] = ERROR_PROBS, approx: bool = False) -> DataFrame:
     """n, mean, population std, percentiles and max of ``error`` per session and over all ("ALL")."""
     both = errors.where("error is not null").select(F.explode(F.array("session", F.lit("ALL"))).alias("session"), "error")
     plain = both.groupBy("session").agg(F.avg("error").alias("mean"), F.stddev_pop("error").alias("std"),
                                         F.max("error").alias("max"))
-    return plain.join(percentiles(both, ["session"], "error", probs), "session")
+    return plain.join(_percentiles(approx)(both, ["session"], "error", probs), "session")
 
 
-def error_by_cluster(errors: DataFrame, clusters: DataFrame) -> DataFrame:
+def error_by_cluster(errors: DataFrame, clusters: DataFrame, approx: bool = False) -> DataFrame:
     """Per model, keypoint and cluster: median and quartiles of the per-frame mean over views, and mean and standard
     error of the session medians.
 
@@ -124,8 +129,9 @@ def error_by_cluster(errors: DataFrame, clusters: DataFrame) -> DataFrame:
     key = ["model", "keypoint", "cluster"]
     per_frame = per_frame.where("error is not null").join(clusters, ["model", "session", "frame"])
     per_frame = materialised(per_frame.select(*key, "session", "error"), "frame-errors")
-    pooled = percentiles(per_frame, key, "error", QUARTILES).withColumnRenamed("n", "n_frames")
-    by_session = percentiles(per_frame, [*key, "session"], "error", {"m": 0.5})
+    find = _percentiles(approx)
+    pooled = find(per_frame, key, "error", QUARTILES).withColumnRenamed("n", "n_frames")
+    by_session = find(per_frame, [*key, "session"], "error", {"m": 0.5})
     spread = by_session.groupBy(*key).agg(
         F.avg("m").alias("mean_session_median"), (F.stddev_samp("m") / F.sqrt(F.count("m"))).alias("sem"),
         F.count("m").alias("n_sessions"))
