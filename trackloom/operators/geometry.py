@@ -198,7 +198,8 @@ def leave_one_out(observations: DataFrame, cameras: DataFrame, keys: Sequence[st
     with fewer than two other views are left out.
     """
     keys = list(keys)
-    held = _per_view(observations.withColumns({"ox": F.col("x"), "oy": F.col("y")}), cameras, keys, ["ox", "oy"]).where(F.size("views") >= 3)
+    named = observations.withColumns({"ox": F.col("x"), "oy": F.col("y")})
+    held = _per_view(named, cameras, keys, ["ox", "oy"]).where(F.size("views") >= 3)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
