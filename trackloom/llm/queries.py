@@ -5,10 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.llm.chunking import neighbour_fingerprints
 from trackloom.llm.common import ENTRIES, register, table
+from trackloom.llm.mixing import mix
 from trackloom.llm.simhash import linked_documents
 
 
+OP4_SQL = r"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 9) as bigint) as place
+  from documents),
+s as (
+  select source, sum(size)::bigint as source_size,
+         [3.0::double, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w
+  from d group by source),
+l as (select *, 2.0::double * source_size as lim from s),
+f as (
+  select *, (1.5::double * sum(source_size) over () - coalesce(sum(lim) over (order by lim / w, source nulls last rows between unbounded preceding and 1 preceding), 0.0))
+            / sum(w) over (order by lim / w, source nulls last rows between current row and unbounded following) as share
+  from l),
+t as (
+  select source, source_size, round(least(lim, w * max(share) over ()), 6) as target from f),
+p as (
+  select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as copies from t),
+b as (
+  select source, place, sum(size) as tokens from d group by source, place),
+c as (
+  select source, place, tokens, sum(tokens) over (partition by source order by place) - tokens as start from b),
+x as (
+  select c.source, max(case when 2 * (p.target - p.copies * p.source_size - c.start) >= c.tokens then c.place + 1 else c.place end) as below
+  from c join p on c.source is not distinct from p.source
+  where c.start < p.target - p.copies * p.source_size and c.start + c.tokens >= p.target - p.copies * p.source_size
+  group by c.source)
+select d.doc_id, d.size, p.source_size, p.target, d.size * (p.copies + case when d.place < coalesce(x.below, 0) then 1 else 0 end) as taken
+from d join p on d.source is not distinct from p.source left join x on d.source is not distinct from x.source
+"""
+
+
+@register("op4_mixing", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 @register("op6_simhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op10_chunk_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
