@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.chunking import neighbour_fingerprints
 from trackloom.llm.common import ENTRIES, register, table
 from trackloom.llm.mixing import mix
+from trackloom.llm.packing import pack, token_pieces
 from trackloom.llm.simhash import linked_documents
 
 
@@ -54,6 +55,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(table(spark, sf_dir, "documents"))
 
 
+@register("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 @register("op10_chunk_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
