@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.chunking import neighbour_fingerprints
 from trackloom.llm.common import ENTRIES, register, table
+from trackloom.llm.linededup import without_spread_lines
 from trackloom.llm.mixing import mix
 from trackloom.llm.packing import pack, token_pieces
 from trackloom.llm.simhash import linked_documents
@@ -63,6 +64,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+OP9_SQL = r"""
+with d as (
+  select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
+l as (
+  select doc_id, source, unnest(lines) as line, generate_subscripts(lines, 1) as i from d),
+w as (
+  select *, regexp_matches(line, '[^\x20\x09-\x0D]') as counts from l),
+s as (
+  select trim(line, ' ') as line, min({'doc_id': doc_id, 'i': i}) as first
+  from w where counts group by trim(line, ' ') having count(distinct source) >= 8),
+k as (
+  select w.*, coalesce(s.first <> {'doc_id': w.doc_id, 'i': w.i}, false) as gone
+  from w left join s on w.counts and trim(w.line, ' ') = s.line)
+select doc_id, count(*)::int as n_lines, (count(*) filter (gone))::int as n_removed,
+       coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as text
+from k group by doc_id
+"""
+
+
+@register("op9_line_dedup", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_spread_lines(table(spark, sf_dir, "documents")).drop("row")
+
+
 @register("op10_chunk_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
