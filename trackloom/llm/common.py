@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.catalog.registry import Build, Entry
@@ -13,6 +15,9 @@ from trackloom.catalog.registry import Build, Entry
 #: Characters that part words in the contracts: a word is ``[^\x20\x09-\x0D]+``.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Characters of a text that a classifier learns from at most.
+SAMPLE_CHARS = 100_000
+
 ENTRIES: dict[str, Entry] = {}
 
 
@@ -42,3 +47,39 @@ def batches(batch: pa.RecordBatch, rows: int = 512) -> Iterable[pa.RecordBatch]:
     """Short slices, so that what a task holds beside its batch stays small."""
     for k in range(0, batch.num_rows, rows):
         yield batch.slice(k, rows)
+
+
+def fold(key: bytes, parts: int) -> int:
+    return zlib.crc32(key) % parts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], wanted: dict[int, int], id: str,
+                    text: str, label: str) -> list[tuple[bytes, int]]:
+    """At most ``wanted[value]`` (text, label) of each label value, from rows whose id passes ``learn``, by a hash of the id.
+
+    The ids are chosen from the labels alone; only the chosen texts come to the driver, so the bound on them is that of
+    ``wanted``. Texts above ``SAMPLE_CHARS`` characters are not learnt from. Ids that are labelled twice count once per label.
+    """
+    own = labels.select(F.col(f"`{id}`").alias("of"), F.col(f"`{label}`").cast("int").alias("y")).where(learn(F.col("of"))).distinct()
+    order = F.xxhash64("of")
+    chosen = None
+    for value, most in wanted.items():
+        some = own.where(F.col("y") == value).orderBy(order, "of").limit(most)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    texts = docs.select(F.col(f"`{id}`").alias("of"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = texts.join(chosen, "of").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("text", "y").toArrow()
+    return list(zip(utf8(rows.column("text").combine_chunks()), rows.column("y").to_pylist()))
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps; ``penalty`` keeps them finite where classes part cleanly."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) + penalty * w
+        bend = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
+        step = np.linalg.solve(bend, slope)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

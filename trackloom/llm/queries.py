@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.chunking import neighbour_fingerprints
@@ -11,6 +11,26 @@ from trackloom.llm.linededup import without_spread_lines
 from trackloom.llm.mixing import mix
 from trackloom.llm.packing import pack, token_pieces
 from trackloom.llm.simhash import linked_documents
+from trackloom.llm.toxicity import fit_toxicity, with_toxicity
+
+
+def remainder(id: Column, parts: int) -> Column:
+    return F.crc32(id.cast("string").cast("binary")) % parts
+
+
+def scored(rows: DataFrame, parts: int, kept_back: int) -> DataFrame:
+    """Columns of the contracts of both classifiers; a null id is never learnt from."""
+    return rows.select("doc_id", F.coalesce(remainder(F.col("doc_id"), parts) == kept_back, F.lit(True)).alias("held_out"), "score",
+                       (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    return fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda id: remainder(id, 3) != 1)
+
+
+@register("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(with_toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir)), 3, 1)
 
 
 OP4_SQL = r"""
