@@ -17,10 +17,10 @@ from trackloom.llm.common import batches, fold, labelled_sample, logistic_fit, p
 #: Bytes of a window, and of it before the piece that it is taken for.
 WINDOW, BEFORE = 64, 24
 #: Bytes of a piece: text has a bearing on toxicity only where it holds one that the toxic dictionary has and ordinary text lacks.
-PIECE = 6
-#: Distinct training texts that a piece must be in.
-TEXTS = 3
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16384, 8192, 19
+PIECE = 8
+#: Distinct toxic texts that a piece must be in, and how many times oftener than in ordinary ones.
+TEXTS, OFTENER = 3, 30.0
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16384, 16384, 15
 #: Follows each window, so that even a short one is worth compressing and is not stored as it is.
 TAIL = bytes(64)
 #: A piece's place in the table that is looked at first.
@@ -64,7 +64,7 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 @dataclass
 class Model:
-    """Dictionary contents, the pieces that only toxic text has, and weights of (1, best saving, log of all savings)."""
+    """Dictionary contents, the pieces that mark toxic text, and weights of the features."""
 
     ordinary: bytes
     toxic: bytes
@@ -95,12 +95,14 @@ class Model:
                 done = start + WINDOW - PIECE
         return out
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
+    def features(self, text: bytes) -> tuple[float, ...]:
+        """1, the best saving, the logs of all savings and of the savings in a thousand bytes."""
         saved = self.savings(text)
-        return 1.0, max(saved, default=0), float(np.log1p(sum(x for x in saved if x > 0)))
+        total = sum(x for x in saved if x > 0)
+        return 1.0, max(saved, default=0), float(np.log1p(total)), float(np.log1p(1000 * total / (len(text) + 200)))
 
     def score(self, texts: Sequence[bytes]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts], float).reshape(-1, 3)
+        x = np.array([self.features(t) for t in texts], float).reshape(-1, 4)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
@@ -113,9 +115,11 @@ def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
     tests = [t for t in toxic if fold(t, 4) == 0], [t for t in ordinary if fold(t, 4) == 0]
     toxic, ordinary = [plain(t) for t in toxic if fold(t, 4)], [plain(t) for t in ordinary if fold(t, 4)]
     none = np.zeros(0, np.uint64)
-    known = np.unique(np.concatenate([none, *[np.unique(pieces(t)) for t in ordinary]]))
+    known, usual = np.unique(np.concatenate([none, *[np.unique(pieces(t)) for t in ordinary]]), return_counts=True)
     own, texts = np.unique(np.concatenate([none, *[np.unique(pieces(t)) for t in toxic]]), return_counts=True)
-    own = own[(texts >= TEXTS) & ~np.isin(own, known)]
+    at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+    elsewhere = np.where(known[at] == own, usual[at], 0) if len(known) else np.zeros(len(own))
+    own = own[(texts >= TEXTS) & (texts * (len(ordinary) + 1) >= OFTENER * (elsewhere + 0.5) * (len(toxic) + 1))]
     spans: Counter[bytes] = Counter()
     for t in toxic:
         hit = np.concatenate([[0], np.isin(pieces(t), own), [0]])
@@ -124,12 +128,12 @@ def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
     windows = [t[k : k + WINDOW] for t in ordinary for k in range(0, len(t), WINDOW)]
     windows = windows[:: max(1, len(windows) // 100_000)]
     content = dictionary([s for s, n in sorted(spans.items()) for _ in range(n)], TOXIC_BYTES)
-    model = Model(dictionary(windows, ORDINARY_BYTES), content, np.intersect1d(own, pieces(content)), np.zeros(3))
+    model = Model(dictionary(windows, ORDINARY_BYTES), content, np.intersect1d(own, pieces(content)), np.zeros(4))
     model.ready()
-    x = np.array([model.features(t) for part in tests for t in part], float).reshape(-1, 3)
+    x = np.array([model.features(t) for part in tests for t in part], float).reshape(-1, 4)
     y = np.repeat([1.0, 0.0], [len(tests[0]), len(tests[1])])
     if not len(toxic) or not len(ordinary):
-        model.weights = np.array([4.0 if len(toxic) else -4.0, 0.0, 0.0])
+        model.weights = np.array([4.0 if len(toxic) else -4.0, 0.0, 0.0, 0.0])
     else:
         model.weights = logistic_fit(x, y)
     return model
