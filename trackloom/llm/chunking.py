@@ -9,12 +9,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import batches, utf8
-from trackloom.session import materialised
+from trackloom.session import lookup
 
 #: Bytes of a chunk at least, as a rule, and at most.
 LEAST, USUAL, MOST = 8, 32, 128
@@ -74,8 +73,11 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
     return sum([n for d, n in a.items() if d in b]) / sum(a.values())
 
 
+#: Quantiles of the ids by which ranges are made alike.
+KNOTS = 256
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 NAMES = [x.split()[0] for x in RESULT.split(", ")]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
 def edited(text: str, following: str) -> str:
@@ -94,50 +96,56 @@ def neighbour_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "tex
     """Each document's fingerprint, compared with those of its edited text and of the next document.
 
     The next document is that with the next smaller id (equal ids: by a hash of the text; null ids last); after the last
-    comes the first. Rows are spread over tasks by ranges of ids and go through each task in order, two texts at a time.
-    The first and last documents of a task are set aside and matched in a second, small step. Null text is empty; empty
-    texts have an empty fingerprint; repeated rows follow each other and have likeness 1.
+    comes the first. Null text is empty; empty texts have an empty fingerprint; repeated rows follow each other and have
+    likeness 1.
+
+    Documents are dealt out by ranges of ids and go through their task in order, two texts at a time. The ranges follow
+    ``KNOTS`` quantiles of the ids, the one thing that comes to the driver. So that the last document of a range
+    finds its next one, a copy of each range's first document is dealt to the range before: one text for each range.
     """
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("range", ranges_of(rows, ranges))
+    firsts = lookup(rows.groupBy("range").agg(F.max("doc_id").alias("first_id")), "first-ids")
+    turn = Window.orderBy("range")
+    before = firsts.select("range", "first_id", F.coalesce(F.lag("range").over(turn), F.max("range").over(Window.partitionBy())).alias("to"))
+    before = lookup(before.withColumnRenamed("range", "of"), "ranges-before")
+    opens = rows.join(before, (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    opens = opens.groupBy("to").agg(F.min(F.struct(F.xxhash64("text").alias("print"), "doc_id", "text")).alias("x"))
+    opens = opens.select("x.doc_id", "x.text", F.col("to").alias("range"), F.lit(True).alias("opens"))
+    dealt = rows.withColumn("opens", F.lit(False)).unionByName(opens).repartition("range")
+    dealt = dealt.sortWithinPartitions("range", "opens", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
 
     def along(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        last = None  # id, text, fingerprint
+        last = None  # id, text, fingerprint, range
         for big in it:
             for b in batches(big, 256):
-                done, edge = [], []
-                for doc_id, raw in zip(b.column("doc_id").to_pylist(), utf8(b.column("text"))):
-                    now = (doc_id, raw.decode(), fingerprint(raw))
-                    if last is None:
-                        edge.append((*([None] * len(NAMES)), task, True, doc_id, now[1]))
-                    else:
-                        done.append((*compared(*last, *now[1:]), None, None, None, None))
-                    last = now
-                yield columns([*edge, *done])
-        if last is not None:
-            yield columns([(*([None] * len(NAMES)), task, False, last[0], last[1])])
-
-    yielded = f"{RESULT}, task int, opens boolean, edge_id long, edge_text string"
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.int64(), pa.string()]
-    names = [x.split()[0] for x in yielded.split(", ")]
-
-    def columns(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names=names)
-
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = materialised(rows.mapInArrow(along, yielded), "fingerprints")
-    edges = found.where("task is not null")
-    turn = Window.orderBy("task")
-    tasks = edges.where("opens").select("task")
-    after = tasks.select("task", F.coalesce(F.lead("task").over(turn), F.min("task").over(Window.partitionBy())).alias("next"))
-    heads = edges.where("opens").select(F.col("task").alias("next"), F.col("edge_text").alias("next_text"))
-    pairs = edges.where("not opens").join(after, "task").join(heads, "next").select("edge_id", "edge_text", "next_text")
-
-    def across(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            texts, others = utf8(b.column("edge_text")), utf8(b.column("next_text"))
-            done = [compared(i, t.decode(), fingerprint(t), o.decode(), fingerprint(o)) for i, t, o in zip(b.column("edge_id").to_pylist(), texts, others)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(types[: len(NAMES)])], names=NAMES)
-
-    return found.where("task is null").select(*NAMES).unionByName(pairs.mapInArrow(across, RESULT))
+                done = []
+                for doc_id, raw, own, opens in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("range").to_pylist(),
+                                                   b.column("opens").to_pylist()):
+                    now = (doc_id, raw.decode(), fingerprint(raw), own)
+                    if last is not None and last[3] == own:
+                        done.append(compared(*last[:3], *now[1:3]))
+                    last = None if opens else now
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(TYPES)], names=NAMES)
+
+    return dealt.mapInArrow(along, RESULT)
+
+
+def ranges_of(rows: DataFrame, ranges: int) -> Column:
+    """Number of a row's range of ids, from the largest ids on; null ids have the last.
+
+    Between ``KNOTS`` quantiles of the ids, ranges are of equal width, so that they hold about as many rows each.
+    """
+    shares = [k / KNOTS for k in range(KNOTS + 1)]
+    found = rows.agg(F.percentile_approx("doc_id", shares)).first()[0]
+    if not found:
+        return F.lit(0)
+    knots = sorted(set(found), reverse=True)
+    per = -(-ranges // KNOTS)
+    known = F.array(*[F.lit(k) for k in knots])
+    above = F.greatest(F.size(F.filter(known, lambda k: k > F.col("doc_id"))) - 1, F.lit(0))
+    high, low = (F.get(known, above + k).cast("double") for k in (0, 1))
+    inside = F.floor((high - F.col("doc_id").cast("double")) / (high - low) * per).cast("int")
+    own = above * per + F.least(F.greatest(F.coalesce(inside, F.lit(0)), F.lit(0)), F.lit(per - 1))
+    return F.when(F.col("doc_id").isNull(), (len(knots) + 1) * per).otherwise(own)
