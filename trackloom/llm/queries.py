@@ -10,6 +10,7 @@ from trackloom.llm.common import ENTRIES, register, table
 from trackloom.llm.linededup import without_spread_lines
 from trackloom.llm.mixing import mix
 from trackloom.llm.packing import pack, token_pieces
+from trackloom.llm.quality import fit_quality, with_quality
 from trackloom.llm.simhash import linked_documents
 from trackloom.llm.toxicity import fit_toxicity, with_toxicity
 
@@ -30,7 +31,14 @@ def toxicity_model(spark: SparkSession, sf_dir: str):
 
 @register("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(with_toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir)), 3, 1)
+    return scored(with_toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), whole=False), 3, 1)
+
+
+@register("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), lambda id: remainder(id, 4) != 2)
+    return scored(with_quality(docs, model, whole=False), 4, 2)
 
 
 OP4_SQL = r"""

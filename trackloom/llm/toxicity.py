@@ -146,16 +146,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, texts: int = 10_000,
     return fit([t for t, y in sample if y], [t for t, y in sample if not y])
 
 
-def with_toxicity(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``row`` (the document), ``doc_id`` and ``score`` (0 to 1) of every whole text. Null and empty texts have no window
+def with_toxicity(docs: DataFrame, model: Model, whole: bool = True, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row`` (the document, if ``whole``), ``doc_id`` and ``score`` (0 to 1) of every whole text. Null and empty texts have no window
     and the lowest score; the score of a text depends on it alone, so repeated rows agree."""
     rows = packed(docs, doc_id=F.col(f"`{id}`").cast("long"), text=F.col(f"`{text}`").cast("string"))
+    kept = ["row", "doc_id"] if whole else ["doc_id"]
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.ready()
         for big in it:
             for b in batches(big):
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(model.score(utf8(b.column("text"))))],
-                                                 names=["row", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(model.score(utf8(b.column("text"))))], names=[*kept, "score"])
 
-    return rows.mapInArrow(run, rows.select("row", "doc_id").schema.add("score", "double"))
+    return rows.select(*kept, "text").mapInArrow(run, rows.select(*kept).schema.add("score", "double"))
