@@ -12,6 +12,7 @@ from trackloom.llm.mixing import mix
 from trackloom.llm.packing import pack, token_pieces
 from trackloom.llm.quality import fit_quality, with_quality
 from trackloom.llm.simhash import linked_documents
+from trackloom.llm.topk import top_k
 from trackloom.llm.toxicity import fit_toxicity, with_toxicity
 
 
@@ -92,6 +93,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+OP8_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as t from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.t, c.t)::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
+@register("op8_top_k", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 OP9_SQL = r"""
 with d as (
   select doc_id, source, text, string_split(text, chr(10)) as lines from documents),

@@ -44,6 +44,17 @@ def place(found: np.ndarray) -> np.ndarray:
     return (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
 
 
+def texts_with(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pieces, and in how many of the texts each is; some texts at a time, to hold few pieces twice."""
+    found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    for k in range(0, len(texts), 500):
+        more, n = np.unique(np.concatenate([np.unique(pieces(t)) for t in texts[k : k + 500]]), return_counts=True)
+        both, at = np.unique(np.concatenate([found, more]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int32)
+        found = both
+    return found, counts
+
+
 def dictionary(samples: Sequence[bytes], size: int) -> bytes:
     """Dictionary content trained on ``samples``; where all distinct ones fit, or are too few for training, these themselves."""
     distinct = sorted(Counter(samples).items(), key=lambda x: (x[1], x[0]))  # the most frequent last, where they cost least
@@ -114,9 +125,7 @@ def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     tests = [t for t in toxic if fold(t, 4) == 0], [t for t in ordinary if fold(t, 4) == 0]
     toxic, ordinary = [plain(t) for t in toxic if fold(t, 4)], [plain(t) for t in ordinary if fold(t, 4)]
-    none = np.zeros(0, np.uint64)
-    known, usual = np.unique(np.concatenate([none, *[np.unique(pieces(t)) for t in ordinary]]), return_counts=True)
-    own, texts = np.unique(np.concatenate([none, *[np.unique(pieces(t)) for t in toxic]]), return_counts=True)
+    (known, usual), (own, texts) = texts_with(ordinary), texts_with(toxic)
     at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
     elsewhere = np.where(known[at] == own, usual[at], 0) if len(known) else np.zeros(len(own))
     own = own[(texts >= TEXTS) & (texts * (len(ordinary) + 1) >= OFTENER * (elsewhere + 0.5) * (len(toxic) + 1))]
