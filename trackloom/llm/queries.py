@@ -10,6 +10,7 @@ from trackloom.llm.common import ENTRIES, register, table
 from trackloom.llm.linededup import without_spread_lines
 from trackloom.llm.mixing import mix
 from trackloom.llm.packing import pack, token_pieces
+from trackloom.llm.pii import KINDS, listed, personal_data
 from trackloom.llm.quality import fit_quality, with_quality
 from trackloom.llm.simhash import linked_documents
 from trackloom.llm.topk import top_k
@@ -80,6 +81,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+@register("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+                        (F.size("spans") - F.size("base")).cast("long").alias("n_discovered"))
+
+
 @register("op6_simhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(table(spark, sf_dir, "documents"))
