@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.chunking import neighbour_fingerprints
 from trackloom.llm.common import ENTRIES, register, table
+from trackloom.llm.licences import HEADER, LIKE, TEMPLATES, file_licences
 from trackloom.llm.linededup import without_spread_lines
 from trackloom.llm.mixing import mix
 from trackloom.llm.packing import pack, token_pieces
@@ -15,6 +16,7 @@ from trackloom.llm.quality import fit_quality, with_quality
 from trackloom.llm.simhash import linked_documents
 from trackloom.llm.topk import top_k
 from trackloom.llm.toxicity import fit_toxicity, with_toxicity
+from trackloom.session import lookup
 
 
 def remainder(id: Column, parts: int) -> Column:
@@ -43,6 +45,71 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(with_quality(docs, model, whole=False), 4, 2)
 
 
+#: Documents as files: a third lie in their source's directory, a third in that of their language below it, a third in one for
+#: each hundred ids below that. The document with the smallest id is its directory's licence file.
+OP1_SQL = rf"""
+with d as (
+  select doc_id, text, case doc_id % 3 when 0 then source when 1 then source || '/' || lang
+         else source || '/' || lang || '/' || cast(doc_id // 100 as varchar) end as dir from documents),
+f as (
+  select doc_id, dir, string_split(text, chr(10)) as lines, doc_id = min(doc_id) over (partition by dir) as is_licence from d),
+h as (
+  select doc_id, dir, is_licence, case when is_licence or len(lines) <= {2 * HEADER} then lines
+         else list_concat(lines[1:{HEADER}], lines[-{HEADER}:]) end as lines from f),
+l as (
+  select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from h),
+w as (
+  select doc_id, i, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) as term from l),
+k as (
+  select licence, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term
+  from (values {", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES.items())}) v(licence, text)),
+n as (
+  select count(*) as files from documents),
+idf as (
+  select v.term, ln((1.0::double + files) / (1.0::double + count(distinct w.doc_id))) + 1.0 as idf
+  from (select distinct term from k) v cross join n left join w on w.term = v.term group by v.term, files),
+t as (
+  select licence, k.term, count(*) * any_value(idf) as w from k join idf using (term) group by licence, k.term),
+u as (
+  select licence, term, w / sqrt(sum(w * w) over (partition by licence)) as share from t),
+x as (
+  select doc_id, i, w.term, count(*) * coalesce(any_value(idf), ln(1.0::double + any_value(files)) + 1.0) as w
+  from w cross join n left join idf on idf.term = w.term group by doc_id, i, w.term),
+y as (
+  select doc_id, i, sqrt(sum(w * w)) as length from x group by doc_id, i),
+z as (
+  select x.doc_id, u.licence, round(sum(x.w * u.share) / any_value(y.length), 6) as score
+  from x join u on x.term = u.term join y on y.doc_id = x.doc_id and y.i = x.i group by x.doc_id, x.i, u.licence),
+o as (
+  select doc_id, licence, score from z where score >= {LIKE}
+  qualify row_number() over (partition by doc_id order by score desc, licence) = 1),
+g as (
+  select h.dir, o.licence, o.score from h join o using (doc_id) where is_licence),
+a as (
+  select h.doc_id, g.dir, g.licence, g.score
+  from h join g on h.dir = g.dir or starts_with(h.dir, g.dir || '/')
+  qualify row_number() over (partition by h.doc_id order by len(g.dir) desc) = 1)
+select h.doc_id, h.dir || '/' || case when is_licence then 'LICENSE' else cast(h.doc_id as varchar) || '.txt' end as path,
+       coalesce(o.licence, a.licence) as licence, coalesce(o.score, a.score) as score,
+       case when o.licence is not null then 'header' when a.licence is not null then 'inherited' else 'none' end as found,
+       case when o.licence is null then a.dir end as directory
+from h left join o using (doc_id) left join a using (doc_id)
+"""
+
+
+@register("op1_licences", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    hundred = F.floor(F.col("doc_id") / 100).cast("string")
+    parts = F.when(F.col("doc_id") % 3 == 0, F.array("source")).when(F.col("doc_id") % 3 == 1, F.array("source", "lang")).otherwise(
+        F.array("source", "lang", hundred))
+    docs = docs.withColumn("dir", F.array_join(F.transform(parts, lambda p: F.coalesce(p, F.lit("_"))), "/"))
+    first = lookup(docs.groupBy("dir").agg(F.min("doc_id").alias("first")), "first-files")
+    name = F.when(F.col("doc_id") == F.col("first"), "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.join(first, "dir").select("doc_id", "text", F.concat_ws("/", "dir", name).alias("path"))
+    return file_licences(files, keep=("doc_id",))
+
+
 OP4_SQL = r"""
 with d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
