@@ -351,14 +351,14 @@ def test_clusters_beat_the_start(spark):
     assert found.select("cluster").distinct().count() == 4 and cost < 200
     picked = C.kmeans_select(df, 4, 1, ["session", "frame"])
     assert picked.agg(F.sum("cluster_size")).first()[0] == 120 and picked.count() == 4
-    even = C.kmeans_per_session(df, 8, 3, 1).groupBy("session").count().collect()
+    even = C.kmeans_per_session(df, 8, 1).groupBy("session").count().collect()
     assert {r["session"] for r in even} == {"s", "t"} and all(r["count"] <= 4 for r in even)
 
 
 def test_sessions_with_few_poses_give_all(spark):
     df = spark.createDataFrame([("s", i, [float(i)]) for i in range(3)] + [("t", i, [float(i % 7)]) for i in range(40)],
                                "session string, frame long, v array<double>")
-    got = C.kmeans_per_session(df, 10, 1, 0, iterations=3)
+    got = C.kmeans_per_session(df, 10, 0)
     assert sorted(r.frame for r in got.where("session = 's'").collect()) == [0, 1, 2]
 
 
@@ -366,3 +366,54 @@ def test_quotas_give_the_rest_to_the_first(spark):
     df = spark.createDataFrame([(s, i) for s in "cab" for i in range(9)], "session string, frame long")
     assert {r.session: r.quota for r in P.quotas(df, 8).collect()} == {"a": 3, "b": 3, "c": 2}
     assert P.balanced(df, 8, [F.col("frame")]).count() == 8
+
+
+# Cases of the review.
+
+def test_a_view_counts_once_in_the_likelihood_filter(spark):
+    rows = [("s", f, v, "k", seed, 0.9 if v == "v0" else low) for f, low in ((0, 0.1), (1, 0.95)) for v in ("v0", "v1") for seed in (0, 1)]
+    rows += [("s", 2, v, "k", 0, 0.95) for v in ("v0", "v1")]
+    pred = spark.createDataFrame(rows, "session string, frame long, view string, keypoint string, seed long, likelihood double")
+    assert sorted(r.frame for r in E.confident_frames(pred, 0.5, 2).collect()) == [1, 2]
+
+
+def test_grid_values_without_points_compete(spark):
+    rows = [("m", "v", 0.5, 1.0)] * 80 + [("m", "v", 1.5, 1.0)] * 20
+    df = spark.createDataFrame(rows, "model string, view string, ens_std double, error double")
+    swept = V.threshold_sweep(df, [0.0, 1.0, 2.0, 3.0], ["model"]).orderBy("threshold").collect()
+    assert [(r.n_points, r.mean_error) for r in swept] == [(100, 1.0), (20, 1.0), (0, None), (0, None)]
+    best = V.sweep_percentiles(df, [0.0, 1.0, 2.0, 3.0], [5, 20]).collect()
+    assert {r.share: r.threshold for r in best} == {5.0: 2.0, 20.0: 1.0}
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",nose,tail,set\nimg1,3,4,train\n")
+    (tmp_path / "b.csv").write_text(',tail,"nose"\n"img,2",3,4\n')
+    from trackloom.sources.markers import read_pixel_errors
+
+    got = {(r["index"], r.keypoint): (r.error, r.set) for r in read_pixel_errors(spark, str(tmp_path), ["nose", "tail"]).collect()}
+    assert got == {("img1", "nose"): (3.0, "train"), ("img1", "tail"): (4.0, "train"), ("img,2", "nose"): (4.0, None), ("img,2", "tail"): (3.0, None)}
+
+
+def test_labelled_frames_are_png(spark):
+    df = spark.createDataFrame([("labeled-data/s_L/img00000007.png",), ("labeled-data/s_L/img00000007.jpg",)], "p string")
+    assert [r.i and tuple(r.i) for r in df.select(N.labelled_frame(F.col("p"), ["L"]).alias("i")).collect()] == [("s", 7), None]
+
+
+def test_equal_poses_still_fill_the_share(spark):
+    df = spark.createDataFrame([("s", i, [float(i % 3)]) for i in range(50)] + [("t", i, [float(i)]) for i in range(50)],
+                               "session string, frame long, v array<double>")
+    got = C.kmeans_per_session(df, 60, 3).collect()
+    assert len({(r["session"], r.frame) for r in got}) == len(got) == 60
+
+
+def test_checked_join_raises(spark):
+    lab = spark.createDataFrame([("s", "v", 1, "k"), ("s", "v", 2, "k")], "session string, view string, frame long, keypoint string")
+    with pytest.raises(ValueError):
+        J.labels_with_predictions(lab, lab.where("frame = 1"), checked=True)
+    assert J.labels_with_predictions(lab, lab, checked=True).count() == 2
+
+
+def test_pairs_of_models_without_a_match_have_zero(spark):
+    ev = spark.createDataFrame([("s", "a", 10), ("s", "b", 100)], "session string, model string, onset long")
+    assert {(r.model, r.other): r.matched for r in B.saccade_agreement(ev).collect()} == {("a", "a"): 1, ("a", "b"): 0, ("b", "a"): 0, ("b", "b"): 1}

@@ -87,7 +87,8 @@ def angle_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("yaw_histogram", "A32", with_tables("fx_angle", """b AS (SELECT model, least(floor(round((yaw + 180) / 10, 9)), 35)::BIGINT AS bin
  FROM fx_angle WHERE yaw BETWEEN -180 AND 180), c AS (SELECT model, bin, count(*) AS n FROM b GROUP BY 1, 2)
-SELECT model, bin, round(n / sum(n) OVER (PARTITION BY model), 6) AS share FROM c"""))
+SELECT m.model, i AS bin, round(coalesce(n, 0) / m.total, 6) AS share FROM (SELECT model, sum(n) AS total FROM c GROUP BY 1) m
+CROSS JOIN range(36) t(i) LEFT JOIN c ON c.model = m.model AND c.bin = i"""))
 def yaw_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return r(B.yaw_histogram(X.angles(spark, sf)).withColumn("bin", F.col("bin").cast("bigint")), "share")
 
@@ -151,7 +152,8 @@ def fixation_stability(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("saccade_agreement", "J7", with_tables("fx_angle", EVENTS + """, a AS (SELECT DISTINCT a.model, b.model AS other, a.session, a.onset
  FROM ev a JOIN ev b ON a.session = b.session AND abs(a.onset - b.onset) <= 3)
-SELECT model, other, count(*) AS matched FROM a GROUP BY 1, 2"""))
+SELECT p.model, q.model AS other, count(a.onset) AS matched FROM (SELECT DISTINCT model FROM ev) p CROSS JOIN (SELECT DISTINCT model FROM ev) q
+LEFT JOIN a ON a.model = p.model AND a.other = q.model GROUP BY 1, 2"""))
 def saccade_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return B.saccade_agreement(events(spark, sf))
 
@@ -167,11 +169,13 @@ def saccade_consensus(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("consensus_share", "W8", with_tables("fx_angle", CONSENSUS + """, f AS (SELECT model, EXISTS (SELECT 1 FROM co
  WHERE co.session = ev.session AND abs(co.onset - ev.onset) <= 3) AS i FROM ev)
-SELECT model, count(*) AS total, count_if(i)::BIGINT AS in_consensus, (count(*) - count_if(i))::BIGINT AS "unique",
- round(100 * count_if(i) / count(*), 6) AS agreement_pct FROM f GROUP BY 1"""))
+SELECT m.model, count(f.i) AS total, count_if(f.i)::BIGINT AS in_consensus, (count(f.i) - count_if(f.i))::BIGINT AS "unique",
+ round(coalesce(100 * count_if(f.i) / nullif(count(f.i), 0), 0), 6) AS agreement_pct
+FROM (SELECT DISTINCT model FROM fx_angle UNION SELECT 'still') m LEFT JOIN f ON f.model = m.model GROUP BY 1"""))
 def consensus_share(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
-    return r(B.consensus_share(e, B.saccade_consensus(e, 3)), "agreement_pct")
+    models = [m.model for m in X.angles(spark, sf).select("model").distinct().collect()]
+    return r(B.consensus_share(e, B.saccade_consensus(e, 3), models=[*models, "still"]), "agreement_pct")
 
 
 @register("saccade_average", "W9 J10", with_tables("fx_angle", EVENTS + """, ends AS (SELECT model, session, min(frame) AS a, max(frame) AS z

@@ -94,8 +94,17 @@ def kmeans_select(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("kmeans_per_session", "T6 M18")
 def kmeans_per_session(spark: SparkSession, sf: str) -> DataFrame:
-    """About 60 poses, evenly over the sessions."""
-    return C.kmeans_per_session(poses(spark, sf), 60, 9, 7, iterations=5)
+    """60 poses, evenly over the sessions."""
+    return C.kmeans_per_session(poses(spark, sf), 60, 7)
+
+
+@register("kmeans_session_counts", "T6", with_tables("fx_world", """f AS (SELECT session, frame FROM fx_world GROUP BY 1, 2
+ HAVING count(X + Y + Z) = 3), s AS (SELECT session, count(*) AS n, row_number() OVER (ORDER BY session) - 1 AS i, count(*) OVER () AS k FROM f GROUP BY 1)
+SELECT session, least(n, 60 // k + CASE WHEN i < 60 % k THEN 1 ELSE 0 END)::BIGINT AS frames FROM s"""))
+def kmeans_session_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many different frames each session gives."""
+    picked = C.kmeans_per_session(poses(spark, sf), 60, 7)
+    return picked.groupBy("session").agg(F.count_distinct("frame").alias("frames"))
 
 
 @register("pose_hierarchy", "M23 M24")

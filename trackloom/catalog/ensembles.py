@@ -67,7 +67,7 @@ def frame_variance_score(spark: SparkSession, sf: str) -> DataFrame:
  CASE WHEN keypoint = 'nose' AND view <> 'v0' THEN likelihood / 3 ELSE likelihood END AS lik FROM fx_pred),
 ever AS (SELECT session, view, keypoint, max(lik) >= 0.5 AS e FROM f GROUP BY 1, 2, 3),
 act AS (SELECT session, keypoint FROM ever GROUP BY 1, 2 HAVING count_if(e) >= 2),
-c AS (SELECT session, frame, keypoint, count_if(lik > 0.5) AS n FROM f GROUP BY 1, 2, 3)
+c AS (SELECT session, frame, keypoint, count(DISTINCT CASE WHEN lik > 0.5 THEN view END) AS n FROM f GROUP BY 1, 2, 3)
 SELECT session, frame FROM c JOIN act USING (session, keypoint) GROUP BY 1, 2 HAVING bool_and(n >= 2)"""))
 def likelihood_filter(spark: SparkSession, sf: str) -> DataFrame:
     p = X.predictions(spark, sf)

@@ -60,6 +60,20 @@ def triangulate(spark: SparkSession, sf: str) -> DataFrame:
     return near(G.triangulate(noise_free(spark, sf), X.cameras(spark, sf)), "X", "Y", "Z")
 
 
+@register("triangulate_valid", "M6 M1", with_tables("fx_seen", """o AS (SELECT *, (ok + kp + vi) % 53 = 0 OR ((frame * 7 + substr(view, 2)::BIGINT) % 5 = 0 AND keypoint = 'nose') AS hole
+ FROM fx_seen), w AS (SELECT *, count_if(NOT hole) OVER (PARTITION BY session, frame, view) AS n FROM o), f AS (SELECT *, min(n) OVER (PARTITION BY session, frame) AS nf FROM w),
+m AS (SELECT 'frame' AS mode, * FROM f WHERE nf = 3 UNION ALL SELECT 'all', * FROM f WHERE n = 3
+ UNION ALL SELECT 'most', * FROM f WHERE n > 1.5 AND NOT hole)
+SELECT mode, session, frame, keypoint, count(*) AS n_views FROM m GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2"""))
+def triangulate_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """How many views are left to each point where one keypoint is missing in some views."""
+    hole = ((F.col("frame") * 7 + F.substring("view", 2, 9).cast("long")) % 5 == 0) & (F.col("keypoint") == "nose")
+    seen = noise_free(spark, sf).withColumns({c: F.when(~hole, F.col(c)) for c in "xy"})
+    modes = [G.triangulate(seen, X.cameras(spark, sf), validity=m, n_keypoints=len(X.KEYPOINTS)).withColumn("mode", F.lit(m))
+             for m in ("frame", "all", "most")]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2]).select("mode", "session", "frame", "keypoint", "n_views")
+
+
 @register("triangulate_bent", "M1 M4", with_tables("fx_world", """SELECT session, frame, keypoint, 4::BIGINT AS n_views,
  round(X, 4) + 0.0::DOUBLE AS X, round(Y, 4) + 0.0::DOUBLE AS Y, round(Z, 4) + 0.0::DOUBLE AS Z FROM fx_world"""))
 def triangulate_bent(spark: SparkSession, sf: str) -> DataFrame:

@@ -103,7 +103,7 @@ def name_image_path(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("name_labelled_frame", "F5", NAMES + rf"""SELECT id,
  regexp_replace(name, '_({'|'.join(LONGEST)})(_|\.|$)', '\2') AS session, {FRAME} AS frame
-FROM n WHERE {FRAME} IS NOT NULL""")
+FROM n WHERE {FRAME} IS NOT NULL AND ends_with(path, '.png')""")
 def name_labelled_frame(spark: SparkSession, sf: str) -> DataFrame:
     made = N.labelled_frame(F.col("path"), VIEWS)
     return names(spark, sf).select("id", made.alias("i")).where("i is not null").select("id", "i.session", "i.frame")
@@ -147,13 +147,10 @@ def name_file_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return lookup_files(n.select("id", "session", "view"), listing, ["id", "view"]).select("id", "view", "file")
 
 
-@register("name_without_view", "F10", NAMES + """, k AS (SELECT id, replace(replace(path, '_' || view || '_',
- '_VIEWPLACEHOLDER_'), '_' || view || '/', '_VIEWPLACEHOLDER/') AS frame_key FROM n)
-SELECT id, frame_key, replace(replace(string_split(frame_key, '/')[2], '_VIEWPLACEHOLDER_', '_'), '_VIEWPLACEHOLDER', '')
- AS session FROM k""")
+@register("name_without_view", "F10", NAMES + """SELECT id, array_to_string(list_filter(string_split(name, '_'),
+ lambda t: t <> view), '_') AS session, string_split(path, '/')[-1] AS image FROM n""")
 def name_without_view(spark: SparkSession, sf: str) -> DataFrame:
-    keyed = names(spark, sf).select("id", N.without_view(F.col("path"), F.col("view")).alias("frame_key"))
-    return keyed.withColumn("session", N.session_of_key(F.col("frame_key")))
+    return names(spark, sf).select("id", N.without_view(F.col("path"), F.col("view")).alias("key")).select("id", "key.*")
 
 
 @register("name_box_file", "F11", NAMES + r"""SELECT id,

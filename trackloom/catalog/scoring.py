@@ -31,7 +31,8 @@ def pixel_error(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("error_table", "A4 W12 A2", with_tables("fx_label fx_pred", """s AS (SELECT session, view, frame, keypoint,
- (stddev_pop(x) + stddev_pop(y)) / 2 AS ens_std FROM fx_pred GROUP BY ALL),
+ (stddev_pop(x) + stddev_pop(y)) / 2 AS ens_std FROM fx_pred JOIN (SELECT DISTINCT session, view, frame, keypoint FROM fx_label)
+ USING (session, view, frame, keypoint) GROUP BY ALL),
 k AS (SELECT *, round(ens_std, 9) AS q FROM s),
 p AS (SELECT session, view, frame, keypoint, ens_std,
  CAST(rank() OVER (PARTITION BY view ORDER BY q) - 1 AS DOUBLE) / count(*) OVER (PARTITION BY view) AS std_rank,
@@ -42,8 +43,9 @@ SELECT seed, session, view, frame, keypoint, round(sqrt(power(lx - x, 2) + power
  round(likelihood, 6) AS likelihood FROM fx_label JOIN fx_pred USING (session, view, frame, keypoint)
  JOIN p USING (session, view, frame, keypoint)"""))
 def error_table(spark: SparkSession, sf: str) -> DataFrame:
-    pred = X.predictions(spark, sf).select("seed", *KEYS, "x", "y", "likelihood")
-    errors = V.pixel_error(X.labels(spark, sf).select(*KEYS, "lx", "ly"), pred)
+    lab = X.labels(spark, sf).select(*KEYS, "lx", "ly")
+    pred = X.predictions(spark, sf).select("seed", *KEYS, "x", "y", "likelihood").join(lab.select(*KEYS).distinct(), KEYS, "left_semi")
+    errors = V.pixel_error(lab, pred)
     out = V.error_table(errors.select("seed", *KEYS, "error", "likelihood"), E.ensemble_std(pred))
     return r(out, "error", "ens_std", "std_rank", "std_rank_keypoint", "likelihood")
 
@@ -51,15 +53,17 @@ def error_table(spark: SparkSession, sf: str) -> DataFrame:
 _GRID_SQL = "g AS (SELECT CAST(i AS BIGINT) AS i, i * CAST(0.5 AS DOUBLE) AS threshold FROM range(16) t(i))"
 
 
-@register("threshold_sweep", "A5", with_tables("fx_sweep", _GRID_SQL + """ SELECT view, model, threshold,
- count(error) AS n_points, round(avg(error), 6) AS mean_error FROM fx_sweep, g WHERE ens_std > threshold
- GROUP BY view, model, threshold"""))
+@register("threshold_sweep", "A5", with_tables("fx_sweep", _GRID_SQL + """, k AS (SELECT DISTINCT view, model FROM fx_sweep)
+SELECT k.view, k.model, threshold, count(error) AS n_points, round(avg(error), 6) AS mean_error
+FROM k CROSS JOIN g LEFT JOIN fx_sweep f ON f.view = k.view AND f.model = k.model AND ens_std > threshold
+GROUP BY k.view, k.model, threshold"""))
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return r(V.threshold_sweep(X.sweep_rows(spark, sf), GRID), "mean_error")
 
 
-@register("sweep_percentiles", "A6", with_tables("fx_sweep", _GRID_SQL + """, c AS (SELECT model, i, threshold, count(error) AS n
- FROM fx_sweep, g WHERE ens_std > threshold GROUP BY 1, 2, 3),
+@register("sweep_percentiles", "A6", with_tables("fx_sweep", _GRID_SQL + """, k AS (SELECT DISTINCT model FROM fx_sweep),
+c AS (SELECT k.model, i, threshold, count(error) AS n
+ FROM k CROSS JOIN g LEFT JOIN fx_sweep f ON f.model = k.model AND ens_std > threshold GROUP BY 1, 2, 3),
 f AS (SELECT model, n AS n0 FROM c WHERE i = 0), s AS (SELECT unnest([95, 50, 5])::DOUBLE AS share),
 q AS (SELECT *, row_number() OVER (PARTITION BY model, share ORDER BY round(abs(n - n0 * share / 100), 9), i) AS rn
  FROM c JOIN f USING (model), s)
@@ -193,10 +197,10 @@ def reprojection_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("global_reprojection_error", "A23", with_tables("fx_holes", """k AS (SELECT seed, session, frame, view, keypoint,
  (abs(x - u) + abs(y - w)) / 2 AS e FROM fx_holes), v AS (SELECT seed, session, frame, view, avg(e) AS e FROM k GROUP BY 1, 2, 3, 4)
-SELECT seed, session, frame, round(avg(e), 6) AS error FROM v GROUP BY 1, 2, 3"""))
+SELECT seed, session, frame, round(avg(e), 9) AS error FROM v GROUP BY 1, 2, 3"""))
 def global_reprojection_error(spark: SparkSession, sf: str) -> DataFrame:
     e = X.holes(spark, sf).withColumns({"dx": F.abs(F.col("x") - F.col("u")), "dy": F.abs(F.col("y") - F.col("w"))})
-    return r(V.global_reprojection_error(e, ["seed", "session", "frame"]), "error")
+    return V.global_reprojection_error(e, ["seed", "session", "frame"]).withColumn("error", F.round("error", 9))
 
 
 @register("throughput", "A37", with_tables("fx_timing", """t AS (SELECT *, CASE WHEN mode = 'train' THEN 1 / time_per_batch

@@ -106,13 +106,17 @@ def boxes_from_keypoints(df: DataFrame, scales: DataFrame, half_size: float, fal
 
 def valid_observations(df: DataFrame, n_keypoints: int, mode: str = "all",
                        keys: tuple[str, ...] = ("session", "frame", "view")) -> DataFrame:
-    """x, y become NULL in a view and frame whose keypoints are not all ("all") or not mostly ("most") present."""
+    """x, y become NULL in a view and frame whose keypoints are not all ("all") or not mostly ("most") present, or in the
+    whole frame if any view of it misses one ("frame")."""
     n = F.count(F.col("x") + F.col("y")).over(Window.partitionBy(*keys))
     if mode == "all":
         ok = n == n_keypoints
     elif mode == "most":
         ok = n > n_keypoints / 2
+    elif mode == "frame":
+        df = df.withColumn("_n", n)
+        ok = F.min("_n").over(Window.partitionBy(*[k for k in keys if k != "view"])) == n_keypoints
     else:
         raise ValueError(f"unknown mode {mode}")
     return df.withColumn("_ok", ok).withColumns(
-        {"x": F.when(F.col("_ok"), F.col("x")), "y": F.when(F.col("_ok"), F.col("y"))}).drop("_ok")
+        {"x": F.when(F.col("_ok"), F.col("x")), "y": F.when(F.col("_ok"), F.col("y"))}).drop("_ok", "_n")

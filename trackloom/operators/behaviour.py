@@ -186,13 +186,15 @@ def angular_error(traces: DataFrame, truth: DataFrame, names: Sequence[str] = ("
 
 
 def yaw_histogram(traces: DataFrame, bins: int = 36, value: str = "yaw") -> DataFrame:
-    """Share of frames per model in equal bins of [-180, 180]; the last bin includes its upper edge. Empty bins are
-    left out."""
+    """Share of frames per model in equal bins of [-180, 180]; the last bin includes its upper edge. Every model has all bins."""
     width = 360.0 / bins
     at = F.floor(F.round((F.col(value) + 180) / width, 9))
     counts = traces.where(F.col(value).between(-180, 180)).groupBy("model", F.least(at, F.lit(bins - 1)).alias("bin")).agg(
         F.count(F.lit(1)).alias("_n"))
-    return counts.select("model", "bin", (F.col("_n") / F.sum("_n").over(Window.partitionBy("model"))).alias("share"))
+    total = counts.groupBy("model").agg(F.sum("_n").alias("_all"))
+    every = total.select("model", "_all", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
+    both = every.join(counts.withColumn("bin", F.col("bin").cast("bigint")), ["model", "bin"], "left")
+    return both.select("model", "bin", (F.coalesce("_n", F.lit(0)) / F.col("_all")).alias("share"))
 
 
 def velocity_density(traces: DataFrame, dt: float, cap: float, points: int = 500, bandwidth: float = 0.08,
@@ -280,12 +282,15 @@ def fixation_stability(traces: DataFrame, events: DataFrame, dt: float, names: S
 def saccade_agreement(events: DataFrame, tolerance: int = 3) -> DataFrame:
     """For each ordered pair of models, how many onsets of the first have one of the second within ``tolerance``.
 
-    A model against itself counts its onsets.
+    A model against itself counts its onsets; pairs without a match have 0. Pairs are of models, whose number is small.
     """
     onsets = events.select("session", "model", "onset")
     other = events.select("session", F.col("model").alias("other"), "onset")
     hit = near(onsets, other, ["session"], "onset", tolerance).select("session", "model", "other", "onset").distinct()
-    return hit.groupBy("model", "other").agg(F.count(F.lit(1)).alias("matched"))
+    matched = hit.groupBy("model", "other").agg(F.count(F.lit(1)).alias("matched"))
+    models = events.groupBy(F.lit(1).alias("_one")).agg(F.collect_set("model").alias("_all"))
+    pairs = models.select(F.explode("_all").alias("model"), "_all").select("model", F.explode("_all").alias("other"))
+    return pairs.join(matched, ["model", "other"], "left").fillna(0, ["matched"])
 
 
 def saccade_consensus(events: DataFrame, n_models: int, tolerance: int = 3) -> DataFrame:
@@ -297,15 +302,19 @@ def saccade_consensus(events: DataFrame, n_models: int, tolerance: int = 3) -> D
     return votes.where(F.col("n_agree") >= max(2, n_models // 2))
 
 
-def consensus_share(events: DataFrame, consensus: DataFrame, tolerance: int = 3) -> DataFrame:
-    """Per model: saccades, those near a consensus onset, the rest, and the share (%)."""
+def consensus_share(events: DataFrame, consensus: DataFrame, tolerance: int = 3, models: Sequence[str] = ()) -> DataFrame:
+    """Per model: saccades, those near a consensus onset, the rest, and the share (%). The ``models`` that have no
+    saccade are there with zeros."""
     onsets = events.select("session", "model", "onset")
     found = near(onsets, consensus.select("session", "onset"), ["session"], "onset", tolerance).select(
         "session", "model", "onset").distinct().groupBy("model").agg(F.count(F.lit(1)).alias("_in"))
     total = events.groupBy("model").agg(F.count(F.lit(1)).alias("total"))
+    if models:
+        named = events.sparkSession.createDataFrame([(m,) for m in models], "model string")
+        total = named.join(total, "model", "left").fillna(0, ["total"])
     out = total.join(found, "model", "left").withColumn("in_consensus", F.coalesce("_in", F.lit(0)))
     return out.select("model", "total", "in_consensus", (F.col("total") - F.col("in_consensus")).alias("unique"),
-                      (100 * F.col("in_consensus") / F.col("total")).alias("agreement_pct"))
+                      F.coalesce(100 * F.col("in_consensus") / F.nullif("total", F.lit(0)), F.lit(0.0)).alias("agreement_pct"))
 
 
 def saccade_average(events: DataFrame, traces: DataFrame, before: int, after: int, value: str = "yaw") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -119,10 +121,12 @@ def _vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.where(F.col(vector).isNotNull() & whole).withColumn("_vec", array_to_vector(F.col(vector)))
 
 
-def kmeans(df: DataFrame, k: int, seed: int, vector: str = "v", iterations: int = 50) -> tuple[DataFrame, DataFrame, float]:
-    """Rows with ``cluster``, the centres and the sum of squared distances (fits a model)."""
-    rows = _vectors(df, vector)
-    model = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="_vec", predictionCol="cluster").fit(rows)
+def kmeans(df: DataFrame, k: int, seed: int, vector: str = "v", iterations: int = 300, starts: int = 10
+           ) -> tuple[DataFrame, DataFrame, float]:
+    """Rows with ``cluster``, the centres and the sum of squared distances: the best of ``starts`` fitted models."""
+    rows = materialised(_vectors(df, vector), "vectors")
+    fits = [KMeans(k=k, seed=seed + n, maxIter=iterations, featuresCol="_vec", predictionCol="cluster").fit(rows) for n in range(starts)]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
     found = model.transform(rows).drop("_vec")
     return found, center_rows(df, [c.tolist() for c in model.clusterCenters()]), model.summary.trainingCost
 
@@ -154,31 +158,91 @@ def embed_2d(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return out.withColumns({f"e{i + 1}": F.col("_a")[i] * F.lit(sign[i]) for i in range(2)}).drop("_raw", "_std", "_pc", "_a")
 
 
-def kmeans_per_session(df: DataFrame, total: int, size: int, seed: int, keys: Sequence[str] = ("session", "frame"),
-                       vector: str = "v", iterations: int = 10) -> DataFrame:
-    """About ``total`` frames over all sessions: each session gets its share of clusters and gives the frame nearest
-    to each centre.
+def kmeans_per_session(df: DataFrame, total: int, seed: int, keys: Sequence[str] = ("session", "frame"), vector: str = "v",
+                       rounds: int = 100, moved: float = 1e-6) -> DataFrame:
+    """``total`` frames over all sessions: each session gets its share of clusters and gives the frame nearest to each
+    centre; a session with fewer frames than its share gives all.
 
-    All sessions are clustered in the same jobs: rows are assigned to the centres of their session, new centres are
-    averages per session and cluster. Each round's centres are written to the shared folder, so plans stay short and a
-    lost executor costs one round. Starts from a seeded draw; a session with fewer poses than its share gives all.
+    All sessions are clustered in the same jobs. Starts are distinct poses, drawn by seed; rounds go on until no centre moves
+    by more than ``moved``, ``rounds`` at most. A cluster that loses its members starts anew at the pose that is farthest from its
+    centre. Where a session has fewer distinct poses than its share, frames drawn by seed fill it up (their cluster is NULL).
+    The centres, ``total`` of them, are held by the driver; tasks send it one sum per cluster and batch.
     """
+    keys = list(keys)
     poses = materialised(df.where(~F.exists(vector, lambda x: x.isNull())).select(*keys, vector), "poses")
-    share = quotas(poses, total)
-    start = first_n(poses, ["session"], [hash_order(seed, keys), *cols(keys)], total, "_rn").join(share, "session")
-    centers = start.where(F.col("_rn") <= F.col("quota")).select(
-        "session", F.col("_rn").alias("cluster"), F.col(vector).alias("center"))
-
-    def assigned(current: DataFrame) -> DataFrame:
-        held = lookup(current.groupBy("session").agg(F.collect_list(F.struct("cluster", "center")).alias("_c")), "centers")
-        far = F.transform("_c", lambda c: F.struct(F.aggregate(
-            F.zip_with(vector, c["center"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"),
-            c["cluster"].alias("cluster")))
-        return poses.join(held, "session").withColumn("cluster", F.array_min(far)["cluster"]).drop("_c")
-
-    centers = materialised(centers, "start")
-    for _ in range(iterations):
-        moved = assigned(centers).groupBy("session", "cluster").agg(
-            F.array(*[F.avg(F.get(vector, i)) for i in range(size)]).alias("center"))
-        centers = materialised(moved, "centers")
-    return nearest_to_center(assigned(centers), centers, keys[1:], ("session", "cluster"), vector)
+    share = {r.session: r.quota for r in quotas(poses, total).where("quota > 0").collect()}
+    order = hash_order(seed, keys)
+    distinct = poses.groupBy("session", vector).agg(F.min(order).alias("_h"))
+    starts: dict[str, list] = {}
+    for r in first_n(distinct, ["session"], [F.col("_h")], max(share.values(), default=1), "_rn").collect():
+        if r["_rn"] <= share.get(r["session"], 0):
+            starts.setdefault(r["session"], []).append((r["_rn"], list(r[vector])))
+    centers = {s: np.array([v for _, v in sorted(rows)]) for s, rows in starts.items()}
+
+    def nearest(batch: pa.RecordBatch, current: dict) -> Iterator[tuple]:
+        """session, places in the batch, vectors, cluster and squared distance"""
+        sessions = np.array(batch.column("session").to_pylist(), object)
+        vectors = np.array(batch.column(vector).to_pylist(), float)
+        for s in set(sessions) & current.keys():
+            at = np.flatnonzero(sessions == s)
+            v = vectors[at]
+            far = ((v[:, None, :] - current[s][None, :, :]) ** 2).sum(axis=2)
+            yield s, at, v, far.argmin(axis=1), far.min(axis=1)
+
+    def sums(current: dict) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (piece for whole in batches for piece in (whole.slice(k, 2048) for k in range(0, whole.num_rows, 2048))):
+                rows: list[tuple] = []
+                for s, _, v, own, far in nearest(b, current):
+                    for c in np.unique(own):
+                        rows.append((s, int(c), int((own == c).sum()), v[own == c].sum(axis=0).tolist(), None))
+                    worst = int(far.argmax())
+                    rows.append((s, -1, 0, v[worst].tolist(), float(far[worst])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                    (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64()))], names=["session", "cluster", "n", "s", "far"])
+
+        out = poses.select("session", vector).mapInArrow(run, "session string, cluster int, n long, s array<double>, far double")
+        size = len(next(iter(current.values()))[0])
+        plain = out.where("cluster >= 0").groupBy("session", "cluster").agg(
+            F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", i)) for i in range(size)]).alias("s"))
+        worst = out.where("cluster < 0").groupBy("session").agg(F.max_by("s", "far").alias("s"))
+        return plain.unionByName(worst.select("session", F.lit(-1).alias("cluster"), F.lit(0).cast("long").alias("n"), "s")).collect()
+
+    for _ in range(rounds if centers else 0):
+        after = {s: c.copy() for s, c in centers.items()}
+        seen: dict[str, set] = {s: set() for s in centers}
+        worst = {}
+        for r in sums(centers):
+            if r.cluster < 0:
+                worst[r.session] = np.array(r.s)
+            else:
+                after[r.session][r.cluster] = np.array(r.s) / r.n
+                seen[r.session].add(r.cluster)
+        for s, found in seen.items():
+            lost = sorted(set(range(len(after[s]))) - found)
+            if lost and s in worst:
+                after[s][lost[0]] = worst[s]  # one in a round; the others follow
+        step = max((float(np.abs(after[s] - centers[s]).max()) for s in centers), default=0.0)
+        centers = after
+        if step <= moved:
+            break
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, at, _, own, far in nearest(b, centers):
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(at)) for k in keys], pa.array(own.astype(np.int32)), pa.array(np.sqrt(far))],
+                                                 names=[*keys, "cluster", "distance"])
+
+    schema = poses.select(*keys).schema.add("cluster", "integer").add("distance", "double")
+    found = poses.mapInArrow(assign, schema)
+    best = F.min_by(F.struct(*cols(keys[1:]), "distance"), F.struct(F.round("distance", 9), *cols(keys[1:]))).alias("_b")
+    picked = found.groupBy("session", "cluster").agg(best, F.count(F.lit(1)).alias("cluster_size"))
+    picked = materialised(picked.select("session", "cluster", *[F.col(f"_b.{k}").alias(k) for k in keys[1:]], F.col("_b.distance").alias("distance"),
+                                        "cluster_size"), "picked")
+    short = {s: n - share[s] for s, n in ((r.session, r["count"]) for r in picked.groupBy("session").count().collect()) if n < share[s]}
+    if not short:
+        return picked
+    open_places = df.sparkSession.createDataFrame([(s, -n) for s, n in short.items()], "session string, _open long")
+    rest = poses.select(*keys).join(open_places, "session").join(picked.select(*keys), keys, "left_anti")
+    rest = first_n(rest, ["session"], [hash_order(seed, keys), *cols(keys)], max(-n for n in short.values()), "_rn").where("_rn <= _open")
+    return picked.unionByName(rest.select(*keys), allowMissingColumns=True)

@@ -84,8 +84,9 @@ def confident_frames(pred: DataFrame, threshold: float, min_views: int) -> DataF
         "session", "keypoint", (F.col("_a") | (F.col("_n") == 0)).alias("_a"),
         F.when(F.col("_n") == 0, F.col("_all")).otherwise(F.col("_n")).alias("_need"))
     active = lookup(active, "active")
-    seen = pred.groupBy("session", "frame", "keypoint").agg(
-        (F.count_if(F.col("likelihood") > threshold) >= min_views).alias("_ok"))
+    # a view counts once, however many seeds it has rows of
+    per_view = pred.groupBy("session", "frame", "view", "keypoint").agg((F.max("likelihood") > threshold).alias("_v"))
+    seen = per_view.groupBy("session", "frame", "keypoint").agg((F.count_if("_v") >= min_views).alias("_ok"))
     frames = seen.join(active, ["session", "keypoint"]).groupBy("session", "frame").agg(
         F.count_if(F.col("_a") & F.col("_ok")).alias("_got"), F.max("_need").alias("_need"))
     return frames.where(F.col("_got") == F.col("_need")).select("session", "frame")

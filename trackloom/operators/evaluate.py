@@ -32,9 +32,10 @@ def pixel_error(labels: DataFrame, pred: DataFrame, keys: Sequence[str] = ("sess
 
 def error_table(errors: DataFrame, stds: DataFrame) -> DataFrame:
     """Per model, view, frame and keypoint: error, ens_std, and the share of smaller ens_std in the view and in the
-    view and keypoint. Deviations are ranked at nine digits.
+    view and keypoint, among all of ``stds``. Deviations are ranked at nine digits.
 
-    The deviations are written to the shared folder once, as both ranks and the result read them.
+    Give the deviations of the labelled frames only, as ranks are among these. They are written to the shared folder
+    once, as both ranks and the result read them.
     """
     key = ["session", "view", "frame", "keypoint"]
     base = materialised(stds.select(*key, "ens_std", F.round("ens_std", 9).alias("_k")), "deviations")
@@ -47,29 +48,34 @@ def error_table(errors: DataFrame, stds: DataFrame) -> DataFrame:
 def _swept(rows: DataFrame, keys: Sequence[str], grid: Sequence[float]) -> DataFrame:
     """Moments of ``error`` of the rows with ens_std above each grid value: keys, i, threshold, rows, n, s, ss.
 
-    Rows are summed once per number of grid values below them; the short result is spread over the grid.
+    Every grid value has a row per key, with zeros where no row is above it. Rows are summed once per number of grid values
+    below them; the short result is spread over the grid.
     """
     steps = F.array(*[F.lit(float(g)) for g in grid])
     level = F.size(F.filter(steps, lambda g: g < F.col("ens_std")))
     sums = rows.withColumn("_level", level).groupBy(*keys, "_level").agg(
         F.count(F.lit(1)).alias("_r"), F.count("error").alias("_n"), F.sum("error").alias("_s"),
         F.sum(F.col("error") * F.col("error")).alias("_ss"))
-    reached = sums.where(F.col("_level") > 0).select("*", F.explode(F.sequence(F.lit(0), F.col("_level") - 1)).alias("i"))
-    return reached.groupBy(*keys, "i").agg(
-        F.sum("_r").alias("rows"), F.sum("_n").alias("n_points"), F.sum("_s").alias("_s"), F.sum("_ss").alias("_ss")
+    spread = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("i"))
+    above = F.col("_level") > F.col("i")
+    return spread.groupBy(*keys, "i").agg(
+        F.sum(F.when(above, F.col("_r")).otherwise(0)).alias("rows"), F.sum(F.when(above, F.col("_n")).otherwise(0)).alias("n_points"),
+        F.sum(F.when(above, F.col("_s"))).alias("_s"), F.sum(F.when(above, F.col("_ss"))).alias("_ss")
     ).withColumn("threshold", F.get(steps, F.col("i")))
 
 
 def threshold_sweep(rows: DataFrame, grid: Sequence[float], keys: Sequence[str] = ("view", "model")) -> DataFrame:
-    """For each grid value: count and mean of the errors whose ens_std is above it; no row where none is."""
-    return _swept(rows, keys, grid).select(*keys, "threshold", "n_points", (F.col("_s") / F.col("n_points")).alias("mean_error"))
+    """For each grid value: count and mean of the errors whose ens_std is above it; 0 and NULL where none is."""
+    return _swept(rows, keys, grid).select(*keys, "threshold", "n_points",
+                                           (F.col("_s") / F.nullif("n_points", F.lit(0))).alias("mean_error"))
 
 
 def sweep_percentiles(rows: DataFrame, grid: Sequence[float], shares: Sequence[float], keys: Sequence[str] = ("model",)
                       ) -> DataFrame:
     """Per share p: the threshold that leaves the count nearest to p % of the first count, and the share reported.
 
-    If that is the last grid value, the share that is really left is reported (two digits).
+    Grid values that leave nothing compete as well; the first of equals is taken. If that is the last grid value, the share
+    that is really left is reported (two digits).
     """
     counts = _swept(rows, keys, grid)
     first = counts.where("i = 0").select(*keys, F.col("n_points").alias("_n0"))
@@ -78,17 +84,17 @@ def sweep_percentiles(rows: DataFrame, grid: Sequence[float], shares: Sequence[f
     far = F.round(F.abs(F.col("n_points") - F.col("_n0") * F.col("share") / 100), 9)
     best = tried.groupBy(*keys, "share").agg(
         F.min_by(F.struct("i", "threshold", "n_points", "_n0"), F.struct(far, F.col("i"))).alias("_b"))
-    left = F.round(F.col("_b.n_points") / F.col("_b._n0") * 100, 2)
+    left = F.round(F.col("_b.n_points") / F.nullif(F.col("_b._n0"), F.lit(0)) * 100, 2)
     return best.select(*keys, "share", F.col("_b.threshold").alias("threshold"),
                        F.when(F.col("_b.i") == last, left).otherwise(F.col("share")).alias("reported"))
 
 
 def mean_se_curve(rows: DataFrame, grid: Sequence[float], keys: Sequence[str] = ("model",)) -> DataFrame:
-    """Mean error and its standard error (sample deviation / sqrt(n)) above each grid value."""
-    n = F.col("n_points")
+    """Mean error and its standard error (sample deviation / sqrt(n)) above each grid value that leaves rows."""
+    n = F.nullif("n_points", F.lit(0))
     spread = F.sqrt(F.greatest(F.col("_ss") - F.col("_s") * F.col("_s") / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
-    return _swept(rows, keys, grid).select(*keys, "threshold", "n_points", (F.col("_s") / n).alias("mean_error"),
-                                           (spread / F.sqrt(n)).alias("se"))
+    return _swept(rows, keys, grid).where("rows > 0").select(
+        *keys, "threshold", "n_points", (F.col("_s") / n).alias("mean_error"), (spread / F.sqrt(n)).alias("se"))
 
 
 def error_summary(errors: DataFrame, keys: Sequence[str] = ("model", "seed")) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from trackloom.functions.space import valid_observations
 from trackloom.functions.space import valid_observations
 from trackloom.operators.behaviour import norm
 from trackloom.operators.joins import with_cameras
@@ -131,9 +132,16 @@ XYZ_FIELDS = [T.StructField(c, T.DoubleType()) for c in "XYZ"]
 
 
 def triangulate(observations: DataFrame, cameras: DataFrame, keys: Sequence[str] = POINT, min_views: int = 2,
-                ) -> DataFrame:
-    """keys, X, Y, Z, n_views: least squares over all views with a valid point, for points seen by ``min_views``."""
+                validity: str | None = None, n_keypoints: int | None = None) -> DataFrame:
+    """keys, X, Y, Z, n_views: least squares over all views with a valid point, for points seen by ``min_views``.
+
+    ``validity`` leaves out whole views or frames with missing keypoints (modes of ``valid_observations``: all, most, frame).
+    """
     keys = list(keys)
+    if validity:
+        if n_keypoints is None:
+            raise ValueError("validity needs n_keypoints")
+        observations = valid_observations(observations, n_keypoints, validity, (*[k for k in keys if k != "keypoint"], "view"))
     rows = _rows(observations, cameras, keys)
     sums = rows.groupBy(*keys).agg(*[F.sum(f"s{n}").alias(f"s{n}") for n in range(10)],
                                    F.count(F.lit(1)).alias("n_views")).where(F.col("n_views") >= min_views)

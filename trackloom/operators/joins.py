@@ -20,9 +20,16 @@ def calibration_lookup(asked: DataFrame, available: DataFrame, views: Sequence[s
     return asked.withColumn("session", N.calibration_session(F.col("name"), views)).join(available, "session", "left")
 
 
-def labels_with_predictions(labels: DataFrame, pred: DataFrame, keys: Sequence[str] = ("session", "view", "frame", "keypoint")
-                            ) -> DataFrame:
-    """Inner join of labels and predictions on the image and keypoint."""
+def labels_with_predictions(labels: DataFrame, pred: DataFrame, keys: Sequence[str] = ("session", "view", "frame", "keypoint"),
+                            checked: bool = False) -> DataFrame:
+    """Inner join of labels and predictions on the image and keypoint.
+
+    ``checked`` raises an error where either side has a key that the other lacks (one more job over the keys).
+    """
+    if checked:
+        audit = key_audit(labels, pred, keys).first()
+        if audit.only_left or audit.only_right:
+            raise ValueError(f"{audit.only_left} labels without a prediction, {audit.only_right} predictions without a label")
     return labels.join(pred, list(keys))
 
 
