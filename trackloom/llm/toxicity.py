@@ -47,8 +47,8 @@ def place(found: np.ndarray) -> np.ndarray:
 def texts_with(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pieces, and in how many of the texts each is; some texts at a time, to hold few pieces twice."""
     found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    for k in range(0, len(texts), 500):
-        more, n = np.unique(np.concatenate([np.unique(pieces(t)) for t in texts[k : k + 500]]), return_counts=True)
+    for k in range(0, len(texts), 200):
+        more, n = np.unique(np.concatenate([np.unique(pieces(t)) for t in texts[k : k + 200]]), return_counts=True)
         both, at = np.unique(np.concatenate([found, more]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int32)
         found = both
@@ -125,10 +125,14 @@ def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     tests = [t for t in toxic if fold(t, 4) == 0], [t for t in ordinary if fold(t, 4) == 0]
     toxic, ordinary = [plain(t) for t in toxic if fold(t, 4)], [plain(t) for t in ordinary if fold(t, 4)]
-    (known, usual), (own, texts) = texts_with(ordinary), texts_with(toxic)
-    at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-    elsewhere = np.where(known[at] == own, usual[at], 0) if len(known) else np.zeros(len(own))
-    own = own[(texts >= TEXTS) & (texts * (len(ordinary) + 1) >= OFTENER * (elsewhere + 0.5) * (len(toxic) + 1))]
+    own, texts = texts_with(toxic)
+    own, texts = own[texts >= TEXTS], texts[texts >= TEXTS]
+    elsewhere = np.zeros(len(own))
+    for t in ordinary if len(own) else ():
+        seen = np.unique(pieces(t))
+        at = np.minimum(np.searchsorted(own, seen), len(own) - 1)
+        elsewhere[at[own[at] == seen]] += 1
+    own = own[texts * (len(ordinary) + 1) >= OFTENER * (elsewhere + 0.5) * (len(toxic) + 1)]
     spans: Counter[bytes] = Counter()
     for t in toxic:
         hit = np.concatenate([[0], np.isin(pieces(t), own), [0]])
