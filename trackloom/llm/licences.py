@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.session import lookup, materialised
@@ -39,26 +39,35 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def statements(lines: DataFrame, files: int) -> DataFrame:
-    """``file``, ``line`` (text) -> ``file``, ``licence``, ``score`` of the best statement of each file that has one.
+def template_terms(spark: SparkSession) -> DataFrame:
+    """``licence``, ``term``, ``tf``: a table as long as the templates, whatever the files."""
+    known = spark.createDataFrame([(k, t) for k, t in TEMPLATES.items()], "licence string, text string")
+    return known.select("licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
+
 
-    Terms weigh their count times ln((1 + files) / (1 + files with the term)) + 1, counted over all headers for the terms of
-    the templates; others weigh as terms of no file, so that they count against a line. A line can only reach ``LIKE`` if it
-    has an anchor: the terms left to a template without its anchors are too light. Only such lines are taken apart.
+def statements(lines: DataFrame, places: DataFrame, files: int) -> DataFrame:
+    """``file``, ``line`` (text), ``at``, ``head`` -> ``file``, ``licence``, ``score`` of the best statement of each file that has one.
+
+    Lines count if they are in a file's header or the file is a licence file (``places``: ``file``, ``whole``). Terms weigh their
+    count times ln((1 + files) / (1 + files with the term)) + 1, counted over all such lines for the terms of the templates;
+    others weigh as terms of no file, so that they count against a line. A line can only reach ``LIKE`` if it has an anchor:
+    the terms left to a template without its anchors are too light. Only such lines are taken apart. ``lines`` is read twice
+    and never shuffled whole.
     """
     spark = lines.sparkSession
-    known = spark.createDataFrame([(k, t) for k, t in TEMPLATES.items()], "licence string, text string")
-    known = known.select("licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
+    known = template_terms(spark)
     vocabulary = lookup(known.select("term").distinct(), "template-terms")
-    spread = lines.select("file", F.explode(F.array_distinct(terms(F.col("line")))).alias("term")).join(F.broadcast(vocabulary), "term").distinct()
-    spread = lookup(vocabulary.join(spread.groupBy("term").count(), "term", "left").select("term", idf(F.coalesce("count", F.lit(0)), files).alias("idf")), "term-weights")
-    # both tables are as long as the templates, whatever the files
+    hits = lines.select("file", "head", F.explode(F.array_distinct(terms(F.col("line")))).alias("term")).join(F.broadcast(vocabulary), "term")
+    hits = hits.groupBy("file", "term").agg(F.max("head").alias("head")).join(places, "file").where(F.col("head") | F.col("whole"))
+    spread = vocabulary.join(hits.groupBy("term").count(), "term", "left").select("term", idf(F.coalesce("count", F.lit(0)), files).alias("idf"))
+    spread = lookup(spread, "term-weights")
     weights = [(r.licence, r.term, r.tf * r.idf) for r in known.join(F.broadcast(spread), "term").collect()]
     norm = {k: sum(w * w for name, _, w in weights if name == k) ** 0.5 for k in TEMPLATES}
     index = lookup(spark.createDataFrame([(k, t, w / norm[k]) for k, t, w in weights], "licence string, term string, share double"), "template-index")
     marks = "|".join(sorted(anchors({(k, t): w / norm[k] for k, t, w in weights})))
-    some = lines.where(F.lower("line").rlike(rf"(?<![a-z0-9])(?:{marks})(?![a-z0-9])")).select("file", "at", F.explode(terms(F.col("line"))).alias("term"))
-    some = some.groupBy("file", "at", "term").agg(F.count("*").alias("tf")).join(F.broadcast(spread), "term", "left")
+    some = lines.where(F.lower("line").rlike(rf"(?<![a-z0-9])(?:{marks})(?![a-z0-9])")).join(places, "file").where(F.col("head") | F.col("whole"))
+    some = some.select("file", "at", F.explode(terms(F.col("line"))).alias("term")).groupBy("file", "at", "term").agg(F.count("*").alias("tf"))
+    some = some.join(F.broadcast(spread), "term", "left")
     some = materialised(some.select("file", "at", "term", (F.col("tf") * F.coalesce("idf", idf(F.lit(0), files))).alias("w")), "line-terms")
     length = some.groupBy("file", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = some.join(F.broadcast(index), "term").groupBy("file", "at", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
@@ -84,35 +93,44 @@ def anchors(shares: dict[tuple[str, str], float]) -> set[str]:
     return out
 
 
-def file_licences(files: DataFrame, keep: tuple[str, ...] = (), path: str = "path", text: str = "text") -> DataFrame:
-    """Every file's licence: ``path``, the columns ``keep``, ``licence``, ``score``, ``found`` (header, inherited or none), ``directory``.
+def file_licences(files: DataFrame, paths: DataFrame | None = None, id: str = "path", text: str = "text") -> DataFrame:
+    """Every file's licence: ``id``, ``path``, ``licence``, ``score``, ``found`` (header, inherited or none), ``directory``.
 
     A file that states a licence in its first or last ``HEADER`` lines has that one. Any other takes that of the nearest
     directory, from its own upwards, with a licence file (``LICENCE_FILE``) that states one anywhere in its text; ``directory``
-    is that directory. If a directory has several, the best match counts, then the first name. Null paths have no directory and inherit
-    nothing; null and empty texts state nothing; files with equal paths are files of their own.
+    is that directory. If a directory has several, the best match counts, then the first name.
 
-    A directory is joined to its ancestors once, not once for each of its files.
+    The id is the path itself, or ``paths`` has the path (``path``) of each id once. A file with a null path has no directory and inherits
+    nothing; null and empty texts state nothing. Files with the same id are told apart by their texts; repeated rows have the
+    same result. Texts are read line by line where they lie: only lines with terms of a licence, ids and paths are shuffled. A
+    directory is joined to its ancestors once, not once for each of its files.
     """
-    rows = files.select(F.monotonically_increasing_id().alias("file"), F.col(f"`{path}`").cast("string").alias("path"),
-                        F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in (path, *keep)]).alias("kept"))
-    all_lines = F.split("text", "\n")
-    near = F.when(F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)) | (F.size(all_lines) <= 2 * HEADER), all_lines).otherwise(
-        F.concat(F.slice(all_lines, 1, HEADER), F.slice(all_lines, -HEADER, HEADER)))
-    heads = materialised(rows.select("file", "path", "kept", near.alias("lines")), "headers")
-    lines = heads.select("file", F.posexplode("lines").alias("at", "line"))
-    total = heads.count()
-    own = materialised(heads.select("file", "path", "kept").join(statements(lines, total), "file", "left").withColumn("directory", directory(F.col("path"))), "own-licences")
+    own_id = F.col(f"`{id}`").cast("string")
+    print_ = F.coalesce(F.hex(F.xxhash64(F.col(f"`{text}`").cast("string"))), F.lit("-"))
+    key = F.concat(F.when(own_id.isNull(), "-").otherwise(F.concat(F.lit("+"), own_id)), F.lit("/"), print_)
+    rows = files.select(F.col(f"`{id}`").alias("id"), key.alias("file"), F.split(F.col(f"`{text}`").cast("string"), "\n").alias("lines"))
+    named = rows.select("id", "file")
+    if paths is None:
+        named = named.withColumn("path", F.col("id").cast("string"))
+    else:
+        named = named.join(paths.select(F.col(f"`{id}`").alias("id"), F.col("path").cast("string").alias("path")), "id", "left")
+    named = named.withColumn("whole", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))).withColumn("directory", directory(F.col("path")))
+    named = materialised(named, "paths")
+    places = named.select("file", "whole").distinct()
+    size = F.size("lines")
+    lines = rows.select("file", size.alias("size"), F.posexplode("lines").alias("at", "line"))
+    lines = lines.select("file", "at", "line", ((F.col("at") < HEADER) | (F.col("at") >= F.col("size") - HEADER)).alias("head"))
+    own = materialised(named.join(statements(lines, places, places.count()), "file", "left"), "own-licences")
     best = F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best")
-    given = own.where("licence is not null").where(F.col("path").rlike(LICENCE_FILE)).groupBy("directory").agg(best)
+    given = own.where("licence is not null and whole").groupBy("directory").agg(best)
     given = lookup(given.select(F.col("directory").alias("above"), F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("score")), "licence-files")
-    places = own.where("licence is null and path is not null").select("directory").distinct()
+    bare = own.where("licence is null and path is not null").select("directory").distinct()
     parts = F.split("directory", "/")
     steps = F.when(F.col("directory") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(parts)))
-    up = places.select("directory", F.explode(steps).alias("depth")).withColumn("above", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
+    up = bare.select("directory", F.explode(steps).alias("depth")).withColumn("above", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
     nearest = up.join(given, "above").groupBy("directory").agg(F.max(F.struct("depth", "above", "licence", "score")).alias("from"))
     nearest = lookup(nearest, "inherited")
-    return own.join(nearest, "directory", "left").select("path", *[F.col(f"kept.`{c}`") for c in keep], *[
-        F.coalesce(F.col(c), F.when(F.col("path").isNotNull(), F.col(f"from.{c}"))).alias(c) for c in ("licence", "score")],
+    return own.join(nearest, "directory", "left").select(
+        "id", "path", *[F.coalesce(F.col(c), F.col(f"from.{c}")).alias(c) for c in ("licence", "score")],
         F.when(F.col("licence").isNotNull(), "header").when(F.col("from").isNotNull(), "inherited").otherwise("none").alias("found"),
         F.when(F.col("licence").isNull(), F.col("from.above")).alias("directory"))

@@ -99,15 +99,15 @@ from h left join o using (doc_id) left join a using (doc_id)
 
 @register("op1_licences", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = table(spark, sf_dir, "documents")
     hundred = F.floor(F.col("doc_id") / 100).cast("string")
     parts = F.when(F.col("doc_id") % 3 == 0, F.array("source")).when(F.col("doc_id") % 3 == 1, F.array("source", "lang")).otherwise(
         F.array("source", "lang", hundred))
-    docs = docs.withColumn("dir", F.array_join(F.transform(parts, lambda p: F.coalesce(p, F.lit("_"))), "/"))
-    first = lookup(docs.groupBy("dir").agg(F.min("doc_id").alias("first")), "first-files")
+    places = docs.select("doc_id", F.array_join(F.transform(parts, lambda p: F.coalesce(p, F.lit("_"))), "/").alias("dir"))
+    first = lookup(places.groupBy("dir").agg(F.min("doc_id").alias("first")), "first-files")
     name = F.when(F.col("doc_id") == F.col("first"), "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    files = docs.join(first, "dir").select("doc_id", "text", F.concat_ws("/", "dir", name).alias("path"))
-    return file_licences(files, keep=("doc_id",))
+    paths = places.join(first, "dir").select("doc_id", F.concat_ws("/", "dir", name).alias("path"))
+    return file_licences(docs, paths, id="doc_id").withColumnRenamed("id", "doc_id")
 
 
 OP4_SQL = r"""
