@@ -3,6 +3,7 @@
 import pytest
 
 from check import compare
+from trackloom.session import scope, shared_dir
 from trackloom.catalog import entries
 
 ALL = entries()
@@ -12,14 +13,26 @@ MAY_BE_EMPTY = {"session_difference", "session_pairs", "axis_consistency", "most
 
 @pytest.mark.parametrize("name", [n for n, e in ALL.items() if e.sql])
 def test_matches_sql(spark, sf, duck, name):
-    got = ALL[name].build(spark, sf).toPandas()
+    with scope(spark):
+        got = ALL[name].build(spark, sf).toPandas()
     assert compare(got, duck.execute(ALL[name].sql).df()) == ""
     assert len(got) > 0 or name in MAY_BE_EMPTY
 
 
 @pytest.mark.parametrize("name", [n for n, e in ALL.items() if not e.sql])
 def test_gives_rows(spark, sf, name):
-    assert ALL[name].build(spark, sf).count() > 0
+    with scope(spark):
+        assert ALL[name].build(spark, sf).count() > 0
+
+
+def test_a_job_leaves_its_folder_empty(spark, sf):
+    import os
+
+    before = set(os.listdir(shared_dir(spark)))
+    with scope(spark) as folder:
+        assert ALL["error_table"].build(spark, sf).count() > 0
+        assert os.listdir(folder)
+    assert set(os.listdir(shared_dir(spark))) == before
 
 
 # Solvers and file readers run numpy inside tasks; everything else stays in generated code.

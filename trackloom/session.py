@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,16 +45,40 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder of the current scope, or below the shared folder outside any."""
+    return f"{_SCOPE.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, in whatever store the shared folder lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """A job's own folder: tables that are written inside are removed at the end.
+
+    Read or write results before it ends; a result that is still to be computed cannot be read afterwards.
+    """
+    path = fresh_path(spark, "job")
+    token = _SCOPE.set(path)
+    try:
+        yield path
+    finally:
+        _SCOPE.reset(token)
+        remove(spark, path)
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with data that survive the loss of executors; used where several later steps would otherwise
-    recompute an expensive input.
+    recompute an expensive input. The table stays until the ``scope`` around it ends.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
