@@ -78,11 +78,21 @@ def angular_error(spark: SparkSession, sf: str) -> DataFrame:
     return r(B.angular_error(a, a.where("model = 'm0'").drop("model")), "mae_deg")
 
 
-@register("angle_summary", "A31", with_tables("fx_angle", GRADIENT + """ SELECT model, 'yaw' AS angle, round(avg(yaw), 6) + 0.0::DOUBLE AS mean,
+# Pitch and roll beside the yaw of the derived table, one row per angle, with its gradient.
+GRADIENT3 = """l AS (SELECT model, session, frame, angle, CASE angle WHEN 'yaw' THEN yaw WHEN 'pitch' THEN yaw / 2 + frame % 7
+ ELSE frame % 11 - yaw / 4 END AS yaw FROM fx_angle, (SELECT unnest(['yaw', 'pitch', 'roll']) AS angle)),
+""" + GRADIENT.replace("gr AS", "g3 AS").replace("FROM fx_angle", "FROM l").replace("PARTITION BY model, session", "PARTITION BY model, session, angle")
+
+
+def angles3(spark: SparkSession, sf: str) -> DataFrame:
+    return X.angles(spark, sf).selectExpr("*", "yaw / 2 + frame % 7 AS pitch", "frame % 11 - yaw / 4 AS roll")
+
+
+@register("angle_summary", "A31", with_tables("fx_angle", GRADIENT3 + """ SELECT model, angle, round(avg(yaw), 6) + 0.0::DOUBLE AS mean,
  round(stddev_pop(yaw), 6) AS std, round(min(yaw), 6) AS min, round(max(yaw), 6) AS max, round(avg(abs(v)), 6) AS mean_speed
-FROM gr GROUP BY 1"""))
+FROM g3 GROUP BY 1, 2"""))
 def angle_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return r(B.angle_summary(X.angles(spark, sf), DT, ["yaw"]), "mean", "std", "min", "max", "mean_speed")
+    return r(B.angle_summary(angles3(spark, sf), DT), "mean", "std", "min", "max", "mean_speed")
 
 
 @register("yaw_histogram", "A32", with_tables("fx_angle", """b AS (SELECT model, least(floor(round((yaw + 180) / 10, 9)), 35)::BIGINT AS bin
@@ -93,12 +103,12 @@ def yaw_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return r(B.yaw_histogram(X.angles(spark, sf)).withColumn("bin", F.col("bin").cast("bigint")), "share")
 
 
-@register("velocity_density", "A33", with_tables("fx_angle", GRADIENT + """, s AS (SELECT model, abs(v) AS v FROM gr WHERE abs(v) < 2000),
-h AS (SELECT model, stddev_samp(v) * 0.08::DOUBLE AS h FROM s GROUP BY 1), g AS (SELECT i, 2000::DOUBLE * i / 99 AS x FROM range(100) t(i))
+@register("velocity_density", "A33", with_tables("fx_angle", GRADIENT + """, s AS (SELECT model, abs(v) AS v FROM gr WHERE abs(v) < 3000),
+h AS (SELECT model, stddev_samp(v) * 0.08::DOUBLE AS h FROM s GROUP BY 1), g AS (SELECT i, 3000::DOUBLE * i / 499 AS x FROM range(500) t(i))
 SELECT model, i, round(x, 6) AS speed, round(avg(exp(-power((x - v) / h, 2) / 2)) / (max(h) * sqrt(2 * pi())), 9) AS density
 FROM s JOIN h USING (model), g GROUP BY 1, 2, 3"""))
 def velocity_density(spark: SparkSession, sf: str) -> DataFrame:
-    out = B.velocity_density(X.angles(spark, sf), DT, 2000.0, points=100)
+    out = B.velocity_density(X.angles(spark, sf), DT, 3000.0)
     return out.withColumns({"speed": F.round("speed", 6), "density": F.round("density", 9)})
 
 
@@ -139,14 +149,14 @@ def saccade_summary(spark: SparkSession, sf: str) -> DataFrame:
     return r(out, "mean_amplitude", "mean_duration", "mean_peak", "fixation_pct")
 
 
-@register("fixation_stability", "A29", with_tables("fx_angle", EVENTS + """, c AS (SELECT gr.model, gr.session, gr.frame, yaw, v FROM gr
- LEFT JOIN ev ON gr.model = ev.model AND gr.session = ev.session AND gr.frame >= onset AND gr.frame < "offset" WHERE onset IS NULL),
+@register("fixation_stability", "A29", with_tables("fx_angle", EVENTS + ", " + GRADIENT3 + """, c AS (SELECT g3.model, angle, yaw, v FROM g3
+ LEFT JOIN ev ON g3.model = ev.model AND g3.session = ev.session AND g3.frame >= onset AND g3.frame < "offset" WHERE onset IS NULL),
 n AS (SELECT model, count(*) AS n FROM fx_angle GROUP BY 1)
-SELECT model, 'yaw' AS angle, round(stddev_pop(yaw), 6) AS std_deg, round(avg(abs(v)), 6) AS mean_speed,
+SELECT model, angle, round(stddev_pop(yaw), 6) AS std_deg, round(avg(abs(v)), 6) AS mean_speed,
  round(quantile_cont(abs(v), 0.5), 6) AS median_speed, round(count(*) / any_value(n) * 100, 6) AS pct_fixation
-FROM c JOIN n USING (model) GROUP BY 1"""))
+FROM c JOIN n USING (model) GROUP BY 1, 2"""))
 def fixation_stability(spark: SparkSession, sf: str) -> DataFrame:
-    out = B.fixation_stability(X.angles(spark, sf), events(spark, sf), DT, ["yaw"])
+    out = B.fixation_stability(angles3(spark, sf), events(spark, sf), DT, ["yaw", "pitch", "roll"])
     return r(out, "std_deg", "mean_speed", "median_speed", "pct_fixation")
 
 

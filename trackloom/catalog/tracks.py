@@ -14,21 +14,22 @@ DT = "(1.0::DOUBLE / 60)"
 TRACK = ["session", "keypoint"]
 
 
-@register("velocity", "W1", with_tables("fx_world", f"""SELECT session, keypoint, frame,
- round(coalesce((X - lag(X) OVER w) / {DT}, 0), 6) + 0.0::DOUBLE AS v_X,
- round(coalesce((Y - lag(Y) OVER w) / {DT}, 0), 6) + 0.0::DOUBLE AS v_Y FROM fx_world
+@register("velocity", "W1", with_tables("fx_world", "SELECT session, keypoint, frame, " + ", ".join(
+    f"round(coalesce(({c} - lag({c}) OVER w) / {DT}, 0), 6) + 0.0::DOUBLE AS v_{c}" for c in "XYZ") + """ FROM fx_world
  WINDOW w AS (PARTITION BY session, keypoint ORDER BY frame)"""))
 def velocity(spark: SparkSession, sf: str) -> DataFrame:
-    out = K.velocity(X.world(spark, sf), TRACK, ["X", "Y"], 1 / 60)
-    return r(out.select(*TRACK, "frame", "v_X", "v_Y"), "v_X", "v_Y")
+    out = K.velocity(X.world(spark, sf), TRACK, list("XYZ"), 1 / 60)
+    return r(out.select(*TRACK, "frame", "v_X", "v_Y", "v_Z"), "v_X", "v_Y", "v_Z")
 
 
-@register("acceleration", "W2", with_tables("fx_world", f"""v AS (SELECT session, keypoint, frame,
- coalesce((X - lag(X) OVER w) / {DT}, 0) AS v FROM fx_world WINDOW w AS (PARTITION BY session, keypoint ORDER BY frame))
-SELECT session, keypoint, frame, round(coalesce((v - lag(v) OVER w) / {DT}, 0), 6) + 0.0::DOUBLE AS a_X FROM v
+@register("acceleration", "W2", with_tables("fx_world", "v AS (SELECT session, keypoint, frame, " + ", ".join(
+    f"coalesce(({c} - lag({c}) OVER w) / {DT}, 0) AS {c}" for c in "XYZ") + """ FROM fx_world
+ WINDOW w AS (PARTITION BY session, keypoint ORDER BY frame)) SELECT session, keypoint, frame, """ + ", ".join(
+    f"round(coalesce(({c} - lag({c}) OVER w) / {DT}, 0), 6) + 0.0::DOUBLE AS a_{c}" for c in "XYZ") + """ FROM v
  WINDOW w AS (PARTITION BY session, keypoint ORDER BY frame)"""))
 def acceleration(spark: SparkSession, sf: str) -> DataFrame:
-    return r(K.acceleration(X.world(spark, sf), TRACK, ["X"], 1 / 60).select(*TRACK, "frame", "a_X"), "a_X")
+    out = K.acceleration(X.world(spark, sf), TRACK, list("XYZ"), 1 / 60)
+    return r(out.select(*TRACK, "frame", "a_X", "a_Y", "a_Z"), "a_X", "a_Y", "a_Z")
 
 
 GRADIENT = """gr AS (SELECT *, CASE
