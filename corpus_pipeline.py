@@ -17,7 +17,7 @@ from trackloom.llm.packing import pack, token_pieces
 from trackloom.llm.queries import toxicity_model
 from trackloom.llm.simhash import one_of_each_group
 from trackloom.llm.toxicity import with_toxicity
-from trackloom.session import materialised
+from trackloom.session import fresh_path, remove, scope
 
 #: A document goes as toxic from this score; and as a mere copy if no larger share of its characters is left than this
 #: once lines that stand in another document are removed.
@@ -67,9 +67,15 @@ ORACLE_SQL = None
 
 @register("pipeline", ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage writes on its way, and the result of the stage before it, goes when it is done."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialised(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
