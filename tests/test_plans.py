@@ -15,8 +15,8 @@ def inputs(spark, sf):
 
 
 def settings(**more):
-    return distill.Settings(views=X.VIEWS, keypoints=X.KEYPOINTS, frames_per_video=30, min_frames=5, clusters=14, threshold=0.5,
-                            seed=1, seeds=X.SEEDS, **more)
+    return distill.Settings(**{"views": X.VIEWS, "keypoints": X.KEYPOINTS, "frames_per_video": 30, "min_frames": 5, "clusters": 14,
+                               "threshold": 0.5, "seed": 1, "seeds": X.SEEDS, **more})
 
 
 @pytest.mark.parametrize("more, cameras", [({}, True), ({"method": "random"}, False), ({"per_session": True}, True)])
@@ -36,6 +36,14 @@ def test_pseudo_labels(inputs, more, cameras):
     assert both.count() == labels.count() + made.count()
 
 
+def test_smoothed_tracks_choose_from_the_same_frames(inputs):
+    pred, _, labels, _ = inputs
+    plain = {(r.session, r.frame) for r in distill.candidates(pred, labels, settings(frames_per_video=1000)).collect()}
+    chosen = {(r.session, r.frame) for r in distill.candidates(pred, labels, settings(frames_per_video=10, process_variance=25.0)).collect()}
+    assert chosen and len(chosen) <= 10 * 7 and not chosen & {(r.session, r.frame) for r in labels.select("session", "frame").distinct().collect()}
+    assert plain
+
+
 def test_unknown_method(inputs):
     with pytest.raises(ValueError):
         distill.candidates(inputs[0], inputs[2], settings(method="best"))

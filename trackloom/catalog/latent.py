@@ -167,4 +167,5 @@ def smooth_multi_view(spark: SparkSession, sf: str) -> DataFrame:
     e = ensembles(spark, sf)
     model = M.fit_pca(M.view_vectors(e, X.VIEWS, ["session", "frame", "keypoint"]), "v", 8, 3, missing=True)
     out = S.smooth_multi_view(e, model, X.VIEWS, 100.0)
-    return digest(out, ["session", "view", "keypoint"], ["x", "y", "x_posterior_var", "y_posterior_var"], 3)
+    return digest(out, ["session", "view", "keypoint"], ["x", "y", "x_posterior_var", "y_posterior_var", "x_ens_median", "y_ens_median",
+                                                         "x_ens_var", "y_ens_var", "likelihood"], 3)
