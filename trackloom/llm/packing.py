@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from trackloom.llm.common import batches, utf8
 from trackloom.session import materialised
 
 #: Parts of words whose ids a worker remembers before it starts anew (some 200 bytes each).
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Texts in which the tokenizer's own parting rules need no more than the parts below: no character changes but by case.
 SIMPLE = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*")
 #: Fixed by the tokenizer file: runs of letters, contractions, single digits, runs of anything else but white space.
@@ -72,11 +71,6 @@ class Ids:
         return [b"".join([self.known[p] for p in parts]) for parts in parted]
 
 
-@cache
-def ids_from(path: str) -> Ids:
-    return Ids(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's ids and then ``end``, cut into pieces of ``capacity`` where longer.
 
@@ -88,7 +82,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
     last = np.array([end], "<u4").tobytes()
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, task, seen = ids_from(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        ids, task, seen = Ids(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for big in it:
             for b in batches(big, 256):
                 out: list[list] = [[], [], [], [], [], []]
@@ -104,6 +98,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)] + [pa.array([task] * len(out[0]), pa.int32())],
                                                  names=["doc_id", "piece", "start", "length", "ids", "nth", "task"])
+        ids.known.clear()  # the worker lives on
 
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, nth long, task int")
 

@@ -129,12 +129,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, good: int = 3000, web
 def with_quality(docs: DataFrame, model: Model, whole: bool = True, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``row`` (the document, if ``whole``), ``doc_id`` and ``score`` (0 to 1) of every whole text. Null counts as empty; the score of a
     text depends on it alone, so repeated rows agree."""
-    rows = packed(docs, doc_id=F.col(f"`{id}`").cast("long"), text=F.col(f"`{text}`").cast("string"))
+    rows = packed(docs, doc_id=F.col(f"`{id}`").cast("long"))
+    if not whole:
+        rows = rows.select("doc_id", F.struct(F.col(f"row.`{text}`")).alias("row"))
     kept = ["row", "doc_id"] if whole else ["doc_id"]
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in it:
             for b in batches(big):
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(model.score(utf8(b.column("text"))))], names=[*kept, "score"])
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(model.score(utf8(b.column("row").field(text).cast(pa.string()))))],
+                                                 names=[*kept, "score"])
 
-    return rows.select(*kept, "text").mapInArrow(run, rows.select(*kept).schema.add("score", "double"))
+    return rows.mapInArrow(run, rows.select(*kept).schema.add("score", "double"))
