@@ -117,8 +117,12 @@ def r2_pooled(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def error_stats(errors: DataFrame, probs: Mapping[str, float] = ERROR_PROBS, approx: bool = False) -> DataFrame:
-    """n, mean, population std, percentiles and max of ``error`` per session and over all ("ALL")."""
-    both = errors.where("error is not null").select(F.explode(F.array("session", F.lit("ALL"))).alias("session"), "error")
+    """n, mean, population std, percentiles and max of ``error`` per session and over all ("ALL").
+
+    The errors are written once; each aggregate reads them with a second row for "ALL", combined before the shuffle.
+    """
+    base = materialised(errors.where("error is not null").select("session", "error"), "errors")
+    both = base.select(F.explode(F.array("session", F.lit("ALL"))).alias("session"), "error")
     plain = both.groupBy("session").agg(F.avg("error").alias("mean"), F.stddev_pop("error").alias("std"),
                                         F.max("error").alias("max"))
     return plain.join(_percentiles(approx)(both, ["session"], "error", probs), "session")

@@ -43,8 +43,8 @@ def every_kth(df: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
 
 
 def first_frames(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows of a group in frame order."""
-    return row_index(df, keys, "frame", "_rn").where(F.col("_rn") <= n).drop("_rn")
+    """The first ``n`` rows of a group in frame order; tasks keep no more than that of their own rows."""
+    return first_n(df, keys, [F.col("frame")], n)
 
 
 def mask_low_likelihood(df: DataFrame, threshold: float) -> DataFrame:
