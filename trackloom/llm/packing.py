@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import batches, utf8
 from trackloom.session import materialised
 
-#: Parts of words whose ids a worker remembers before it starts anew (some 200 bytes each).
-REMEMBERED = 300_000
+#: Parts of words whose ids a task remembers before it starts anew (some 300 bytes each).
+REMEMBERED = 400_000
 #: Texts in which the tokenizer's own parting rules need no more than the parts below: no character changes but by case.
 SIMPLE = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*")
 #: Fixed by the tokenizer file: runs of letters, contractions, single digits, runs of anything else but white space.
