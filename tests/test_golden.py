@@ -417,3 +417,15 @@ def test_checked_join_raises(spark):
 def test_pairs_of_models_without_a_match_have_zero(spark):
     ev = spark.createDataFrame([("s", "a", 10), ("s", "b", 100)], "session string, model string, onset long")
     assert {(r.model, r.other): r.matched for r in B.saccade_agreement(ev).collect()} == {("a", "a"): 1, ("a", "b"): 0, ("b", "a"): 0, ("b", "b"): 1}
+
+
+def test_distortion_without_inverse_gives_null(spark, sf):
+    from trackloom.catalog import fixtures as X
+    from trackloom.catalog.geometry import noise_free
+
+    mild, strong = (G.undistort(noise_free(spark, sf), X.cameras(spark, sf, bend)).where("x is not null") for bend in ((-0.05, 0.01), (-40.0, 0.0)))
+    assert mild.where("ux is null").count() == 0
+    left = strong.where("ux is not null")
+    assert strong.where("ux is null").count() > 0
+    back = F.abs(F.col("ux") * (1 - 40.0 * (F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy"))) * F.col("fx") + F.col("cx") - F.col("x"))
+    assert (left.agg(F.max(back)).first()[0] or 0.0) < 0.1

@@ -69,10 +69,11 @@ def project(points: DataFrame, cameras: DataFrame) -> DataFrame:
                        (F.col("_b") * F.col("_r") * F.col("fy") + F.col("cy")).alias("py"))
 
 
-def undistort(observations: DataFrame, cameras: DataFrame, steps: int = 20) -> DataFrame:
+def undistort(observations: DataFrame, cameras: DataFrame, steps: int = 20, tolerance: float = 1e-6) -> DataFrame:
     """Add camera columns and the undistorted normalised coordinates (ux, uy) of x, y.
 
-    Radial distortion only scales a point, so one factor is found by fixed-point iteration.
+    Radial distortion only scales a point, so one factor is found by fixed-point iteration. Where another step would still
+    move it by more than ``tolerance``, as where the distortion has no inverse, ux and uy are NULL.
     """
     seen = with_cameras(observations, prepared(cameras)).withColumns(
         {"_a": (F.col("x") - F.col("cx")) / F.col("fx"), "_b": (F.col("y") - F.col("cy")) / F.col("fy")})
@@ -85,12 +86,14 @@ def undistort(observations: DataFrame, cameras: DataFrame, steps: int = 20) -> D
     plain = (F.col("k1") == 0) & (F.col("k2") == 0)
     factor = F.when(plain, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(1.0), step))
     seen = seen.withColumn("_s", factor)
+    settled = plain | (F.abs(step(F.col("_s"), F.col("_s")) - F.col("_s")) <= tolerance)
+    seen = seen.withColumn("_s", F.when(settled, F.col("_s")))
     return seen.withColumns({"ux": F.col("_a") * F.col("_s"), "uy": F.col("_b") * F.col("_s")}).drop("_a", "_b", "_n", "_s")
 
 
 def _rows(observations: DataFrame, cameras: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Valid observations as the ten sums s0..s9 of their two linear equations."""
-    valid = undistort(observations.where("x is not null and y is not null"), cameras)
+    valid = undistort(observations.where("x is not null and y is not null"), cameras).where("ux is not null")
     third = [F.col("r20"), F.col("r21"), F.col("r22"), F.col("tz")]
     first = [F.col("r00"), F.col("r01"), F.col("r02"), F.col("tx")]
     second = [F.col("r10"), F.col("r11"), F.col("r12"), F.col("ty")]
