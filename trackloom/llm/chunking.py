@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import batches, utf8
+from trackloom.llm.common import batches, texts_in_python, utf8
 from trackloom.session import lookup
 
 #: Bytes of a chunk at least, as a rule, and at most.
@@ -129,7 +129,7 @@ def neighbour_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "tex
                     last = None if opens else now
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(TYPES)], names=NAMES)
 
-    return dealt.mapInArrow(along, RESULT)
+    return texts_in_python(dealt, along, RESULT)
 
 
 def ranges_of(rows: DataFrame, ranges: int) -> Column:

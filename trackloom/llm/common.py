@@ -9,12 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trackloom.catalog.registry import Build, Entry
 
 #: Characters that part words in the contracts: a word is ``[^\x20\x09-\x0D]+``.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Texts of an Arrow batch.
+TEXTS = 1000
 #: Characters of a text that a classifier learns from at most.
 SAMPLE_CHARS = 100_000
 
@@ -38,6 +41,17 @@ def packed(docs: DataFrame, **parts) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in parts.items()])
 
 
+def texts_in_python(rows: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` over rows that hold texts: batches of ``TEXTS`` rows, as a task and its worker hold several at a time.
+
+    The size is a setting of the session; it is only ever lowered.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(rows.sparkSession.conf.get(setting)) <= TEXTS:
+        rows.sparkSession.conf.set(setting, str(TEXTS))
+    return rows.mapInArrow(run, schema)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

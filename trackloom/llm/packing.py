@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import batches, utf8
+from trackloom.llm.common import batches, texts_in_python, utf8
 from trackloom.session import materialised
 
 #: Parts of words whose ids a task remembers before it starts anew (some 300 bytes each).
@@ -100,7 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
                                                  names=["doc_id", "piece", "start", "length", "ids", "nth", "task"])
         ids.known.clear()  # the worker lives on
 
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, nth long, task int")
+    return texts_in_python(rows, run, "doc_id long, piece int, start long, length long, ids binary, nth long, task int")
 
 
 class Bins:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import SAMPLE_CHARS, batches, labelled_sample, logistic_fit, packed, utf8
+from trackloom.llm.common import SAMPLE_CHARS, batches, labelled_sample, logistic_fit, packed, texts_in_python, utf8
 
 #: Buckets of the three-character shapes, and single measures beside them.
 SHAPES, MEASURES = 512, 11
@@ -140,4 +140,4 @@ def with_quality(docs: DataFrame, model: Model, whole: bool = True, id: str = "d
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(model.score(utf8(b.column("row").field(text).cast(pa.string()))))],
                                                  names=[*kept, "score"])
 
-    return rows.mapInArrow(run, rows.select(*kept).schema.add("score", "double"))
+    return texts_in_python(rows, run, rows.select(*kept).schema.add("score", "double"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import batches, packed, utf8
+from trackloom.llm.common import batches, packed, texts_in_python, utf8
 from trackloom.llm.components import components
 from trackloom.session import materialised
 
@@ -67,7 +67,7 @@ def with_fingerprints(rows: DataFrame, words: int, lanes: int = 1) -> DataFrame:
     schema = rows.select(*keep).schema
     for k in range(lanes):
         schema = schema.add(f"f{k}", "long")
-    return rows.mapInArrow(run, schema)
+    return texts_in_python(rows, run, schema)
 
 
 def lossless_keys(limit: int, blocks: int = 5) -> list[list[int]]:

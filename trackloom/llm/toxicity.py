@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import batches, fold, labelled_sample, logistic_fit, packed, utf8
+from trackloom.llm.common import batches, fold, labelled_sample, logistic_fit, packed, texts_in_python, utf8
 
 #: Bytes of a window, and of it before the piece that it is taken for.
 WINDOW, BEFORE = 64, 24
@@ -174,4 +174,4 @@ def with_toxicity(docs: DataFrame, model: Model, whole: bool = True, id: str = "
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(model.score(utf8(b.column("row").field(text).cast(pa.string()))))],
                                                  names=[*kept, "score"])
 
-    return rows.mapInArrow(run, rows.select(*kept).schema.add("score", "double"))
+    return texts_in_python(rows, run, rows.select(*kept).schema.add("score", "double"))
