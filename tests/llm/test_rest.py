@@ -195,6 +195,28 @@ def test_headers_and_nearest_directories(spark):
     assert licences.file_licences(df.limit(0)).count() == 0
 
 
+def test_whole_headers_and_licence_files(spark):
+    text = {p.stem: p.read_text() for p in licences.TEXTS.glob("*.txt")}
+    apache = [t for k, t in licences.NOTICES if k == "Apache-2.0"][0].split()
+    wrapped = "\n".join(" * " + " ".join(apache[k : k + 11]) for k in range(0, len(apache), 11))
+    code = "\n".join(f"x{k} = call_{k}(y)" for k in range(60))
+    gnu = licences.GNU_NOTICE.format(work="program", kind="General", version="2", upto="either ", later=", or (at your option) any later version", end=licences.GNU_ENDS[0]).split()
+    lines = "\n".join("# " + " ".join(gnu[k : k + 12]) for k in range(0, len(gnu), 12))
+    want = {
+        "a/one.c": ("/*\n * Copyright 2019 The Some Authors\n *\n" + wrapped + "\n */\n\n" + code, "Apache-2.0"),
+        "b/two.py": ("#!/usr/bin/env python\n# Copyright (C) 2020 J. Doe\n#\n" + lines + "\n\n" + code, "GPL-2.0"),
+        "c/three.js": ("// SPDX-License-Identifier: MIT\n" + code, "MIT"),
+        "c/four.c": ("/* SPDX-License-Identifier: GPL-2.0-or-later */\n" + code, "GPL-2.0"),
+        "d/five.js": ("/*\n" + text["MIT"].replace("(c)", "(c) 2021 Some One") + "*/\n" + code, "MIT"),
+        "e/LICENSE": (text["MIT"].split("\n", 2)[2], "MIT"), "f/COPYING": (text["GPL-3.0"], "GPL-3.0"), "g/LICENSE.txt": (text["Apache-2.0"], "Apache-2.0"),
+        "h/COPYING": (text["GPL-2.0"], "GPL-2.0"), "i/LICENSE": (text["BSD-3-Clause"].replace("(c)", "(c) 2001, Regents"), "BSD-3-Clause"),
+        "j/LICENSE": (text["BSD-2-Clause"], "BSD-2-Clause"), "k/NOTICE": (code + "\n\n" + text["ISC"] + "\n\n" + code, "ISC"),
+        "l/plain.py": ("# A tool for the public, version 2 of it\n" + code, None), "n/de.txt": ("Der chlichst imc\nMit.\nUniversal\nDie Zeit.", None),
+        "m/late.py": (code + "\n\n" + text["MIT"] + "\n" + code, None)}
+    got = licences.file_licences(spark.createDataFrame([(k, t) for k, (t, _) in want.items()], "path string, text string")).collect()
+    assert {r.path: r.licence for r in got} == {k: v for k, (_, v) in want.items()}
+
+
 # Pipeline
 
 def test_stages_keep_clean_documents(spark, sf, docs):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,49 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Lines from either end of a file that make its header, and the cosine from which a line states a licence.
+#: Whole texts, standard notices and titles, by SPDX name: what headers and licence files are compared with beside ``TEMPLATES``.
+#: No title of so few words that one word on a line of its own, as the German "mit", comes near it.
+TEXTS = Path(__file__).with_name("licence_texts")
+GNU = {"AGPL-3.0": ("Affero General", "3"), "GPL-2.0": ("General", "2"), "GPL-3.0": ("General", "3"), "LGPL-2.1": ("Lesser General", "2.1"),
+       "LGPL-3.0": ("Lesser General", "3")}
+GNU_NOTICE = (
+    "This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by "
+    "the Free Software Foundation, {upto}version {version} of the License{later}. This {work} is distributed in the hope that it will be "
+    "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+    "{kind} Public License for more details. You should have received a copy of the GNU {kind} Public License along with this {work}. If not, {end}")
+GNU_ENDS = ("see <https://www.gnu.org/licenses/>.",
+            "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301, USA.")
+NOTICES = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+     'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either '
+     "express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+     "this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007")]
+for _name, _kind in {"CC-BY-4.0": "Attribution", "CC-BY-NC-4.0": "Attribution-NonCommercial", "CC-BY-SA-4.0": "Attribution-ShareAlike"}.items():
+    NOTICES += [(_name, t.format(_kind)) for t in (
+        "Creative Commons {} 4.0 International Public License",
+        "This work is licensed under a Creative Commons {} 4.0 International License.")]
+for _name, (_kind, _version) in GNU.items():
+    NOTICES += [(_name, GNU_NOTICE.format(work=_work, kind=_kind, version=_version, upto=_upto, later=_later, end=_end))
+                for _work in ("program", "library") for _end in GNU_ENDS
+                for _upto, _later in (("either ", ", or (at your option) any later version"), ("", ""))]
+#: Lines from either end of a file that are compared one by one, and the cosine from which they state a licence.
 HEADER, LIKE = 3, 0.6
+#: Lines of the overlapping windows of headers and licence files; each starts half a window after the one before.
+WINDOWS = (2, 4, 16)
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
+#: Comments at the start of a text, with what is blank between them; and its first paragraph. Possessive: no text makes them deep.
+COMMENT = (r"\A(?:[\x20\t\r\n\x{FEFF}]*+(?:/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\"\"\"[\s\S]*?\"\"\"|'{3}[\s\S]*?'{3}|\{-[\s\S]*?-\}|\(\*[\s\S]*?\*\)"
+           r"|(?:#|//|--|;|%|(?i:rem|dnl)\x20)[^\n]*+))++")
+PARAGRAPH = r"\A(?:[\x20\t\r]*+\n)*+(?:[\x20\t]*+[^\s][^\n]*+(?:\n|\z))++"
+#: A stated SPDX name, without what says only which versions it allows.
+SPDX, SPDX_VERSIONS = r"(?i)SPDX-License-Identifier:[\x20\t(]*+([a-z0-9][a-z0-9.+-]*+)", r"(-only|-or-later|\+)$"
 
 
 def terms(text: Column) -> Column:
@@ -39,40 +81,93 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def forms() -> list[tuple[int, str, str]]:
+    """``form`` (number), ``licence`` and text of all that headers and licence files are compared with."""
+    whole = [(p.stem, p.read_text("utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    return [(n, k, t) for n, (k, t) in enumerate([*TEMPLATES.items(), *NOTICES, *whole])]
+
+
 def template_terms(spark: SparkSession) -> DataFrame:
-    """``licence``, ``term``, ``tf``: a table as long as the templates, whatever the files."""
-    known = spark.createDataFrame([(k, t) for k, t in TEMPLATES.items()], "licence string, text string")
-    return known.select("licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
+    """``form``, ``licence``, ``term``, ``tf``: a table as long as the templates, whatever the files."""
+    known = spark.createDataFrame(forms(), "form int, licence string, text string")
+    return known.select("form", "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("form", "licence", "term").agg(F.count("*").alias("tf"))
 
 
-def statements(lines: DataFrame, places: DataFrame, files: int) -> DataFrame:
-    """``file``, ``line`` (text), ``at``, ``head`` -> ``file``, ``licence``, ``score`` of the best statement of each file that has one.
+def opened(rows: DataFrame) -> DataFrame:
+    """``file``, ``text`` -> ``file``, ``lines``: those with a term, each with its ``terms``, whether it is read by itself (``near``:
+    at an end or in the leading comment), whether it is in the header (``open``: leading comment, else first paragraph), and its
+    SPDX name (``spdx``)."""
+    comment = F.regexp_extract("text", COMMENT, 0)
+    rows = rows.select("file", F.split("text", "\n").alias("all"), comment.alias("comment"), F.when(comment == "", F.regexp_extract("text", PARAGRAPH, 0)).otherwise("").alias("first"))
+    upto = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(F.rtrim(F.col(c), F.lit("\n")), "\n")))
+    rows = rows.select("file", "all", F.size("all").alias("size"), upto("comment").alias("comment"), upto("first").alias("first"))
+
+    def line(text: Column, at: Column) -> Column:
+        near = (at < HEADER) | (at >= F.col("size") - HEADER) | (at < F.col("comment"))
+        return F.struct(terms(text).alias("terms"), near.alias("near"), (at < F.greatest("comment", "first")).alias("open"),
+                        F.regexp_extract(text, SPDX, 1).alias("spdx"))
+
+    return rows.select("file", F.filter(F.transform("all", line), lambda x: F.size(x["terms"]) > 0).alias("lines"))
+
 
-    Lines count if they are in a file's header or the file is a licence file (``places``: ``file``, ``whole``). Terms weigh their
-    count times ln((1 + files) / (1 + files with the term)) + 1, counted over all such lines for the terms of the templates;
-    others weigh as terms of no file, so that they count against a line. A line can only reach ``LIKE`` if it has an anchor:
-    the terms left to a template without its anchors are too light. Only such lines are taken apart. ``lines`` is read twice
-    and never shuffled whole.
+def windows(lines: str) -> Column:
+    """Terms of the overlapping windows of the column ``lines`` (terms by line), and of all of them."""
+    parts = [F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(w // 2)),
+                         lambda k, w=w: F.flatten(F.slice(lines, k + 1, w))) for w in WINDOWS]
+    return F.concat(F.array(F.flatten(lines)), *parts)
+
+
+def statements(lines: DataFrame, places: DataFrame, files: int) -> DataFrame:
+    """``file``, ``lines`` (``opened``) -> ``file``, ``licence``, ``score`` of the best statement of each file that has one.
+
+    Compared with the templates are a file's header as a whole, its overlapping windows, and the lines to be read by themselves;
+    all lines, windows and the whole text if it is a licence file (``places``: ``file``, ``whole``). Terms weigh their count times
+    ln((1 + files) / (1 + files with the term)) + 1, counted over headers, ends and licence files for the terms of the templates;
+    others weigh as terms of no file, so that they count against a match. A match can only reach ``LIKE`` if it has an anchor: the
+    terms left to a template without its anchors are too light. Only texts with an anchor are cut up, and only what has one is
+    taken apart. A name given with SPDX is stated as it stands. ``lines`` is read three times and never shuffled whole;
+    the terms of texts with an anchor are written once.
     """
     spark = lines.sparkSession
     known = template_terms(spark)
     vocabulary = lookup(known.select("term").distinct(), "template-terms")
-    hits = lines.select("file", "head", F.explode(F.array_distinct(terms(F.col("line")))).alias("term")).join(F.broadcast(vocabulary), "term")
+
+    def own(keep) -> Column:
+        return F.array_distinct(F.flatten(F.transform(F.filter("lines", keep), lambda x: x["terms"])))
+
+    head = lambda x: x["near"] | x["open"]
+    sets = F.array(F.struct(F.lit(True).alias("head"), own(head).alias("terms")), F.struct(F.lit(False).alias("head"), own(lambda x: ~head(x)).alias("terms")))
+    hits = lines.select("file", F.explode(sets).alias("s")).select("file", "s.head", F.explode("s.terms").alias("term")).join(F.broadcast(vocabulary), "term")
     hits = hits.groupBy("file", "term").agg(F.max("head").alias("head")).join(places, "file").where(F.col("head") | F.col("whole"))
     spread = vocabulary.join(hits.groupBy("term").count(), "term", "left").select("term", idf(F.coalesce("count", F.lit(0)), files).alias("idf"))
     spread = lookup(spread, "term-weights")
-    weights = [(r.licence, r.term, r.tf * r.idf) for r in known.join(F.broadcast(spread), "term").collect()]
-    norm = {k: sum(w * w for name, _, w in weights if name == k) ** 0.5 for k in TEMPLATES}
-    index = lookup(spark.createDataFrame([(k, t, w / norm[k]) for k, t, w in weights], "licence string, term string, share double"), "template-index")
-    marks = "|".join(sorted(anchors({(k, t): w / norm[k] for k, t, w in weights})))
-    some = lines.where(F.lower("line").rlike(rf"(?<![a-z0-9])(?:{marks})(?![a-z0-9])")).join(places, "file").where(F.col("head") | F.col("whole"))
-    some = some.select("file", "at", F.explode(terms(F.col("line"))).alias("term")).groupBy("file", "at", "term").agg(F.count("*").alias("tf"))
+    found = known.join(F.broadcast(spread), "term").collect()
+    norm: dict[int, float] = {}
+    for r in found:
+        norm[r.form] = norm.get(r.form, 0.0) + (r.tf * r.idf) ** 2
+    shares = [(r.form, r.licence, r.term, r.tf * r.idf / norm[r.form] ** 0.5) for r in found]
+    index = lookup(spark.createDataFrame(shares, "form int, licence string, term string, share double"), "template-index")
+    marks = anchors({(form, t): w for form, _, t, w in shares}, {r.term: r.idf for r in found})
+    marked = lambda words: F.arrays_overlap(words, F.array(*[F.lit(t) for t in sorted(marks)]))
+
+    def units(head: bool, *texts: Column) -> Column:
+        return F.transform(F.filter(F.concat(*texts), marked), lambda t: F.struct(F.lit(head).alias("head"), t.alias("terms")))
+
+    parts = {"every": lambda x: F.lit(True), "near": lambda x: x["near"], "open": lambda x: x["open"]}
+    some = lines.select("file", *[F.transform(F.filter("lines", keep), lambda x: x["terms"]).alias(k) for k, keep in parts.items()])
+    some = materialised(some.where(F.exists("every", marked)), "texts-with-anchors")
+    some = some.select("file", F.concat(units(True, F.col("near"), windows("open")), units(False, F.col("every"), windows("every"))).alias("units"))
+    some = some.select("file", F.posexplode("units").alias("at", "unit")).join(places, "file").where(F.col("unit.head") | F.col("whole"))
+    some = some.select("file", "at", F.explode("unit.terms").alias("term")).groupBy("file", "at", "term").agg(F.count("*").alias("tf"))
     some = some.join(F.broadcast(spread), "term", "left")
-    some = materialised(some.select("file", "at", "term", (F.col("tf") * F.coalesce("idf", idf(F.lit(0), files))).alias("w")), "line-terms")
+    some = materialised(some.select("file", "at", "term", (F.col("tf") * F.coalesce("idf", idf(F.lit(0), files))).alias("w")), "unit-terms")
     length = some.groupBy("file", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = some.join(F.broadcast(index), "term").groupBy("file", "at", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    dots = some.join(F.broadcast(index), "term").groupBy("file", "at", "form", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     scored = dots.join(length, ["file", "at"]).select("file", "licence", F.round(F.col("dot") / F.col("length"), 6).alias("score")).where(F.col("score") >= LIKE)
-    best = F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best")
+    named = lines.select("file", F.explode(F.filter("lines", lambda x: x["spdx"] != "")).alias("x")).join(places, "file").where(F.col("x.near") | F.col("x.open") | F.col("whole"))
+    scored = scored.unionByName(named.select("file", F.regexp_replace("x.spdx", SPDX_VERSIONS, "").alias("licence"), F.lit(1.0).alias("score")))
+    # 'All rights reserved.' also stands above licences, so it counts where no other is stated
+    best = F.min(F.struct((F.col("licence") == "Proprietary").alias("bare"), (-F.col("score")).alias("less"), "licence")).alias("best")
     return scored.groupBy("file").agg(best).select("file", "best.licence", (-F.col("best.less")).alias("score"))
 
 
@@ -80,12 +175,15 @@ def idf(count: Column, files: int) -> Column:
     return F.log((1.0 + files) / (1.0 + count)) + 1.0
 
 
-def anchors(shares: dict[tuple[str, str], float]) -> set[str]:
-    """Heaviest terms of each template, until the rest could not reach ``LIKE`` by themselves."""
+def anchors(shares: dict[tuple[int, str], float], rare: dict[str, float]) -> set[str]:
+    """Terms of each template, the rarest and then heaviest first, until the rest could not reach ``LIKE`` by themselves."""
     out: set[str] = set()
-    for licence in {k for k, _ in shares}:
+    by_form: dict[int, list[tuple[float, float, str]]] = {}
+    for (form, term), share in shares.items():
+        by_form.setdefault(form, []).append((rare[term], share, term))
+    for own in by_form.values():
         rest = 1.0
-        for share, term in sorted(((w, t) for (k, t), w in shares.items() if k == licence), reverse=True):
+        for _, share, term in sorted(own, reverse=True):
             if rest**0.5 < LIKE - 1e-6:
                 break
             out.add(term)
@@ -96,19 +194,20 @@ def anchors(shares: dict[tuple[str, str], float]) -> set[str]:
 def file_licences(files: DataFrame, paths: DataFrame | None = None, id: str = "path", text: str = "text") -> DataFrame:
     """Every file's licence: ``id``, ``path``, ``licence``, ``score``, ``found`` (header, inherited or none), ``directory``.
 
-    A file that states a licence in its first or last ``HEADER`` lines has that one. Any other takes that of the nearest
-    directory, from its own upwards, with a licence file (``LICENCE_FILE``) that states one anywhere in its text; ``directory``
-    is that directory. If a directory has several, the best match counts, then the first name.
+    A file that states a licence in its header (the leading comment, or else the first paragraph) or in its first or last
+    ``HEADER`` lines has that one. Any other takes that of the nearest directory, from its own upwards, with a licence file
+    (``LICENCE_FILE``) that states one anywhere in its text; ``directory`` is that directory. If a directory has several, the
+    best match counts, then the first name.
 
     The id is the path itself, or ``paths`` has the path (``path``) of each id once. A file with a null path has no directory and inherits
     nothing; null and empty texts state nothing. Files with the same id are told apart by their texts; repeated rows have the
-    same result. Texts are read line by line where they lie: only lines with terms of a licence, ids and paths are shuffled. A
+    same result. Texts are read where they lie: only terms, lines and windows with terms of a licence, ids and paths are shuffled. A
     directory is joined to its ancestors once, not once for each of its files.
     """
     own_id = F.col(f"`{id}`").cast("string")
     print_ = F.coalesce(F.hex(F.xxhash64(F.col(f"`{text}`").cast("string"))), F.lit("-"))
     key = F.concat(F.when(own_id.isNull(), "-").otherwise(F.concat(F.lit("+"), own_id)), F.lit("/"), print_)
-    rows = files.select(F.col(f"`{id}`").alias("id"), key.alias("file"), F.split(F.col(f"`{text}`").cast("string"), "\n").alias("lines"))
+    rows = files.select(F.col(f"`{id}`").alias("id"), key.alias("file"), F.col(f"`{text}`").cast("string").alias("text"))
     named = rows.select("id", "file")
     if paths is None:
         named = named.withColumn("path", F.col("id").cast("string"))
@@ -117,9 +216,7 @@ def file_licences(files: DataFrame, paths: DataFrame | None = None, id: str = "p
     named = named.withColumn("whole", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))).withColumn("directory", directory(F.col("path")))
     named = materialised(named, "paths")
     places = named.select("file", "whole").distinct()
-    size = F.size("lines")
-    lines = rows.select("file", size.alias("size"), F.posexplode("lines").alias("at", "line"))
-    lines = lines.select("file", "at", "line", ((F.col("at") < HEADER) | (F.col("at") >= F.col("size") - HEADER)).alias("head"))
+    lines = opened(rows.where("text is not null").select("file", "text"))
     own = materialised(named.join(statements(lines, places, places.count()), "file", "left"), "own-licences")
     best = F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best")
     given = own.where("licence is not null and whole").groupBy("directory").agg(best)
