@@ -148,6 +148,15 @@ def test_contexts_find_unseen_identifiers(spark):
     assert not got[101].spans and all(len(got[k].spans) == 1 for k in range(40))
 
 
+def test_one_trusted_pattern_suffices(spark):
+    """A fixed context on the left with other words on the right each time; a number that mostly stands elsewhere is left out."""
+    known = [(k, f"word{'abcdefghij'[k % 10]} reach me at user{k}@mail{k}.example.org next{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]} end") for k in range(40)]
+    other = [(50 + k, f"so the number 77 is here {prose(3)}") for k in range(20)]
+    new = [(100, "please reach me at chief#7@intranet whenever"), (101, "please reach me at 77 whenever")]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(known + other + new, "doc_id long, text string")).collect()}
+    assert [new[0][1][s.start : s.end] for s in got[100].spans] == ["chief#7@intranet"] and not got[101].spans and not got[50].spans
+
+
 def test_digest_columns(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op5(spark, sf).collect():

@@ -101,24 +101,26 @@ def scored_values(words: DataFrame, rounds: int, support: int, trust: float) ->
 
     The graph has a link between each pattern and each value found with it, weighted by the number of times. A value seen as
     a span of a kind has trust 1 in that kind. In each round a pattern's trust in a kind is the share of trusted values among
-    all it is found with (one more in the denominator), if at least ``support`` different seed values are among them; a
-    value's trust is the mean of its patterns', by their weight. Values at ``trust`` or more after the last round are taken.
+    all it is found with (one more in the denominator), if at least ``support`` different seed values are among them; each
+    time a value is found the most trusted of its patterns counts, so that one suffices, and a value's trust is the mean over
+    all times, those without a trusted pattern included. Values at ``trust`` or more after the last round are taken.
     """
-    edges = words.select(F.explode("patterns").alias("pattern"), "value", "kind")
-    edges = edges.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
-    edges = materialised(edges, "pattern-graph")
+    uses = materialised(words.groupBy("patterns", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind")), "pattern-graph")
+    links = uses.select("patterns", F.explode("patterns").alias("pattern"), "value", "n", "kind")
+    edges = links.groupBy("pattern", "value").agg(F.sum("n").alias("n"), F.max("kind").alias("kind"))
     seeds = words.where("kind is not null").groupBy("value").agg(F.max("kind").alias("kind"))
     degree = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
     rich = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support).drop("seeds")
     rich = materialised(rich.join(degree, "pattern"), "supported-patterns")
-    some = materialised(edges.join(rich.select("pattern").distinct(), "pattern", "left_semi"), "supported-links")
-    weight = edges.groupBy("value").agg(F.sum("n").alias("times"))
+    some = materialised(links.drop("kind").join(rich.select("pattern").distinct(), "pattern", "left_semi"), "supported-links")
+    weight = uses.groupBy("value").agg(F.sum("n").alias("times"))
     seeds = materialised(seeds.select("value", "kind", F.lit(1.0).alias("trust")), "seed-values")
     now = seeds
     for _ in range(rounds):
-        told = some.drop("kind").join(now, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("trust")).alias("sure"))
+        told = some.join(now, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("trust")).alias("sure"))
         believed = rich.join(told, ["pattern", "kind"]).select("pattern", "kind", (F.col("sure") / (F.col("all") + 1)).alias("belief"))
-        heard = some.drop("kind").join(believed, "pattern").groupBy("value", "kind").agg(F.sum(F.col("n") * F.col("belief")).alias("sum"))
+        best = some.join(believed, "pattern").groupBy("value", "patterns", "n", "kind").agg(F.max("belief").alias("belief"))
+        heard = best.groupBy("value", "kind").agg(F.sum(F.col("n") * F.col("belief")).alias("sum"))
         fresh = heard.join(weight, "value").join(seeds.select("value"), "value", "left_anti").select("value", "kind", (F.col("sum") / F.col("times")).alias("trust"))
         now = materialised(seeds.unionByName(fresh), "trusted-values")
     new = now.join(seeds.select("value"), "value", "left_anti").where(F.col("trust") >= trust)
