@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.chunking import neighbour_fingerprints
 from trackloom.llm.common import ENTRIES, register, table
+from trackloom.llm.hardnegatives import hard_negatives
+from trackloom.llm.infill import with_infill
 from trackloom.llm.licences import HEADER, LIKE, TEMPLATES, file_licences
 from trackloom.llm.linededup import without_spread_lines
 from trackloom.llm.mixing import mix
@@ -16,6 +18,7 @@ from trackloom.llm.quality import fit_quality, with_quality
 from trackloom.llm.simhash import linked_documents
 from trackloom.llm.topk import top_k
 from trackloom.llm.toxicity import fit_toxicity, with_toxicity
+from trackloom.llm.vectordedup import near_vectors
 from trackloom.session import lookup
 
 
@@ -216,3 +219,76 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_chunk_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+with v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+k as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.98),
+r as (
+  with recursive reach(a, b) as (select vec_id, vec_id from v union select reach.a, k.b from reach join k on reach.b = k.a)
+  select a, min(b) as least from reach group by a),
+n as (select a, count(*) as links from k group by a)
+select e.vec_id, coalesce(n.links, 0)::bigint as n_links, coalesce(r.least, e.vec_id) as component_id, e.vec_id = coalesce(r.least, e.vec_id) as kept
+from embeddings e left join n on e.vec_id = n.a left join r on e.vec_id = r.a
+"""
+
+
+@register("op11_vector_dedup", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+l as (
+  select *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as lines, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+         cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from d),
+c as (
+  select *, len(lines)::bigint as n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as b,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain'
+              when h4 % 100 < 50 then 'spm' else 'psm' end as form from l),
+p as (
+  select *, array_to_string(lines[1:a], '') as prefix, array_to_string(lines[a + 1:b], '') as middle, array_to_string(lines[b + 1:], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then len(prefix) end::bigint as prefix_chars, case when form <> 'plain' then len(middle) end::bigint as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256
+from p
+"""
+
+
+@register("op12_infill", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_infill(table(spark, sf_dir, "documents"), whole=False, outputs=False).drop("pieces")
+
+
+OP13_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as t
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as anchor_id, c.vec_id, q.label = c.label as same, list_inner_product(q.t, c.t)::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+r as (
+  select p.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)::int as rank
+  from p join s on p.anchor_id = s.anchor_id and not s.same and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from r where rank <= 5
+"""
+
+
+@register("op13_hard_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)

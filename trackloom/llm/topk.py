@@ -29,12 +29,18 @@ def quantised(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
     values[np.arange(dims) < size[:, None]] = flat
     values[(np.arange(dims) >= size[:, None]) & (size > 0)[:, None]] = 0.0  # shorter vectors are zero beyond their end
     good = np.isfinite(values).all(axis=1) & (size > 0)
-    return np.flatnonzero(good), np.floor(scale * values[good]).astype(np.int64)
+    with np.errstate(over="ignore"):
+        terms = np.floor(scale * values[good])
+    if np.abs(terms).max(initial=0) >= 2.0**63:
+        raise OverflowError("a scaled component needs more than 64 bits")
+    return np.flatnonzero(good), terms.astype(np.int64)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T without rounding: in doubles where all sums stay below 2^53, in whole numbers elsewhere."""
+    """a @ b.T without rounding: in doubles where all sums stay below 2^53, in whole numbers below 2^63, else an error."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if most >= 2.0**63:
+        raise OverflowError("a sum of products may need more than 64 bits")
     return (a.astype(float) @ b.T.astype(float)).astype(np.int64) if most < 2**53 else a @ b.T
 
 
@@ -84,6 +90,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     ``is_query`` marks the query rows (a condition on the columns of ``vectors``). Rows with a null id or vector, and vectors
     that are empty or hold null or non-finite components, take no part; a vector shorter than others is zero beyond its end;
     rows with a query's own id are no candidates of its; repeated rows are each a candidate, and each a query of its own.
+    Where a scaled component or a sum of products might exceed 64 bits the search ends with an OverflowError: no score is wrong.
 
     Vectors are ordered by their two strongest terms, so that those in a block of ``BLOCK`` resemble each other, and blocks
     keep the least and largest value of each term. A query is first searched for in the shard (``SHARD`` blocks) that it is
