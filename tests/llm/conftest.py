@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 LONG = "Pathétique words, again and again: " * 6000  # 200,000 characters and more
+#: A long text of many lines, as comments, with candidates of every kind.
+LINES = "\n".join(f"# line {k} of a very long text, call +1 (375) 555-{k:04} or 10.0.{k % 256}.{k % 200} (id a{k})" for k in range(4000))
 
 
 @pytest.fixture(scope="session")
@@ -10,7 +12,8 @@ def odd(spark):
     rows = [(1, "the cat sat on the mat and looked at the dog", "s1"), (2, None, "s1"), (3, "", None), (4, " \t\n ", "s2"),
             (5, LONG, "s2"), (6, "one line\nthe cat sat on the mat and looked at the dog\nlast", None), (7, "one line\nend", "s3"),
             (7, "one line\nend", "s3"), (7, "one line\nother end", "s3"), (None, "no id here", "s1"), (None, None, None),
-            (8, "mail a.b@c-d.example.org, call +1 (375) 555-4393 or 10.0.0.1", "s9"), (9, "😀 ünïcode 😀 x@y.z", "s9")]
+            (8, "mail a.b@c-d.example.org, call +1 (375) 555-4393 or 10.0.0.1", "s9"), (9, "😀 ünïcode 😀 x@y.z", "s9"),
+            (10, LINES, "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     return df.withColumns({"lang": F.lit(None).cast("string"), **{c: F.lit("clash") for c in (
         "row", "uid", "size", "place", "score", "node", "bucket", "line", "f0", "task", "length", "kind", "print", "print_", "at", "range", "opens")}})

@@ -1,6 +1,7 @@
 """Mixing, packing, search, licences and the pipeline: brute force, SQL twins, and odd input."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -85,10 +86,9 @@ def test_tokens_of_parts_are_those_of_whole_texts():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(TOKENIZER)
-    whole.encode_special_tokens = True
     draw = np.random.default_rng(2)
-    signs = [*"aAbBéÉèñÑüßÿÀ.,'’\"!?-_() \n\t\r\x0b\x0c\x1c\x85\xa0 ́ΣςİıKﬁ漢かな한🙂👍🏽0189½²ªº×÷", "'s", "'ll", "'D", " ", " "]
-    texts = ["".join(draw.choice(signs, draw.integers(0, 50))) for _ in range(4000)] + ["", " ", "<|endoftext|> x", "x" * 3000]
+    signs = [*"aAbBéÉèñÑüßÿÀ.,'’\"!?-_() \n\t\r\x0b\x0c\x1c\x85\xa0 ́ΣςİıKﬁ漢かな한🙂👍🏽0189½²ªº×÷", "'s", "'ll", "'D", " ", " ", "<|endoftext|>", "<|startoftext|>"]
+    texts = ["".join(draw.choice(signs, draw.integers(0, 50))) for _ in range(4000)] + ["", " ", "<|endoftext|> hello", "<|startoftext|>x", "<|EndOfText|>", "a<|endoftext", "x" * 3000]
     want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert packing.Ids(TOKENIZER).of(texts) == want
 
@@ -112,7 +112,6 @@ def check_packed(df, capacity):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(TOKENIZER)
-    whole.encode_special_tokens = True
     out = packing.pack(packing.token_pieces(df, TOKENIZER, capacity), capacity)
     rows = out.collect()
     want = []
@@ -195,6 +194,24 @@ def test_headers_and_nearest_directories(spark):
     assert licences.file_licences(df.limit(0)).count() == 0
 
 
+def test_windows_overlap_by_half(spark):
+    lines = [[f"a{k}", f"b{k}"] for k in range(9)]
+    got = spark.createDataFrame([(lines,)], "lines array<array<string>>").select(licences.windows("lines").alias("w")).first().w
+    want = [sum(lines, [])] + [sum(lines[k : k + w], []) for w in licences.WINDOWS for k in range(0, 9, w // 2)]
+    assert got == want
+
+
+def test_texts_of_many_lines(spark):
+    """Comments of thousands of lines, in ordinary files and licence files: time in proportion to the text, the statement found."""
+    comment = "\n".join(f"# plain words of line {k} under no terms" for k in range(20_000))
+    mit = "Released under the MIT License."
+    rows = [("a/one.py", f"{comment}\n# {mit}\n# and more"), ("a/two.py", comment), ("b/LICENSE", f"{comment}\n{mit}\n{comment}"), ("b/x", "plain")]
+    began = time.time()
+    got = {r.path: (r.licence, r.found) for r in licences.file_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a/one.py": ("MIT", "header"), "a/two.py": (None, "none"), "b/LICENSE": ("MIT", "header"), "b/x": ("MIT", "inherited")}
+    assert time.time() - began < 60
+
+
 def test_whole_headers_and_licence_files(spark):
     text = {p.stem: p.read_text() for p in licences.TEXTS.glob("*.txt")}
     apache = [t for k, t in licences.NOTICES if k == "Apache-2.0"][0].split()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,51 +94,66 @@ def template_terms(spark: SparkSession) -> DataFrame:
     return known.select("form", "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("form", "licence", "term").agg(F.count("*").alias("tf"))
 
 
-def opened(rows: DataFrame) -> DataFrame:
-    """``file``, ``text`` -> ``file``, ``lines``: those with a term, each with its ``terms``, whether it is read by itself (``near``:
-    at an end or in the leading comment), whether it is in the header (``open``: leading comment, else first paragraph), and its
-    SPDX name (``spdx``)."""
-    comment = F.regexp_extract("text", COMMENT, 0)
-    rows = rows.select("file", F.split("text", "\n").alias("all"), comment.alias("comment"), F.when(comment == "", F.regexp_extract("text", PARAGRAPH, 0)).otherwise("").alias("first"))
-    upto = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(F.rtrim(F.col(c), F.lit("\n")), "\n")))
-    rows = rows.select("file", "all", F.size("all").alias("size"), upto("comment").alias("comment"), upto("first").alias("first"))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once for a row: the optimiser copies an expression to every place that names it,
+    inside lambdas as well, but does not look through a variable."""
+    return F.transform(F.array(value), use)[0]
 
-    def line(text: Column, at: Column) -> Column:
-        near = (at < HEADER) | (at >= F.col("size") - HEADER) | (at < F.col("comment"))
-        return F.struct(terms(text).alias("terms"), near.alias("near"), (at < F.greatest("comment", "first")).alias("open"),
-                        F.regexp_extract(text, SPDX, 1).alias("spdx"))
 
-    return rows.select("file", F.filter(F.transform("all", line), lambda x: F.size(x["terms"]) > 0).alias("lines"))
+def opened(text: Column) -> Column:
+    """The lines of a text with a term, each with its ``terms``, whether it is read by itself (``near``: at an end or in the
+    leading comment), whether it is in the header (``open``: leading comment, else first paragraph; ``comment``: the former), and
+    its SPDX name (``spdx``). Where comment and paragraph end is found once for a text, so the work is proportional to its length."""
+    def upto(part: Column) -> Column:
+        return F.when(part == "", 0).otherwise(F.size(F.split(F.rtrim(part, F.lit("\n")), "\n")))
 
+    def line(t: Column, at: Column, own: Column) -> Column:
+        near = (at < HEADER) | (at >= own["size"] - HEADER) | (at < own["comment"])
+        return F.struct(terms(t).alias("terms"), near.alias("near"), (at < own["open"]).alias("open"), (at < own["comment"]).alias("comment"),
+                        F.regexp_extract(t, SPDX, 1).alias("spdx"))
 
-def windows(lines: str) -> Column:
+    def in_order(all_lines: Column) -> Column:
+        def with_comment(comment: Column) -> Column:
+            first = F.when(comment == "", F.regexp_extract(text, PARAGRAPH, 0)).otherwise("")
+            own = F.struct(F.size(all_lines).alias("size"), upto(comment).alias("comment"), F.greatest(upto(comment), upto(first)).alias("open"))
+            return once(own, lambda o: F.transform(all_lines, lambda t, at: line(t, at, o)))
+
+        return once(F.regexp_extract(text, COMMENT, 0), with_comment)
+
+    return F.filter(once(F.split(text, "\n"), in_order), lambda x: F.size(x["terms"]) > 0)
+
+
+def windows(lines: str, sizes: Sequence[int] = WINDOWS) -> Column:
     """Terms of the overlapping windows of the column ``lines`` (terms by line), and of all of them."""
-    parts = [F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(w // 2)),
-                         lambda k, w=w: F.flatten(F.slice(lines, k + 1, w))) for w in WINDOWS]
-    return F.concat(F.array(F.flatten(lines)), *parts)
+    def of(w: int) -> Column:  # a lambda of two parameters would get the index as the second
+        starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(w // 2))
+        return F.transform(starts, lambda k: F.flatten(F.slice(lines, k + 1, w)))
+
+    return F.concat(F.array(F.flatten(lines)), *[of(w) for w in sizes])
 
 
-def statements(lines: DataFrame, places: DataFrame, files: int) -> DataFrame:
-    """``file``, ``lines`` (``opened``) -> ``file``, ``licence``, ``score`` of the best statement of each file that has one.
+def statements(texts: DataFrame, places: DataFrame, files: int) -> DataFrame:
+    """``file``, ``text`` -> ``file``, ``licence``, ``score`` of the best statement of each file that has one.
 
-    Compared with the templates are a file's header as a whole, its overlapping windows, and the lines to be read by themselves;
-    all lines, windows and the whole text if it is a licence file (``places``: ``file``, ``whole``). Terms weigh their count times
+    Compared with the templates are a file's header as a whole, its overlapping windows (of a first paragraph, which is prose, only
+    the longest), and the lines to be read by themselves; all lines, windows and the whole text if it is a licence file (``places``: ``file``, ``whole``). Terms weigh their count times
     ln((1 + files) / (1 + files with the term)) + 1, counted over headers, ends and licence files for the terms of the templates;
     others weigh as terms of no file, so that they count against a match. A match can only reach ``LIKE`` if it has an anchor: the
-    terms left to a template without its anchors are too light. Only texts with an anchor are cut up, and only what has one is
-    taken apart. A name given with SPDX is stated as it stands. ``lines`` is read three times and never shuffled whole;
-    the terms of texts with an anchor are written once.
+    terms left to a template without its anchors are too light. Only texts with an anchor, which one pattern tells, are cut up,
+    and only what has one is taken apart. A name given with SPDX is stated as it stands. ``texts`` is read three times and never
+    shuffled; the terms of texts with an anchor are written once.
     """
-    spark = lines.sparkSession
+    spark = texts.sparkSession
     known = template_terms(spark)
     vocabulary = lookup(known.select("term").distinct(), "template-terms")
 
-    def own(keep) -> Column:
-        return F.array_distinct(F.flatten(F.transform(F.filter("lines", keep), lambda x: x["terms"])))
+    def own(lines: Column, keep) -> Column:
+        return F.array_distinct(F.flatten(F.transform(F.filter(lines, keep), lambda x: x["terms"])))
 
     head = lambda x: x["near"] | x["open"]
-    sets = F.array(F.struct(F.lit(True).alias("head"), own(head).alias("terms")), F.struct(F.lit(False).alias("head"), own(lambda x: ~head(x)).alias("terms")))
-    hits = lines.select("file", F.explode(sets).alias("s")).select("file", "s.head", F.explode("s.terms").alias("term")).join(F.broadcast(vocabulary), "term")
+    sets = once(opened(F.col("text")), lambda lines: F.array(*[F.struct(F.lit(is_head).alias("head"), own(lines, keep).alias("terms"))
+                                                               for is_head, keep in ((True, head), (False, lambda x: ~head(x)))]))
+    hits = texts.select("file", F.explode(sets).alias("s")).select("file", "s.head", F.explode("s.terms").alias("term")).join(F.broadcast(vocabulary), "term")
     hits = hits.groupBy("file", "term").agg(F.max("head").alias("head")).join(places, "file").where(F.col("head") | F.col("whole"))
     spread = vocabulary.join(hits.groupBy("term").count(), "term", "left").select("term", idf(F.coalesce("count", F.lit(0)), files).alias("idf"))
     spread = lookup(spread, "term-weights")
@@ -150,13 +166,18 @@ def statements(lines: DataFrame, places: DataFrame, files: int) -> DataFrame:
     marks = anchors({(form, t): w for form, _, t, w in shares}, {r.term: r.idf for r in found})
     marked = lambda words: F.arrays_overlap(words, F.array(*[F.lit(t) for t in sorted(marks)]))
 
-    def units(head: bool, *texts: Column) -> Column:
-        return F.transform(F.filter(F.concat(*texts), marked), lambda t: F.struct(F.lit(head).alias("head"), t.alias("terms")))
+    def units(head: bool, *own: Column) -> Column:
+        return F.transform(F.filter(F.concat(*own), marked), lambda t: F.struct(F.lit(head).alias("head"), t.alias("terms")))
+
+    def parts(lines: Column) -> Column:
+        terms_of = lambda keep: F.transform(F.filter(lines, keep), lambda x: x["terms"])
+        return F.struct(*[terms_of(keep).alias(k) for k, keep in (
+            ("every", lambda x: F.lit(True)), ("near", lambda x: x["near"]), ("comment", lambda x: x["comment"]), ("first", lambda x: x["open"] & ~x["comment"]))])
 
-    parts = {"every": lambda x: F.lit(True), "near": lambda x: x["near"], "open": lambda x: x["open"]}
-    some = lines.select("file", *[F.transform(F.filter("lines", keep), lambda x: x["terms"]).alias(k) for k, keep in parts.items()])
-    some = materialised(some.where(F.exists("every", marked)), "texts-with-anchors")
-    some = some.select("file", F.concat(units(True, F.col("near"), windows("open")), units(False, F.col("every"), windows("every"))).alias("units"))
+    anchor = rf"(?<![a-z0-9])(?:{'|'.join(sorted(marks))})(?![a-z0-9])" if marks else "(?!)"
+    some = texts.where(F.lower("text").rlike(anchor)).select("file", once(opened(F.col("text")), parts).alias("p")).select("file", "p.*")
+    some = materialised(some, "texts-with-anchors")
+    some = some.select("file", F.concat(units(True, F.col("near"), windows("comment"), windows("first", WINDOWS[-1:])), units(False, F.col("every"), windows("every"))).alias("units"))
     some = some.select("file", F.posexplode("units").alias("at", "unit")).join(places, "file").where(F.col("unit.head") | F.col("whole"))
     some = some.select("file", "at", F.explode("unit.terms").alias("term")).groupBy("file", "at", "term").agg(F.count("*").alias("tf"))
     some = some.join(F.broadcast(spread), "term", "left")
@@ -164,7 +185,8 @@ def statements(lines: DataFrame, places: DataFrame, files: int) -> DataFrame:
     length = some.groupBy("file", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = some.join(F.broadcast(index), "term").groupBy("file", "at", "form", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     scored = dots.join(length, ["file", "at"]).select("file", "licence", F.round(F.col("dot") / F.col("length"), 6).alias("score")).where(F.col("score") >= LIKE)
-    named = lines.select("file", F.explode(F.filter("lines", lambda x: x["spdx"] != "")).alias("x")).join(places, "file").where(F.col("x.near") | F.col("x.open") | F.col("whole"))
+    named = texts.where(F.col("text").rlike(SPDX)).select("file", F.explode(F.filter(opened(F.col("text")), lambda x: x["spdx"] != "")).alias("x"))
+    named = named.join(places, "file").where(F.col("x.near") | F.col("x.open") | F.col("whole"))
     scored = scored.unionByName(named.select("file", F.regexp_replace("x.spdx", SPDX_VERSIONS, "").alias("licence"), F.lit(1.0).alias("score")))
     # 'All rights reserved.' also stands above licences, so it counts where no other is stated
     best = F.min(F.struct((F.col("licence") == "Proprietary").alias("bare"), (-F.col("score")).alias("less"), "licence")).alias("best")
@@ -216,8 +238,8 @@ def file_licences(files: DataFrame, paths: DataFrame | None = None, id: str = "p
     named = named.withColumn("whole", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))).withColumn("directory", directory(F.col("path")))
     named = materialised(named, "paths")
     places = named.select("file", "whole").distinct()
-    lines = opened(rows.where("text is not null").select("file", "text"))
-    own = materialised(named.join(statements(lines, places, places.count()), "file", "left"), "own-licences")
+    texts = rows.where("text is not null").select("file", "text")
+    own = materialised(named.join(statements(texts, places, places.count()), "file", "left"), "own-licences")
     best = F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best")
     given = own.where("licence is not null and whole").groupBy("directory").agg(best)
     given = lookup(given.select(F.col("directory").alias("above"), F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("score")), "licence-files")
