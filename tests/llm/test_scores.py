@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -157,6 +158,81 @@ def test_one_trusted_pattern_suffices(spark):
     assert [new[0][1][s.start : s.end] for s in got[100].spans] == ["chief#7@intranet"] and not got[101].spans and not got[50].spans
 
 
+def test_half_of_unseen_identifiers_among_noise(spark):
+    """Seeds and unseen identifiers in three contexts, with words of every kind around them and other numbers elsewhere."""
+    asks = ["write to {}", "my handle is {}", "ask for {} at the desk"]
+    rows, hidden = [], {}
+    for k in range(400):
+        near = asks[k % 3].format(f"user{k}@mail{k}.example.org" if k % 4 else f"nick#{k}@inside")
+        rows.append((k, f"{prose(8)} {near} {prose(8)} {k} {prose(2)} room {k % 50}"))
+        if not k % 4:
+            hidden[k] = f"nick#{k}@inside"
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {k: [rows[k][1][s.start : s.end] for s in got[k] if s.context] for k in range(400)}
+    assert sum(v in found[k] for k, v in hidden.items()) >= len(hidden) / 2
+    assert sum(len(v) for v in found.values()) <= 1.05 * sum(v in found[k] for k, v in hidden.items())
+
+
+def slow_trust(words, rounds, support, trust):
+    """The pattern graph by dictionaries: (value, patterns, kind or None) of each word -> value -> kind."""
+    seeds = {}
+    for v, _, kind in words:
+        if kind is not None:
+            seeds[v] = max(seeds.get(v, kind), kind)
+    kinds = sorted({k for k in seeds.values()})
+    of, seen = {}, {}
+    for v, patterns, kind in words:
+        for p in patterns:
+            of.setdefault(p, []).append(v)
+            if kind is not None:
+                seen.setdefault((p, v), set()).add(kind)
+    best = {pv: max(ks) for pv, ks in seen.items()}
+    rich = {(p, k) for p in of for k in kinds if sum(1 for (q, v), own in best.items() if q == p and own == k) >= support}
+    now = {(v, k): 1.0 for v, k in seeds.items()}
+    for _ in range(rounds):
+        belief = {(p, k): sum(now.get((v, k), 0.0) for v in of[p]) / (len(of[p]) + 1) for p, k in rich if any((v, k) in now for v in of[p])}
+        fresh = {}
+        for v in {v for v, _, _ in words} - set(seeds):
+            own = [ps for w, ps, _ in words if w == v]
+            for k in kinds:
+                told = [max([belief[p, k] for p in ps if (p, k) in belief], default=None) for ps in own]
+                if any(t is not None for t in told):
+                    fresh[v, k] = sum(t or 0.0 for t in told) / len(own)
+        now = {**{(v, k): 1.0 for v, k in seeds.items()}, **fresh}
+    taken = {}
+    for (v, k), t in sorted(now.items(), key=lambda x: (-x[1], x[0][1])):
+        if v not in seeds and t >= trust:
+            taken.setdefault(v, k)
+    return taken
+
+
+def test_graph_scores_by_brute_force(spark):
+    import random
+
+    draw = random.Random(12)
+    words = []
+    for _ in range(700):
+        v, p = draw.randrange(120), draw.randrange(12)
+        kind = v % 2 if v < 60 else None
+        p = p if v % 5 == 0 else (p % 4 + 4 * (v % 2))  # most values keep to the patterns of their kind
+        words.append((f"v{v}", [f"a{p}", f"b{draw.randrange(9)}"], kind))
+    df = spark.createDataFrame(words, "value string, patterns array<string>, kind int")
+    sizes = set()
+    for trust in (0.3, 0.5, 0.8):
+        want = slow_trust(words, 3, 3, trust)
+        assert {r.value: r.kind for r in pii.scored_values(df, 3, 3, trust).collect()} == want
+        sizes.add(len(want))
+    assert len(sizes) > 1 and max(sizes) > 5
+
+
+def test_many_candidates_in_one_text(spark):
+    """40,000 candidates of one text: places by brute force, time in proportion."""
+    text = " ".join(f"w{k} 10.0.{k % 256}.{k % 100}" for k in range(20_000))
+    began = time.time()
+    check_base(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert time.time() - began < 60
+
+
 def test_digest_columns(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op5(spark, sf).collect():

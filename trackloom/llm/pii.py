@@ -82,11 +82,13 @@ def words_in_context(found: DataFrame, spans: DataFrame) -> DataFrame:
     tokens = placed(found, "token").select("uid", "start", "end", "value", "tail", "after", F.lit(None).cast("int").alias("kind"))
     empty = F.lit(None).cast("string")
     both = tokens.unionByName(spans.select("uid", "start", "end", empty.alias("value"), empty.alias("tail"), empty.alias("after"), "kind"))
-    # along a text, a word meets the spans that start before its end: the last end of those before it, the first start after
-    order = Window.partitionBy("uid").orderBy("start", F.col("value").isNull())
-    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # along a text, a word meets the spans that start before its end: the last end of those before it, the first start after,
+    # which is the last one met on the way back; both are running values, so a text costs what its candidates do
+    order = [F.col("start"), F.col("value").isNull(), F.col("kind")]
+    ahead = Window.partitionBy("uid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("uid").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     own = F.when(F.col("value").isNull(), F.struct("start", "kind"))
-    met = both.withColumn("covered", F.max(F.when(F.col("value").isNull(), F.col("end"))).over(before)).withColumn("next", F.first(own, ignorenulls=True).over(behind))
+    met = both.withColumn("covered", F.max(F.when(F.col("value").isNull(), F.col("end"))).over(ahead)).withColumn("next", F.last(own, ignorenulls=True).over(back))
     met = met.where("value is not null and coalesce(covered, 0) <= start")
     left = F.regexp_extract_all(F.lower("tail"), F.lit(r"[^\x20\x09-\x0D]++"), F.lit(0))
     right = F.regexp_extract(F.lower("after"), r"[^\x20\x09-\x0D]++", 0)
