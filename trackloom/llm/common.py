@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterable
 
@@ -49,7 +52,19 @@ def texts_in_python(rows: DataFrame, run: Callable, schema: StructType | str) ->
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(rows.sparkSession.conf.get(setting)) <= TEXTS:
         rows.sparkSession.conf.set(setting, str(TEXTS))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, after which a task gives back what it no longer uses: Python workers outlive their tasks."""
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import batches, texts_in_python, utf8
 from trackloom.session import materialised
 
-#: Parts of words whose ids a task remembers before it starts anew (some 300 bytes each).
-REMEMBERED = 400_000
+#: Parts of words whose ids a task remembers before it starts anew: some 300 bytes each, 60 MB in all.
+REMEMBERED = 200_000
 #: Texts in which the tokenizer's own parting rules need no more than the parts below: no character changes but by case.
 SIMPLE = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*")
 #: Fixed by the tokenizer file: runs of letters, contractions, single digits, runs of anything else but white space.
@@ -28,13 +28,14 @@ class Ids:
 
     The tokenizer drops white space and merges nothing across its parts, so a text's ids are its parts' ids in a row. Texts
     of simple characters are parted here by the same rule; in others every word with another character is handed over whole.
+    A text that may hold one of the tokenizer's added tokens goes to it as it is and is not remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.encoder.get_added_tokens_decoder().values()]
         vocabulary = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
@@ -62,6 +63,11 @@ class Ids:
             self.known[p] = np.array(e.ids, "<u4").tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
+        whole = [any(a in t.lower() for a in self.added) for t in texts]
+        known = iter(self.of_parts([t for t, own in zip(texts, whole) if not own]))
+        return [np.array(self.encoder.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if own else next(known) for t, own in zip(texts, whole)]
+
+    def of_parts(self, texts: list[str]) -> list[bytes]:
         parted = [self.parts(t) for t in texts]
         missing = set().union(*parted).difference(self.known)
         if len(self.known) + len(missing) > REMEMBERED:
@@ -98,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)] + [pa.array([task] * len(out[0]), pa.int32())],
                                                  names=["doc_id", "piece", "start", "length", "ids", "nth", "task"])
-        ids.known.clear()  # the worker lives on
+        ids.known.clear()
 
     return texts_in_python(rows, run, "doc_id long, piece int, start long, length long, ids binary, nth long, task int")
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import batches, packed, texts_in_python, utf8
+from trackloom.llm.common import batches, packed, texts_in_python, tidy, utf8
 from trackloom.llm.components import components
 from trackloom.session import materialised
 
@@ -184,7 +184,7 @@ def near_links(nodes: DataFrame, limit: int, keys: list[list[int]], lanes: int =
             yield linked(rest)
 
     ordered = rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "first")
-    return ordered.mapInArrow(compare, "a long, b long").distinct()
+    return ordered.mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 def linked_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, limit: int = 3, blocks: int = 5) -> DataFrame:
