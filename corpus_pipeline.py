@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import ENTRIES, register, table
+from trackloom.llm.common import ENTRIES, SPACE, register, table
 from trackloom.llm.linededup import without_spread_lines
 from trackloom.llm.mixing import mixed_documents
 from trackloom.llm.packing import pack, token_pieces
@@ -19,9 +19,8 @@ from trackloom.llm.simhash import one_of_each_group
 from trackloom.llm.toxicity import with_toxicity
 from trackloom.session import fresh_path, remove, scope
 
-#: A document goes as toxic from this score; and as a mere copy if no larger share of its characters is left than this
-#: once lines that stand in another document are removed.
-TOXIC, LEFT = 0.7, 0.25
+#: A document goes as toxic from this score.
+TOXIC = 0.7
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +31,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeats of lines found on many sites; the first document with a line keeps it.
 
-    ``n_chars`` follows the text. A document that loses nearly all of its text this way is a copy, whole or cut short, of
-    others that stay, and goes; one that loses nothing stays, even if it is empty.
+    ``n_chars`` follows the text. A document of which no line with a word is left goes: each of its lines stands in a document
+    that stays. One that loses nothing stays, even if it is empty.
     """
     done = without_spread_lines(docs)
-    left = F.char_length("text") >= LEFT * F.char_length("row.text")
-    done = done.where((F.col("n_removed") == 0) | left)
+    done = done.where((F.col("n_removed") == 0) | F.col("text").rlike(f"[^{SPACE[1:]}"))
     row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         size = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("row.n_chars"))
