@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -32,6 +33,7 @@ class Ids:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
@@ -50,17 +52,19 @@ class Ids:
         return out
 
     def learn(self, parts: set[str]) -> None:
+        """Some parts at a time: the tokenizer's answers are many times as large as the ids."""
         simple = [p for p in parts if PARTS.fullmatch(p) and SIMPLE.fullmatch(p)]  # one token with an end each
-        some = [simple[k : k + 500] for k in range(0, len(simple), 500)]
-        for own, e in zip(some, self.encoder.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
+        for k in range(0, len(simple), 500):
+            own = simple[k : k + 500]
+            ids = np.array(self.encoder.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             raw = ids.tobytes()
             if len(cuts) == len(own) + 1:
                 self.known.update((p, raw[a:b]) for p, a, b in zip(own, cuts, cuts[1:]))
         rest = [p for p in parts if p not in self.known]
-        for p, e in zip(rest, self.encoder.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+        for k in range(0, len(rest), 500):
+            own = rest[k : k + 500]
+            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(own, self.encoder.encode_batch_fast(own, add_special_tokens=False)))
 
     def of(self, texts: list[str]) -> list[bytes]:
         whole = [any(a in t.lower() for a in self.added) for t in texts]
@@ -90,7 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, task, seen = Ids(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for big in it:
-            for b in batches(big, 256):
+            for b in batches(big, 128):
                 out: list[list] = [[], [], [], [], [], []]
                 found = ids.of([t.decode() for t in utf8(b.column("text"))])
                 for doc_id, all_ids in zip(b.column("doc_id").to_pylist(), found):
