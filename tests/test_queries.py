@@ -39,9 +39,11 @@ def test_a_job_leaves_its_folder_empty(spark, sf):
 IN_PYTHON = {"align_to_reference", "triangulate", "triangulate_bent", "triangulate_pairs", "triangulation_error",
              "triangulate_valid", "reproject_confident", "confident_view_errors", "leave_one_view_out", "leave_one_view_out_error", "pose_from_views",
              "nan_latent_transform", "fa_transform", "mahalanobis", "singular_spectrum", "spectrum_total", "pca_denoise",
-             "smooth_static", "smooth_single_view", "smooth_multi_view", "frames_to_label_smoothed", "read_cameras", "head_saccades"}
+             "smooth_static", "smooth_single_view", "smooth_multi_view", "frames_to_label_smoothed", "read_cameras", "head_saccades",
+             "smoothing_likelihood", "smoothing_choice", "smooth_tuned_single_view", "smooth_tuned_multi_view", "inflated_variances"}
 WRITES = {"kmeans_select", "kmeans_per_session", "kmeans_session_counts", "pose_hierarchy", "embed_2d", "pseudo_labels", "pose_clusters", "read_markers",
-          "ingest_new_predictions", "read_predictions", "read_labels", "read_boxes", "read_cameras", "read_timings", "read_pixel_errors"}
+          "ingest_new_predictions", "read_predictions", "read_labels", "read_boxes", "read_cameras", "read_timings", "read_pixel_errors",
+          "factor_fit", "ward_merges", "ward_total", "ward_clusters"}
 
 
 @pytest.mark.parametrize("name", [n for n in ALL if n not in WRITES])

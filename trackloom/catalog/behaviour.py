@@ -179,7 +179,7 @@ def saccade_consensus(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("consensus_share", "W8", with_tables("fx_angle", CONSENSUS + """, f AS (SELECT model, EXISTS (SELECT 1 FROM co
  WHERE co.session = ev.session AND abs(co.onset - ev.onset) <= 3) AS i FROM ev)
-SELECT m.model, count(f.i) AS total, count_if(f.i)::BIGINT AS in_consensus, (count(f.i) - count_if(f.i))::BIGINT AS "unique",
+SELECT m.model, count(f.i) AS total, coalesce(count_if(f.i), 0)::BIGINT AS in_consensus, (count(f.i) - coalesce(count_if(f.i), 0))::BIGINT AS "unique",
  round(coalesce(100 * count_if(f.i) / nullif(count(f.i), 0), 0), 6) AS agreement_pct
 FROM (SELECT DISTINCT model FROM fx_angle UNION SELECT 'still') m LEFT JOIN f ON f.model = m.model GROUP BY 1"""))
 def consensus_share(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ from trackloom.catalog.fixtures import FEATURES, with_tables
 from trackloom.catalog.registry import register
 from trackloom.catalog.scoring import r
 from trackloom.operators import cluster as C
+from trackloom.operators import hierarchy as H
 from trackloom.operators import latent as M
 
 LONG = "lo AS (" + " UNION ALL ".join(f"SELECT cluster, '{f}' AS feature, {f} AS value FROM fx_feature" for f in FEATURES) + ")"
@@ -118,3 +119,37 @@ def pose_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
 def embed_2d(spark: SparkSession, sf: str) -> DataFrame:
     """Two-dimensional view of the features."""
     return r(C.embed_2d(X.features(spark, sf), FEATURES).select("frame", "cluster", "e1", "e2"), "e1", "e2")
+
+
+PLACES = [f"{k}_{a}" for k in X.KEYPOINTS for a in "XYZ"]
+POSES = "po AS (SELECT session, frame, " + ", ".join(f"max(CASE WHEN keypoint = '{k}' THEN {a} END) AS {k}_{a}" for k in X.KEYPOINTS for a in "XYZ") + (
+    " FROM fx_world GROUP BY 1, 2)")
+
+
+def poses(spark: SparkSession, sf: str) -> DataFrame:
+    return M.pose_vectors(X.world(spark, sf), X.KEYPOINTS, ["session", "frame"])
+
+
+@register("ward_merges", "M23")
+def ward_merges(spark: SparkSession, sf: str) -> DataFrame:
+    """Ward's merges of all poses, from the lowest."""
+    return H.ward(poses(spark, sf), "v", 9).table(spark)
+
+
+@register("ward_total", "M23", with_tables("fx_world", POSES + f""" SELECT (SELECT count(*) FROM (SELECT DISTINCT {", ".join(PLACES)} FROM po))::BIGINT - 1 AS merges,
+ count(*) AS rows, true AS rising, round({" + ".join(f"var_pop({p})" for p in PLACES)}, 6) AS spread FROM po"""))
+def ward_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Heights rise, the last merge holds all rows, and half the squared heights add up to the squared error of all rows."""
+    from pyspark.sql import Window
+
+    rows = ward_merges(spark, sf).withColumn("below", F.lag("height").over(Window.partitionBy(F.lit(0)).orderBy("step")))
+    out = rows.agg(F.count(F.lit(1)).alias("merges"), F.max("n").alias("rows"), F.bool_and(F.coalesce(F.col("height") >= F.col("below") - 1e-9, F.lit(True))).alias("rising"),
+                   (F.sum(F.col("height") * F.col("height")) / 2).alias("error"))
+    return r(out.select("merges", "rows", "rising", (F.col("error") / F.col("rows")).alias("spread")), "spread")
+
+
+@register("ward_clusters", "M23 M24", None)
+def ward_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and spread of the clusters where the tree is cut into eight."""
+    found = H.ward_clusters(poses(spark, sf), "v", 9, 8)
+    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.get("v", i)), 6).alias(p) for i, p in enumerate(PLACES)])

@@ -169,3 +169,108 @@ def smooth_multi_view(spark: SparkSession, sf: str) -> DataFrame:
     out = S.smooth_multi_view(e, model, X.VIEWS, 100.0)
     return digest(out, ["session", "view", "keypoint"], ["x", "y", "x_posterior_var", "y_posterior_var", "x_ens_median", "y_ens_median",
                                                          "x_ens_var", "y_ens_var", "likelihood"], 3)
+
+
+CANDIDATES = (0.25, 4.0, 64.0)
+#: A filter that goes through each track frame by frame, x and y by themselves: state and observation share a struct.
+FILTER = """en AS (SELECT session, view, frame, keypoint, avg(x) AS x, avg(y) AS y, greatest(var_pop(x) / avg(likelihood), 1e-6) AS vx,
+ greatest(var_pop(y) / avg(likelihood), 1e-6) AS vy FROM fx_holes GROUP BY 1, 2, 3, 4),
+ax AS (SELECT session, view, keypoint, frame, 'x' AS axis, x AS v, vx AS r FROM en UNION ALL SELECT session, view, keypoint, frame, 'y', y, vy FROM en),
+tr AS (SELECT session, view, keypoint, axis, list({'v': v, 'r': r, 'm': 0.0::DOUBLE, 'p': 1e12::DOUBLE, 'l': 0.0::DOUBLE} ORDER BY frame) AS o
+ FROM ax GROUP BY 1, 2, 3, 4),
+sc AS (SELECT session, view, keypoint, q AS process_variance, len(o) AS n,
+ list_reduce(list_prepend({'v': 0.0::DOUBLE, 'r': 0.0::DOUBLE, 'm': 0.0::DOUBLE, 'p': 1e12::DOUBLE, 'l': 0.0::DOUBLE}, o), lambda s, t:
+  CASE WHEN t.v IS NULL OR t.r IS NULL THEN {'v': t.v, 'r': t.r, 'm': s.m, 'p': s.p + q, 'l': s.l}
+  ELSE {'v': t.v, 'r': t.r, 'm': s.m + (s.p + q) / (s.p + q + t.r) * (t.v - s.m), 'p': (s.p + q) * t.r / (s.p + q + t.r),
+   'l': s.l - (ln(2 * pi() * (s.p + q + t.r)) + (t.v - s.m) * (t.v - s.m) / (s.p + q + t.r)) / 2} END).l AS l
+ FROM tr, (VALUES """ + ", ".join(f"({c}::DOUBLE)" for c in CANDIDATES) + """) c(q)),
+ll AS (SELECT session, view, keypoint, process_variance, n::BIGINT AS n, sum(l) AS log_likelihood FROM sc GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@register("smoothing_likelihood", "M21", with_tables("fx_holes", FILTER + """ SELECT session, view, keypoint, process_variance,
+ round(log_likelihood, 3) AS log_likelihood, n FROM ll"""))
+def smoothing_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    """How likely each track is under each process variance, all candidates in one pass."""
+    keys = ["session", "view", "keypoint"]
+    out = S.track_likelihood(S.single_view_information(ensembles(spark, sf), keys), keys, 2, CANDIDATES)
+    return out.withColumn("log_likelihood", F.round("log_likelihood", 3))
+
+
+@register("smoothing_choice", "M21", with_tables("fx_holes", FILTER + """, su AS (SELECT keypoint, process_variance, sum(log_likelihood) AS s FROM ll GROUP BY 1, 2)
+ SELECT keypoint, arg_max(process_variance, round(s, 6)) AS process_variance, round(max(s), 2) AS log_likelihood FROM su GROUP BY 1"""))
+def smoothing_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The most likely process variance of each keypoint over all its tracks."""
+    keys = ["session", "view", "keypoint"]
+    out = S.track_likelihood(S.single_view_information(ensembles(spark, sf), keys), keys, 2, CANDIDATES)
+    return S.best_variance(out, ["keypoint"]).withColumn("log_likelihood", F.round("log_likelihood", 2))
+
+
+@register("smooth_tuned_single_view", "M21")
+def smooth_tuned_single_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks smoothed with the process variance most likely for their keypoint."""
+    out = S.smooth_single_view(S.tuned(ensembles(spark, sf)), "process_variance")
+    return digest(out, ["session", "view", "keypoint"], ["x", "y", "x_posterior_var", "y_posterior_var"], 3)
+
+
+@register("smooth_tuned_multi_view", "M22")
+def smooth_tuned_multi_view(spark: SparkSession, sf: str) -> DataFrame:
+    e = ensembles(spark, sf)
+    model = M.fit_pca(M.view_vectors(e, X.VIEWS, ["session", "frame", "keypoint"]), "v", 8, 3, missing=True)
+    out = S.smooth_multi_view(S.tuned_multi_view(e, model, X.VIEWS), model, X.VIEWS, "process_variance")
+    return digest(out, ["session", "view", "keypoint"], ["x", "y", "x_posterior_var", "y_posterior_var"], 3)
+
+
+LIMIT = 40.0
+
+
+def _inflation_sql() -> str:
+    """Frames solved again and again: of the view farthest off, the first of equals, both variances are doubled."""
+    views = range(4)
+    one = lambda k, c, t: f"max(CASE WHEN view = 'v{k}' THEN {c} END) AS {t}{k}"
+    start = ", ".join(f"{one(k, 'x - 320', 'x')}, {one(k, 'y - 240', 'y')}, {one(k, 'vx', 'a')}, {one(k, 'vy', 'b')}" for k in views)
+    info = " + ".join(f"power({WX[k]}::DOUBLE, 2) / (a{k} + 1e-6) + power({WY[k]}::DOUBLE, 2) / (b{k} + 1e-6)" for k in views)
+    told = " + ".join(f"{WX[k]}::DOUBLE * x{k} / (a{k} + 1e-6) + {WY[k]}::DOUBLE * y{k} / (b{k} + 1e-6)" for k in views)
+    solved = f"SELECT *, 1 / ({info}) AS b, ({told}) / ({info}) AS z"
+
+    def far(k: int) -> str:
+        p, q = f"{WX[k]}::DOUBLE", f"{WY[k]}::DOUBLE"
+        dx, dy, sa, sb, xy = f"(x{k} - z * {p})", f"(y{k} - z * {q})", f"({p} * {p} * b + a{k} + 1e-6)", f"({q} * {q} * b + b{k} + 1e-6)", f"({p} * {q} * b)"
+        return f"sqrt(greatest(({sb} * {dx} * {dx} - 2 * {xy} * {dx} * {dy} + {sa} * {dy} * {dy}) / ({sa} * {sb} - {xy} * {xy}), 0))"
+
+    dist = ", ".join(f"{far(k)} AS d{k}" for k in views)
+    top = "greatest(d0, d1, d2, d3)"
+    worst = f"CASE {top} WHEN d0 THEN 0 WHEN d1 THEN 1 WHEN d2 THEN 2 ELSE 3 END"
+    grown = ", ".join(f"x{k}, y{k}, CASE WHEN worst = {k} THEN 2 * a{k} ELSE a{k} END, CASE WHEN worst = {k} THEN 2 * b{k} ELSE b{k} END" for k in views)
+    grown += "".join(f", CASE WHEN worst = {k} THEN t{k} + 1 ELSE t{k} END" for k in views)
+    return f"""en AS (SELECT session, view, frame, keypoint, avg(x) AS x, avg(y) AS y, var_pop(x) / avg(likelihood) AS vx, var_pop(y) / avg(likelihood) AS vy
+ FROM fx_holes GROUP BY 1, 2, 3, 4),
+st AS (SELECT session, frame, keypoint, {start}, {", ".join(f"0 AS t{k}" for k in views)} FROM en GROUP BY 1, 2, 3 HAVING count(x) = 4),
+rc AS (WITH RECURSIVE go AS (SELECT * FROM st UNION ALL
+ SELECT session, frame, keypoint, {grown} FROM (SELECT *, {worst} AS worst FROM (SELECT *, {dist} FROM ({solved} FROM go)) WHERE {top} > {LIMIT}))
+ SELECT * FROM go),
+la AS (SELECT * FROM rc QUALIFY row_number() OVER (PARTITION BY session, frame, keypoint ORDER BY t0 + t1 + t2 + t3 DESC) = 1)"""
+
+
+@register("inflated_variances", "M22 M11", with_tables("fx_holes", _inflation_sql() + """ SELECT session, keypoint, count(*) AS n,
+ count(*) FILTER (t0 + t1 + t2 + t3 > 0) AS inflated, sum(t0)::BIGINT AS t0, sum(t1)::BIGINT AS t1, sum(t2)::BIGINT AS t2, sum(t3)::BIGINT AS t3,
+ round(sum(ln(a0 * b3)), 4) AS logs FROM la GROUP BY 1, 2"""))
+def inflated_variances(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each view's variance was doubled until no view contradicted the others, over the frames that all views have."""
+    whole = weighed(spark, sf).where(M.complete("v") & M.complete("var"))
+    out = M.inflate_variances(whole, "v", "var", ONE, LIMIT)
+    sums = [F.sum(F.get("times", k)).cast("long").alias(f"t{k}") for k in range(4)]
+    return out.groupBy("session", "keypoint").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.exists("times", lambda t: t > 0)).alias("inflated"), *sums,
+        F.round(F.sum(F.log(F.get("var", 0) * F.get("var", 7))), 4).alias("logs"))
+
+
+@register("factor_fit", "M10", with_tables("fx_holes", """w AS (SELECT seed, session, frame, keypoint, count(x) AS n FROM fx_holes GROUP BY 1, 2, 3, 4)
+SELECT 8::BIGINT AS entries, 3::BIGINT AS factors, true AS rising, true AS beats_start, count(*) FILTER (n > 0) AS rows FROM w"""))
+def factor_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """A factor model of the views fitted with missing entries: the likelihood never falls."""
+    vec = vectors(spark, sf)
+    model, history = M.fit_factors(vec, "v", 8, 3, rounds=15)
+    rising = all(b >= a - 1e-9 * abs(a) for a, b in zip(history, history[1:]))
+    return vec.where(F.exists("v", lambda x: x.isNotNull())).agg(
+        F.lit(len(model.mean)).cast("long").alias("entries"), F.lit(len(model.components)).cast("long").alias("factors"),
+        F.lit(rising).alias("rising"), F.lit(history[-1] > history[0]).alias("beats_start"), F.count(F.lit(1)).alias("rows"))

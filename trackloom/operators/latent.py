@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from trackloom.operators.select import worst_frames
 from trackloom.operators.tracks import cumulative_share
+from trackloom.session import materialised
 
 EPS = 1e-6  # fixed value: added to every variance before it is inverted
 
@@ -284,6 +285,144 @@ def mahalanobis(df: DataFrame, column: str, variance: str, model: LatentModel, v
                        "x_posterior_var", "y_posterior_var")
 
 
+def inflate_variances(df: DataFrame, column: str, variance: str, model: LatentModel, limit: float = 5.0, factor: float = 2.0,
+                      rounds: int = 64) -> DataFrame:
+    """``df`` with ``variance`` enlarged where a view contradicts the others, and ``times`` (per view: how often).
+
+    As long as a view lies more than ``limit`` from its reconstruction (``mahalanobis``), the variance of the view that is
+    farthest off, of equals the first, is multiplied by ``factor`` and the frame is solved again. Entries that are missing
+    say nothing and their views are left alone; a frame whose views cannot fix the latent position stays as it is. A view's
+    weight falls by half each time, so a frame settles; after ``rounds`` it is left with what it has. Each frame is by itself:
+    tasks go on with those that have not settled.
+    """
+    w, mu = model.loading, model.mu
+    d, views = len(mu), len(mu) // 2
+
+    def distances(x: np.ndarray, v: np.ndarray, there: np.ndarray) -> np.ndarray:
+        inv = there / (v + EPS)
+        info = np.einsum("nd,dk,dl->nkl", inv, w, w)
+        fixed = np.linalg.eigvalsh(info)[:, 0] > 1e-12
+        info[~fixed] = np.eye(w.shape[1])
+        b = np.linalg.inv(info)
+        off = x - np.einsum("nkl,nl->nk", b, (x * inv) @ w) @ w.T
+        out = np.zeros((len(x), views))
+        for i in range(views):
+            own = w[2 * i : 2 * i + 2]
+            cov = np.einsum("dk,nkl,el->nde", own, b, own) + np.einsum("nd,de->nde", v[:, 2 * i : 2 * i + 2] + EPS, np.eye(2))
+            out[:, i] = np.sqrt(np.einsum("nd,nde,ne->n", off[:, 2 * i : 2 * i + 2], np.linalg.inv(cov), off[:, 2 * i : 2 * i + 2]).clip(0))
+        seen = there.reshape(-1, views, 2).all(axis=2)
+        return np.where(seen & fixed[:, None], out, 0.0)
+
+    def make(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        x, v = flat_matrix(pdf, column, d) - mu, flat_matrix(pdf, variance, d)
+        there = np.isfinite(x) & np.isfinite(v)
+        x, grown = np.where(there, x, 0.0), np.where(there, v, 1.0)
+        times = np.zeros((len(x), views))
+        left = np.arange(len(x))
+        for _ in range(rounds):
+            off = distances(x[left], grown[left], there[left].astype(float))
+            bad = off.max(axis=1, initial=0.0) > limit
+            left, worst = left[bad], off[bad].argmax(axis=1)
+            if not len(left):
+                break
+            for axis in (0, 1):
+                grown[left, 2 * worst + axis] *= factor
+            times[left, worst] += 1
+        return {"_g": np.hstack([times, there, np.where(there, grown, 0.0)])}
+
+    done = _apply(df, {column: d, variance: d}, {"_g": views + 2 * d}, make)
+    grown = F.array(*[F.when(F.get("_g", views + i) > 0, F.get("_g", views + d + i)).otherwise(F.get(variance, i)) for i in range(d)])
+    return done.withColumn(variance, grown).withColumn("times", F.slice("_g", 1, views).cast("array<int>")).drop("_g")
+
+
+def fit_factors(df: DataFrame, column: str, size: int, n: int, rounds: int = 50, moved: float = 1e-7) -> tuple[LatentModel, list[float]]:
+    """A factor model of an array column, and the log-likelihood before each round.
+
+    Entries are mean + loading x latent + noise of their own variance (``LatentModel.variance``); missing entries are left
+    out of the likelihood, so rows count with what they have. Expectation-maximisation from principal components; the
+    likelihood never falls, and rounds end when it rises by less than ``moved`` of itself.
+
+    Rows are reduced once to sums for each pattern of missing entries, map-side, and written. A round is one pass over the
+    patterns; size x (n + 1)^2 numbers of it reach the driver. Rows without any entry are left out.
+    """
+    rows = df.where(F.exists(column, lambda x: x.isNotNull()))
+    start = fit_pca(rows, column, size, size, missing=True)
+    mu0 = start.mu
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[bytes, list[np.ndarray]] = {}
+        for pdf in batches:
+            x = flat_matrix(pdf, column, size) - mu0
+            there = np.isfinite(x)
+            for key in np.unique(there, axis=0):
+                own = np.where(key, x, 0.0)[(there == key).all(axis=1)]
+                more = [np.array([len(own)], float), own.sum(axis=0), (own.T @ own).ravel()]
+                sums[key.tobytes()] = [a + b for a, b in zip(sums[key.tobytes()], more)] if key.tobytes() in sums else more
+            if len(sums) >= 1024:  # so many patterns are added up by the shuffle
+                yield pd.DataFrame([(k.hex(), *np.concatenate(v)) for k, v in sums.items()], columns=names)
+                sums = {}
+        if sums:
+            yield pd.DataFrame([(k.hex(), *np.concatenate(v)) for k, v in sums.items()], columns=names)
+
+    numbers = [f"_{i}" for i in range(1 + size + size * size)]
+    names = ["pattern", *numbers]
+    parts = rows.select(*flat_columns(column, size)).mapInPandas(reduce, ", ".join(["pattern string", *[f"{c} double" for c in numbers]]))
+    stats = materialised(parts.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in numbers]), "missing-patterns")
+
+    values = np.asarray(start.variance)
+    w = start.loading[:, :n] * np.sqrt(np.maximum(values[:n] - values[n:].mean() if n < size else values[:n], 1e-9))
+    mu, psi = np.zeros(size), np.maximum((start.loading**2 @ values) - (w * w).sum(axis=1), 1e-3 * values.sum() / size + 1e-12)
+    width = (n + 1) ** 2
+    made = [f"o{i}" for i in range(size * (width + n + 1) + 2 * size + 1)]
+
+    def round_of(w: np.ndarray, mu: np.ndarray, psi: np.ndarray) -> np.ndarray:
+        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(made))
+            for pdf in batches:
+                flat = pdf[numbers].to_numpy(dtype=float)
+                for key, one in zip(pdf["pattern"], flat):
+                    o = np.flatnonzero(np.frombuffer(bytes.fromhex(key), bool))
+                    count, s = one[0], one[1 : 1 + size][o]
+                    scatter = one[1 + size :].reshape(size, size)[np.ix_(o, o)]
+                    wo, m, p = w[o], mu[o], psi[o]
+                    inner = np.linalg.inv(np.eye(n) + (wo / p[:, None]).T @ wo)
+                    beta = inner @ (wo / p[:, None]).T
+                    centred = scatter - np.outer(s, m) - np.outer(m, s) + count * np.outer(m, m)
+                    z = beta @ (s - count * m)
+                    zz = count * inner + beta @ centred @ beta.T
+                    both = np.block([[zz, z[:, None]], [z[None], np.full((1, 1), count)]])
+                    cross = np.vstack([beta @ (scatter - np.outer(m, s)), s])
+                    sigma = wo @ wo.T + np.diag(p)
+                    told = -(count * (len(o) * np.log(2 * np.pi) + np.linalg.slogdet(sigma)[1]) + np.trace(np.linalg.solve(sigma, centred))) / 2
+                    for place, entry in enumerate(o):
+                        total[entry * width : (entry + 1) * width] += both.ravel()
+                        total[size * width + entry * (n + 1) : size * width + (entry + 1) * (n + 1)] += cross[:, place]
+                        total[size * (width + n + 1) + entry] += scatter[place, place]
+                        total[size * (width + n + 2) + entry] += count
+                    total[-1] += told
+            yield pd.DataFrame([total], columns=made)
+
+        sums = stats.mapInPandas(expect, ", ".join(f"{c} double" for c in made)).agg(*[F.sum(c).alias(c) for c in made]).first()
+        return np.array([v or 0.0 for v in sums])
+
+    history: list[float] = []
+    for _ in range(rounds):
+        total = round_of(w, mu, psi)
+        history.append(float(total[-1]))
+        if len(history) > 1 and history[-1] - history[-2] < moved * abs(history[-2]):
+            break
+        both = total[: size * width].reshape(size, n + 1, n + 1)
+        cross = total[size * width : size * (width + n + 1)].reshape(size, n + 1)
+        square, count = total[size * (width + n + 1) : -1].reshape(2, size)
+        ok = count > 0
+        both[~ok] = np.eye(n + 1)
+        line = np.linalg.solve(both, cross[:, :, None])[:, :, 0]
+        w, mu = line[:, :n], line[:, n]
+        psi = np.where(ok, np.maximum((square - (line * cross).sum(axis=1)) / np.maximum(count, 1), 1e-12), 1.0)
+    components = w.T
+    return LatentModel(tuple(map(tuple, components.tolist())), tuple((mu + mu0).tolist()), tuple(psi.tolist())), history
+
+
 def frame_vaf(df: DataFrame, column: str, model: LatentModel, ranks: Sequence[int] = (3, 4, 5)) -> DataFrame:
     """Add vaf_<k>: share of a pose's squared distance from the mean kept by the first k components.
 
