@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import batches, texts_in_python, utf8
 from trackloom.session import materialised
 
-#: Parts of words whose ids a task remembers before it starts anew: some 300 bytes each, 60 MB in all.
-REMEMBERED = 200_000
+#: Parts of words whose ids a task remembers before it starts anew: some 300 bytes each, 120 MB in all.
+REMEMBERED = 400_000
 #: Texts in which the tokenizer's own parting rules need no more than the parts below: no character changes but by case.
 SIMPLE = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*")
 #: Fixed by the tokenizer file: runs of letters, contractions, single digits, runs of anything else but white space.
@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, task, seen = Ids(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for big in it:
-            for b in batches(big, 128):
+            for b in batches(big, 256):
                 out: list[list] = [[], [], [], [], [], []]
                 found = ids.of([t.decode() for t in utf8(b.column("text"))])
                 for doc_id, all_ids in zip(b.column("doc_id").to_pylist(), found):
