@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.llm import pii, quality, queries, toxicity
-from trackloom.llm.common import fold, logistic_fit
+from trackloom.llm.common import fold, labelled_sample, logistic_fit
 
 # Held-out accuracy on the tables
 
@@ -239,3 +239,15 @@ def test_digest_columns(spark, sf):
         base = slow_base(docs[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(r.spans.split(",")) | {""}
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in base) for k in PATTERNS]
+
+
+def test_an_id_with_many_rows_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, "kept " * 30_000)] * 50 + [(k, f"text {k} " * 5) for k in range(2, 30)] + [(40, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(1, 41)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, lambda i: i > 0, {1: 10, 0: 100}, "doc_id", "text", "toxic")
+    assert len(got) == len(set(got)) and sum(y for _, y in got) <= 10 and (b"", 0) in got
+    whole = labelled_sample(docs, labels, lambda i: i == 1, {1: 10}, "doc_id", "text", "toxic")
+    assert whole == [(b"kept " * 30_000, 1)]
+    quality_labels = labels.withColumnRenamed("toxic", "quality")
+    models = [quality.fit_quality(d, quality_labels, lambda i: i > 0, web=20) for d in (docs, docs.unionByName(docs))]
+    assert (models[0].weights == models[1].weights).all()

@@ -21,8 +21,6 @@ SPACE = r"[\x20\x09-\x0D]"
 
 #: Texts of an Arrow batch.
 TEXTS = 1000
-#: Characters of a text that a classifier learns from at most.
-SAMPLE_CHARS = 100_000
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -84,10 +82,15 @@ def fold(key: bytes, parts: int) -> int:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], wanted: dict[int, int], id: str,
                     text: str, label: str) -> list[tuple[bytes, int]]:
-    """At most ``wanted[value]`` (text, label) of each label value, from rows whose id passes ``learn``, by a hash of the id.
+    """At most ``wanted[value]`` (text, label) of each label value, on the driver; the bound on them is that of ``wanted``."""
+    rows = sampled_texts(docs, labelled_ids(labels, learn, wanted, id, label), id, text).select("text", "y").toArrow()
+    return list(zip(utf8(rows.column("text").combine_chunks()), rows.column("y").to_pylist()))
+
 
-    The ids are chosen from the labels alone; only the chosen texts come to the driver, so the bound on them is that of
-    ``wanted``. Texts above ``SAMPLE_CHARS`` characters are not learnt from. Ids that are labelled twice count once per label.
+def labelled_ids(labels: DataFrame, learn: Callable[[Column], Column], wanted: dict[int, int], id: str, label: str) -> DataFrame:
+    """``of``, ``y``: at most ``wanted[value]`` ids of each label value that pass ``learn``, by a hash of the id.
+
+    They are chosen from the labels alone. Ids that are labelled twice count once per label.
     """
     own = labels.select(F.col(f"`{id}`").alias("of"), F.col(f"`{label}`").cast("int").alias("y")).where(learn(F.col("of"))).distinct()
     order = F.xxhash64("of")
@@ -95,9 +98,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Callable[[Column]
     for value, most in wanted.items():
         some = own.where(F.col("y") == value).orderBy(order, "of").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
-    texts = docs.select(F.col(f"`{id}`").alias("of"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = texts.join(chosen, "of").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("text", "y").toArrow()
-    return list(zip(utf8(rows.column("text").combine_chunks()), rows.column("y").to_pylist()))
+    return chosen
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame, id: str, text: str) -> DataFrame:
+    """The columns of ``chosen`` (``of`` and others) and ``text``: one row for each row of ``chosen`` that has a document.
+
+    Of documents with the same id, that with the smallest hash of its text is taken, so their number does not matter.
+    """
+    texts = docs.select(F.col(f"`{id}`").alias("of"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return texts.join(chosen, "of").groupBy(*chosen.columns).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: int = 50) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import SAMPLE_CHARS, batches, labelled_sample, logistic_fit, packed, texts_in_python, utf8
+from trackloom.llm.common import batches, labelled_ids, logistic_fit, packed, sampled_texts, texts_in_python, utf8
 
 #: Buckets of the three-character shapes, and single measures beside them.
 SHAPES, MEASURES = 512, 11
@@ -101,10 +102,18 @@ def nonnegative_fit(good: np.ndarray, web: np.ndarray, prior: float, rounds: int
 
 
 def fit(good: Sequence[bytes], web: Sequence[bytes]) -> Model:
-    """From trusted good texts and unlabelled ones. Without either every score is a half or above it by the prior's odds."""
-    good, web = sorted(set(good)), sorted(set(web))
-    empty = np.zeros((0, SHAPES + MEASURES), np.float32)
-    g, u = (np.stack([features(t) for t in x]) if x else empty for x in (good, web))
+    """From trusted good texts and unlabelled ones."""
+    return fit_features(*([(digest(t), features(t).tobytes()) for t in x] for x in (good, web)))
+
+
+def digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
+def fit_features(good: Sequence[tuple[bytes, bytes]], web: Sequence[tuple[bytes, bytes]]) -> Model:
+    """From digests and features of trusted good texts and of unlabelled ones; equal texts count once. Without either every
+    score is a half."""
+    g, u = (np.frombuffer(b"".join([x for _, x in sorted(set(rows))]), np.float32).reshape(-1, SHAPES + MEASURES) for rows in (good, web))
     if not len(g) or not len(u):
         return Model(np.zeros(g.shape[1]), np.ones(g.shape[1]), np.zeros(g.shape[1] + 1), 0.5)
     middle, spread = u.mean(axis=0), u.std(axis=0) + 0.01
@@ -117,13 +126,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, good: int = 3000, web
                 label: str = "quality") -> Model:
     """A model from at most ``good`` texts labelled 1 whose id passes ``learn``, and ``web`` texts without regard to labels.
 
-    Both are chosen by a hash of the id. Texts above ``SAMPLE_CHARS`` characters are not learnt from, but scored like others.
+    Both are chosen by a hash of the id, whatever their length; an id counts once, however many rows have it. Tasks make the
+    features, so that 2 KB of each chosen text come to the driver.
     """
-    trusted = [t for t, _ in labelled_sample(docs, labels, learn, {1: good}, id, text, label)]
-    rows = docs.select(F.col(f"`{id}`").alias("of"), F.col(f"`{text}`").cast("string").alias("text"))
-    ids = rows.select("of").orderBy(F.xxhash64(F.lit("web"), "of"), "of").limit(web).distinct()
-    some = rows.join(ids, "of").where(F.length("text") <= SAMPLE_CHARS).limit(web).select("text").toArrow()
-    return fit(trusted, utf8(some.column("text").combine_chunks()))
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in it:
+            for b in batches(big):
+                texts = utf8(b.column("text"))
+                yield pa.RecordBatch.from_arrays([pa.array([digest(t) for t in texts], pa.binary()),
+                                                  pa.array([features(t).tobytes() for t in texts], pa.binary())], names=["digest", "x"])
+
+    def known(ids: DataFrame) -> list[tuple[bytes, bytes]]:
+        rows = texts_in_python(sampled_texts(docs, ids, id, text).select("text"), run, "digest binary, x binary").toArrow()
+        return list(zip(rows.column("digest").to_pylist(), rows.column("x").to_pylist()))
+
+    ids = docs.select(F.col(f"`{id}`").alias("of")).where("of is not null").distinct()
+    return fit_features(known(labelled_ids(labels, learn, {1: good}, id, label)), known(ids.orderBy(F.xxhash64(F.lit("web"), "of"), "of").limit(web)))
 
 
 def with_quality(docs: DataFrame, model: Model, whole: bool = True, id: str = "doc_id", text: str = "text") -> DataFrame:

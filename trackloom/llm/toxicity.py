@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -21,6 +22,8 @@ PIECE = 8
 #: Distinct toxic texts that a piece must be in, and how many times oftener than in ordinary ones.
 TEXTS, OFTENER = 3, 30.0
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16384, 16384, 15
+#: Ordinary texts that their dictionary is trained on at most, by a hash of the text.
+DICTIONARY_TEXTS = 2000
 #: Follows each window, so that even a short one is worth compressing and is not stored as it is.
 TAIL = bytes(64)
 #: A piece's place in the table that is looked at first.
@@ -138,8 +141,8 @@ def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
         hit = np.concatenate([[0], np.isin(pieces(t), own), [0]])
         edges = np.flatnonzero(np.diff(hit))
         spans.update({t[a : b + PIECE - 1] for a, b in zip(edges[::2], edges[1::2])})
-    windows = [t[k : k + WINDOW] for t in ordinary for k in range(0, len(t), WINDOW)]
-    windows = windows[:: max(1, len(windows) // 100_000)]
+    chosen = sorted(ordinary, key=lambda t: (zlib.crc32(t), t))[:DICTIONARY_TEXTS]
+    windows = [t[k : k + WINDOW] for t in chosen for k in range(0, len(t), WINDOW)]
     content = dictionary([s for s, n in sorted(spans.items()) for _ in range(n)], TOXIC_BYTES)
     model = Model(dictionary(windows, ORDINARY_BYTES), content, np.intersect1d(own, pieces(content)), np.zeros(4))
     model.ready()
@@ -154,7 +157,7 @@ def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, texts: int = 10_000, id: str = "doc_id", text: str = "text",
                  label: str = "toxic") -> Model:
-    """A model from at most ``texts`` labelled texts (a fifth of them toxic) whose id passes ``learn``."""
+    """A model from at most ``texts`` labelled texts (a fifth of them toxic), whole and of any length, whose id passes ``learn``."""
     sample = labelled_sample(docs, labels, learn, {1: texts // 5, 0: texts - texts // 5}, id, text, label)
     return fit([t for t, y in sample if y], [t for t, y in sample if not y])
 
