@@ -1,4 +1,4 @@
-"""Fits and searches against slow versions: process variances, inflated variances, factor models, Ward's hierarchy."""
+"""Fits and searches against slow versions: process variances, inflated variances, factor models, clusters, Ward's hierarchy."""
 
 import math
 
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from check import compare
-from trackloom.operators import hierarchy as H, latent as M, smooth as S
+from trackloom.operators import cluster as C, hierarchy as H, latent as M, smooth as S
 
 VIEWS = ["a", "b", "c", "d"]
 
@@ -263,3 +263,37 @@ def test_comparison_sees_missing_values():
     for kind in ("Int64", "Float64", "object"):
         assert differ([0, 5], [None, 5], kind) and differ([None, 5], [0, 5], kind) and differ([1, 2], [1, 3], kind)
         assert not differ([None, 5], [5, None], kind) and not differ([0, 5], [5, 0], kind)
+
+
+# Clusters of vectors
+
+def vectors(spark, values):
+    return spark.createDataFrame([(i, v if v is None else [x if x is None else float(x) for x in v]) for i, v in enumerate(values)], "frame long, v array<double>")
+
+
+def test_all_starts_are_fitted_in_the_same_passes(spark):
+    draw = np.random.default_rng(5)
+    places = np.concatenate([draw.normal(c, 0.3, (60, 3)) for c in ((0, 0, 0), (4, 0, 0), (0, 4, 0), (4, 4, 0), (2, 2, 5))]) + 1e4
+    found, centers, cost = C.kmeans(vectors(spark, places.tolist()), 5, 3)
+    rows = found.orderBy("frame").collect()
+    own, middle = np.array([r.cluster for r in rows]), np.array([c.center for c in centers.orderBy("cluster").collect()])
+    far = ((places[:, None, :] - middle[None]) ** 2).sum(axis=2)
+    assert (far.argmin(axis=1) == own).all() and abs(far.min(axis=1).sum() - cost) < 1e-6
+    assert np.allclose(middle, [places[own == k].mean(axis=0) for k in range(5)], atol=1e-6)
+    assert sorted(np.bincount(own)) == [60] * 5
+    single = [C.kmeans(vectors(spark, places.tolist()), 5, 3, starts=1)[2], cost]
+    assert min(single) == pytest.approx(cost, abs=1e-6)
+
+
+def test_starts_of_few_or_no_vectors(spark):
+    found, centers, cost = C.kmeans(vectors(spark, [(1, 2), (1, 2), (5, 6), None, (None, 1)]), 4, 0)
+    assert found.count() == 3 and centers.count() == 2 and cost == 0
+    found, centers, cost = C.kmeans(vectors(spark, [None]), 3, 0)
+    assert found.columns == ["frame", "v", "cluster"] and found.count() == centers.count() == 0 == cost
+
+
+def test_nearest_centre_by_a_product():
+    draw = np.random.default_rng(2)
+    v, c = draw.normal(1e6, 1, (200, 4)), draw.normal(1e6, 1, (3, 7, 4))
+    want = ((v[None, :, None, :] - c[:, None]) ** 2).sum(axis=3).argmin(axis=2)
+    assert (C.closest(v, c) == want).all() and (C.closest(v, c[0]) == want[0]).all()

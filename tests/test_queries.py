@@ -41,7 +41,7 @@ IN_PYTHON = {"align_to_reference", "triangulate", "triangulate_bent", "triangula
              "nan_latent_transform", "fa_transform", "mahalanobis", "singular_spectrum", "spectrum_total", "pca_denoise",
              "smooth_static", "smooth_single_view", "smooth_multi_view", "frames_to_label_smoothed", "read_cameras", "head_saccades",
              "smoothing_likelihood", "smoothing_choice", "smooth_tuned_single_view", "smooth_tuned_multi_view", "inflated_variances"}
-WRITES = {"kmeans_select", "kmeans_per_session", "kmeans_session_counts", "pose_hierarchy", "embed_2d", "pseudo_labels", "pose_clusters", "read_markers",
+WRITES = {"kmeans_select", "kmeans_total", "kmeans_per_session", "kmeans_session_counts", "pose_hierarchy", "embed_2d", "pseudo_labels", "pose_clusters", "read_markers",
           "ingest_new_predictions", "read_predictions", "read_labels", "read_boxes", "read_cameras", "read_timings", "read_pixel_errors",
           "factor_fit", "ward_merges", "ward_total", "ward_clusters"}
 

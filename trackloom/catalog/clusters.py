@@ -153,3 +153,18 @@ def ward_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Size and spread of the clusters where the tree is cut into eight."""
     found = H.ward_clusters(poses(spark, sf), "v", 9, 8)
     return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.get("v", i)), 6).alias(p) for i, p in enumerate(PLACES)])
+
+
+@register("kmeans_total", "M18 T5", with_tables("fx_world", POSES + f""" SELECT 20::BIGINT AS clusters, 20::BIGINT AS frames, count(*) AS rows, true AS halved,
+ round({" + ".join(f"var_pop({p})" for p in PLACES)}, 6) AS spread FROM po WHERE {" + ".join(PLACES)} IS NOT NULL"""))
+def kmeans_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters, different frames chosen, rows of all clusters, and the spread of all rows: the squared distances to the
+    centres and those of the centres to the middle add up to it, as centres are the means of their members."""
+    found, centers, cost = C.kmeans(poses(spark, sf), 20, 7)
+    chosen = C.nearest_to_center(found, centers, ["session", "frame"]).agg(
+        F.count(F.lit(1)).alias("clusters"), F.count_distinct("session", "frame").alias("frames"), F.sum("cluster_size").alias("rows"))
+    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(centers, "cluster")
+    moments = [F.sum(F.col("n") * F.pow(F.get("center", i), 2)) - F.pow(F.sum(F.col("n") * F.get("center", i)), 2) / F.sum("n") for i in range(len(PLACES))]
+    between = sizes.agg(sum(moments, F.lit(0.0)).alias("between")).select("between").scalar()
+    total = F.lit(cost) + between
+    return r(chosen.select("clusters", "frames", "rows", (F.lit(cost) < total / 2).alias("halved"), (total / F.col("rows")).alias("spread")), "spread")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trackloom.catalog import fixtures as X
 from trackloom.catalog.fixtures import with_tables
@@ -20,34 +20,77 @@ def r(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: rounded(F.col(n)) for n in names})
 
 
-@register("pixel_error", "A3", with_tables("fx_label fx_pred", """SELECT seed, session, view, frame, keypoint,
- round(sqrt(power(lx - x, 2) + power(ly - y, 2)), 6) AS error FROM fx_label JOIN
+_PIXEL = """SELECT seed, session, view, frame, keypoint, sqrt(power(lx - x, 2) + power(ly - y, 2)) AS error FROM fx_label JOIN
  (SELECT seed, session, view, frame, keypoint, CASE WHEN status <> 'F' THEN x END AS x, y FROM fx_pred)
- USING (session, view, frame, keypoint)"""))
-def pixel_error(spark: SparkSession, sf: str) -> DataFrame:
+ USING (session, view, frame, keypoint)"""
+
+
+def by_frame(*names: str) -> list[Column]:
+    """Means of the columns, and means weighted by the frame, which a swap of frames changes."""
+    return [f for n in names for f in (F.avg(n).alias(n), F.avg(F.col(n) * (F.col("frame") % 97)).alias(f"{n}_by_frame"))]
+
+
+def by_frame_sql(*names: str) -> str:
+    return ", ".join(f"round(avg({n}), 6) + 0.0::DOUBLE AS {n}, round(avg({n} * (frame % 97)), 6) + 0.0::DOUBLE AS {n}_by_frame" for n in names)
+
+
+def with_by_frame(*names: str) -> list[str]:
+    return [f"{n}{end}" for n in names for end in ("", "_by_frame")]
+
+
+def pixel_errors(spark: SparkSession, sf: str) -> DataFrame:
     pred = X.predictions(spark, sf).withColumn("x", F.when(F.col("status") != "F", F.col("x")))
     out = V.pixel_error(X.labels(spark, sf).select(*KEYS, "lx", "ly"), pred.select("seed", *KEYS, "x", "y"))
-    return r(out.select("seed", *KEYS, "error"), "error")
+    return out.select("seed", *KEYS, "error")
+
+
+@register("pixel_error", "A3", with_tables("fx_label fx_pred", f"SELECT * REPLACE (round(error, 6) AS error) FROM ({_PIXEL})"))
+def pixel_error(spark: SparkSession, sf: str) -> DataFrame:
+    return r(pixel_errors(spark, sf), "error")
+
+
+@register("pixel_error_totals", "A3", with_tables("fx_label fx_pred", f"""SELECT seed, session, view, keypoint, count(*) AS n, count(error) AS n_valid,
+ {by_frame_sql("error")} FROM ({_PIXEL}) GROUP BY 1, 2, 3, 4"""))
+def pixel_error_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and errors of each seed, session, view and keypoint."""
+    out = pixel_errors(spark, sf).groupBy("seed", "session", "view", "keypoint").agg(
+        F.count(F.lit(1)).alias("n"), F.count("error").alias("n_valid"), *by_frame("error"))
+    return r(out, *with_by_frame("error"))
 
 
-@register("error_table", "A4 W12 A2", with_tables("fx_label fx_pred", """s AS (SELECT session, view, frame, keypoint,
+_TABLE = """s AS (SELECT session, view, frame, keypoint,
  (stddev_pop(x) + stddev_pop(y)) / 2 AS ens_std FROM fx_pred JOIN (SELECT DISTINCT session, view, frame, keypoint FROM fx_label)
  USING (session, view, frame, keypoint) GROUP BY ALL),
 k AS (SELECT *, round(ens_std, 9) AS q FROM s),
 p AS (SELECT session, view, frame, keypoint, ens_std,
  CAST(rank() OVER (PARTITION BY view ORDER BY q) - 1 AS DOUBLE) / count(*) OVER (PARTITION BY view) AS std_rank,
  CAST(rank() OVER (PARTITION BY view, keypoint ORDER BY q) - 1 AS DOUBLE) / count(*) OVER (PARTITION BY view, keypoint)
- AS std_rank_keypoint FROM k)
-SELECT seed, session, view, frame, keypoint, round(sqrt(power(lx - x, 2) + power(ly - y, 2)), 6) AS error,
- round(ens_std, 6) AS ens_std, round(std_rank, 6) AS std_rank, round(std_rank_keypoint, 6) AS std_rank_keypoint,
- round(likelihood, 6) AS likelihood FROM fx_label JOIN fx_pred USING (session, view, frame, keypoint)
- JOIN p USING (session, view, frame, keypoint)"""))
-def error_table(spark: SparkSession, sf: str) -> DataFrame:
+ AS std_rank_keypoint FROM k),
+t AS (SELECT seed, session, view, frame, keypoint, sqrt(power(lx - x, 2) + power(ly - y, 2)) AS error, ens_std, std_rank, std_rank_keypoint,
+ likelihood FROM fx_label JOIN fx_pred USING (session, view, frame, keypoint) JOIN p USING (session, view, frame, keypoint))
+"""
+_MEASURES = ("error", "ens_std", "std_rank", "std_rank_keypoint", "likelihood")
+
+
+def measured(spark: SparkSession, sf: str) -> DataFrame:
     lab = X.labels(spark, sf).select(*KEYS, "lx", "ly")
     pred = X.predictions(spark, sf).select("seed", *KEYS, "x", "y", "likelihood").join(lab.select(*KEYS).distinct(), KEYS, "left_semi")
     errors = V.pixel_error(lab, pred)
-    out = V.error_table(errors.select("seed", *KEYS, "error", "likelihood"), E.ensemble_std(pred))
-    return r(out, "error", "ens_std", "std_rank", "std_rank_keypoint", "likelihood")
+    return V.error_table(errors.select("seed", *KEYS, "error", "likelihood"), E.ensemble_std(pred))
+
+
+@register("error_table", "A4 W12 A2", with_tables("fx_label fx_pred", _TABLE + "SELECT * REPLACE (" + ", ".join(
+    f"round({m}, 6) AS {m}" for m in _MEASURES) + ") FROM t"))
+def error_table(spark: SparkSession, sf: str) -> DataFrame:
+    return r(measured(spark, sf), *_MEASURES)
+
+
+@register("error_table_totals", "A4 W12 A2", with_tables("fx_label fx_pred", _TABLE + f"""SELECT seed, session, view, keypoint, count(*) AS n,
+ {by_frame_sql(*_MEASURES)} FROM t GROUP BY 1, 2, 3, 4"""))
+def error_table_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, errors, deviations and ranks of each seed, session, view and keypoint."""
+    out = measured(spark, sf).groupBy("seed", "session", "view", "keypoint").agg(F.count(F.lit(1)).alias("n"), *by_frame(*_MEASURES))
+    return r(out, *with_by_frame(*_MEASURES))
 
 
 _GRID_SQL = "g AS (SELECT CAST(i AS BIGINT) AS i, i * CAST(0.5 AS DOUBLE) AS threshold FROM range(16) t(i))"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trackloom.catalog import fixtures as X
 from trackloom.catalog.fixtures import with_tables
 from trackloom.catalog.registry import register
-from trackloom.catalog.scoring import r
+from trackloom.catalog.scoring import by_frame, by_frame_sql, r, with_by_frame
 from trackloom.catalog.space import KEYS
 from trackloom.operators import select as P
 from trackloom.schema import rounded
@@ -83,6 +83,16 @@ def union_existing_pseudo(spark: SparkSession, sf: str) -> DataFrame:
     return r(P.union_first(*existing_and_pseudo(spark, sf), KEYS), "x")
 
 
+@register("union_pseudo_totals", "U1", with_tables("fx_label fx_pred", PSEUDO + f""", u AS (SELECT session, view, frame, keypoint,
+ coalesce(ex.x, ps.x) AS x, coalesce(ex.origin, ps.origin) AS origin FROM ex FULL JOIN ps USING (session, view, frame, keypoint))
+SELECT session, view, keypoint, origin, count(*) AS n, {by_frame_sql("x")} FROM u GROUP BY 1, 2, 3, 4"""))
+def union_pseudo_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and places that each session, view and keypoint has from existing and from pseudo labels."""
+    both = P.union_first(*existing_and_pseudo(spark, sf), KEYS)
+    out = both.groupBy("session", "view", "keypoint", "origin").agg(F.count(F.lit(1)).alias("n"), *by_frame("x"))
+    return r(out, *with_by_frame("x"))
+
+
 @register("dedupe_first", "A38", with_tables("fx_pred", """k AS (SELECT *, row_number() OVER (PARTITION BY session, view, frame, keypoint
  ORDER BY round(likelihood, 9) DESC, seed) AS rn FROM fx_pred)
 SELECT session, view, frame, keypoint, seed, round(x, 6) AS x FROM k WHERE rn = 1"""))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from trackloom.operators.ordered import percentiles
 from trackloom.operators.select import first_n, hash_order, quotas
@@ -121,14 +122,113 @@ def _vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.where(F.col(vector).isNotNull() & whole).withColumn("_vec", array_to_vector(F.col(vector)))
 
 
-def kmeans(df: DataFrame, k: int, seed: int, vector: str = "v", iterations: int = 300, starts: int = 10
-           ) -> tuple[DataFrame, DataFrame, float]:
-    """Rows with ``cluster``, the centres and the sum of squared distances: the best of ``starts`` fitted models."""
-    rows = materialised(_vectors(df, vector), "vectors")
-    fits = [KMeans(k=k, seed=seed + n, maxIter=iterations, featuresCol="_vec", predictionCol="cluster").fit(rows) for n in range(starts)]
-    model = min(fits, key=lambda m: m.summary.trainingCost)
-    found = model.transform(rows).drop("_vec")
-    return found, center_rows(df, [c.tolist() for c in model.clusterCenters()]), model.summary.trainingCost
+def closest(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """For rows ``v`` (n x D) and centres (... x k x D): the nearest centre of each row, (... x n), by one matrix product.
+
+    Rows are taken relative to the middle of the centres, which keeps the digits of small distances.
+    """
+    flat = centers.reshape(-1, centers.shape[-1])
+    middle = flat.mean(axis=0)
+    flat = flat - middle
+    far = (flat * flat).sum(axis=1) - 2 * (v - middle) @ flat.T
+    return np.moveaxis(far.reshape(len(v), *centers.shape[:-1]).argmin(axis=-1), 0, -1)
+
+
+def drawn_starts(sample: np.ndarray, k: int, seed: int, starts: int) -> np.ndarray:
+    """starts x k x D: centres picked from the sample, each with a chance in proportion to its squared distance to those before."""
+    out = []
+    for n in range(starts):
+        draw = np.random.default_rng([seed, n])
+        picked = [int(draw.integers(len(sample)))]
+        far = ((sample - sample[picked[0]]) ** 2).sum(axis=1)
+        while len(picked) < min(k, len(sample)):
+            picked.append(int(draw.choice(len(sample), p=far / far.sum())))
+            far = np.minimum(far, ((sample - sample[picked[-1]]) ** 2).sum(axis=1))
+        out.append(sample[picked])
+    return np.array(out)
+
+
+def kmeans(df: DataFrame, k: int, seed: int, vector: str = "v", iterations: int = 300, starts: int = 10, moved: float = 1e-9,
+           oversampling: int = 10) -> tuple[DataFrame, DataFrame, float]:
+    """Rows with ``cluster``, the centres and the sum of squared distances: the best of ``starts`` models, fitted in the same passes.
+
+    Rows whose vector is null or has a null take no part; without any there are no centres. Starts are drawn from
+    ``oversampling * k`` distinct vectors, chosen by a hash. A pass over the rows updates the centres of all models that still
+    move; a model is settled when no centre moves by more than ``moved`` of the sample's extent. A centre that loses its members
+    goes to the vector farthest from its centre. With fewer distinct vectors than ``k`` there are fewer clusters.
+    Tasks give one sum per centre, so ``starts * k`` rows a pass reach the driver.
+    """
+    rows = materialised(df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())), "vectors")
+    distinct = rows.groupBy(F.col(vector).cast("array<double>").alias("v")).agg(F.lit(0).alias("_z"))
+    sample = distinct.orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(oversampling * k).select("v").collect()
+    if not sample:
+        return rows.withColumn("cluster", F.lit(None).cast("int")), center_rows(df, []), 0.0
+    drawn = np.array([r.v for r in sample], float)
+    centers = drawn_starts(drawn, k, seed, starts)
+    enough = moved * max(1.0, float(np.abs(drawn - drawn.mean(axis=0)).max()))
+
+    def passed(current: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Members and sums of each centre, cost and farthest row of each model."""
+        size, dims = current.shape[1:]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, sums = np.zeros(current.shape[:2], np.int64), np.zeros(current.shape)
+            cost, most, worst = np.zeros(len(current)), np.full(len(current), -1.0), np.zeros((len(current), dims))
+            for v in numbers(batches, vector):
+                for m, own in enumerate(closest(v, current)):
+                    far = ((v - current[m][own]) ** 2).sum(axis=1)
+                    n[m] += np.bincount(own, minlength=size)
+                    np.add.at(sums[m], own, v)
+                    cost[m] += far.sum()
+                    if far.max() > most[m]:
+                        most[m], worst[m] = far.max(), v[far.argmax()]
+            if n.any():
+                at = [(m, c) for m in range(len(current)) for c in [-1, *np.flatnonzero(n[m]).tolist()]]
+                parts = [[m for m, _ in at], [c for _, c in at], [0 if c < 0 else int(n[m, c]) for m, c in at],
+                         [(worst[m] if c < 0 else sums[m, c]).tolist() for m, c in at], [cost[m] if c < 0 else 0.0 for m, c in at], [most[m] for m, _ in at]]
+                kinds = pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64()
+                yield pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, kinds)], names=["model", "cluster", "n", "s", "cost", "far"])
+
+        out = rows.select(vector).mapInArrow(run, "model int, cluster int, n long, s array<double>, cost double, far double")
+        total = out.groupBy("model", "cluster").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", i)) for i in range(dims)]).alias("s"),
+                                                    F.sum("cost").alias("cost"), F.max_by("s", "far").alias("worst"))
+        n, sums, cost, worst = np.zeros(current.shape[:2], np.int64), np.zeros(current.shape), np.zeros(len(current)), np.zeros((len(current), dims))
+        for r in total.collect():
+            if r.cluster < 0:
+                cost[r.model], worst[r.model] = r.cost, r.worst
+            else:
+                n[r.model, r.cluster], sums[r.model, r.cluster] = r.n, r.s
+        return n, sums, cost, worst
+
+    moving = np.arange(starts)
+    for _ in range(iterations):
+        before = centers[moving]
+        n, sums, _, worst = passed(before)
+        after = np.where(n[..., None] > 0, sums / np.maximum(n, 1)[..., None], before)
+        for m in np.flatnonzero((n == 0).any(axis=1)):
+            after[m, np.flatnonzero(n[m] == 0)[0]] = worst[m]  # one in a pass; the others follow
+        centers[moving] = after
+        moving = moving[np.abs(after - before).max(axis=(1, 2)) > enough]
+        if not len(moving):
+            break
+    cost = passed(centers)[2]
+    best = centers[cost.argmin()]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [closest(v, best) for v in numbers([b], vector)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0, int), *own]).astype(np.int32))], names=[*b.schema.names, "cluster"])
+
+    rest = rows.drop("cluster")
+    found = rest.mapInArrow(assign, StructType([*rest.schema.fields, StructField("cluster", IntegerType())]))
+    return found, center_rows(df, best.tolist()), float(cost.min())
+
+
+def numbers(batches: Iterable[pa.RecordBatch], vector: str, rows: int = 2048) -> Iterator[np.ndarray]:
+    """The vectors of the batches, some rows at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield np.array(b.column(vector).slice(k, rows).to_pylist(), float)
 
 
 def kmeans_select(df: DataFrame, k: int, seed: int, keys: Sequence[str], vector: str = "v") -> DataFrame:
@@ -186,8 +286,8 @@ def kmeans_per_session(df: DataFrame, total: int, seed: int, keys: Sequence[str]
         for s in set(sessions) & current.keys():
             at = np.flatnonzero(sessions == s)
             v = vectors[at]
-            far = ((v[:, None, :] - current[s][None, :, :]) ** 2).sum(axis=2)
-            yield s, at, v, far.argmin(axis=1), far.min(axis=1)
+            own = closest(v, current[s])
+            yield s, at, v, own, ((v - current[s][own]) ** 2).sum(axis=1)
 
     def sums(current: dict) -> list:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +328,7 @@ def kmeans_per_session(df: DataFrame, total: int, seed: int, keys: Sequence[str]
             break
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 2048) for whole in batches for k in range(0, whole.num_rows, 2048)):
             for _, at, _, own, far in nearest(b, centers):
                 yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(at)) for k in keys], pa.array(own.astype(np.int32)), pa.array(np.sqrt(far))],
                                                  names=[*keys, "cluster", "distance"])
