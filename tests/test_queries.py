@@ -43,7 +43,7 @@ IN_PYTHON = {"align_to_reference", "triangulate", "triangulate_bent", "triangula
              "smoothing_likelihood", "smoothing_choice", "smooth_tuned_single_view", "smooth_tuned_multi_view", "inflated_variances"}
 WRITES = {"kmeans_select", "kmeans_total", "kmeans_per_session", "kmeans_session_counts", "pose_hierarchy", "embed_2d", "pseudo_labels", "pose_clusters", "read_markers",
           "ingest_new_predictions", "read_predictions", "read_labels", "read_boxes", "read_cameras", "read_timings", "read_pixel_errors",
-          "factor_fit", "ward_merges", "ward_total", "ward_clusters"}
+          "factor_fit", "smooth_camera_points", "smooth_through_cameras", "ward_merges", "ward_total", "ward_clusters"}
 
 
 @pytest.mark.parametrize("name", [n for n in ALL if n not in WRITES])

@@ -12,7 +12,7 @@ from trackloom.catalog.fixtures import with_tables
 from trackloom.catalog.registry import register
 from trackloom.catalog.scoring import r
 from trackloom.catalog.space import GROUP, digest, digest_sql
-from trackloom.operators import geometry as G
+from trackloom.operators import ensemble as E, geometry as G, rig as R
 
 BENT = (-0.05, 0.01)
 PT = ["session", "frame", "keypoint"]
@@ -159,3 +159,31 @@ def pose_from_views(spark: SparkSession, sf: str) -> DataFrame:
     z = G.pose_from_views(X.holes(spark, sf), X.KEYPOINTS, X.VIEWS, ("seed", "session", "frame"))
     d = rigid_distances(z, [("pawL", "nose", "d")], ["seed", "session", "frame"])
     return d.select("seed", "session", "frame", F.round(F.col("distance_mm") / 1000, 4).alias("d"))
+
+
+@register("smooth_camera_points", "M22 M3", with_tables("fx_seen", DISTORTED + """ SELECT session, view, keypoint, count(*) AS n,
+ count_if((ok + kp + vi) % 53 <> 0)::BIGINT AS n_seen, """ + ", ".join(
+    f"round(avg({v}), 2) + 0.0::DOUBLE AS {n}_mean, round(avg({v} * (frame % 97)), 2) + 0.0::DOUBLE AS {n}_by_frame"
+    for n, v in (("x", "px"), ("y", "py"), ("at_x", "X"), ("at_y", "Y"), ("at_z", "Z"))) + " FROM di GROUP BY 1, 2, 3"))
+def smooth_camera_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact observations of bent cameras with gaps: smoothing through the cameras gives the true points and all pixels back."""
+    gap = F.expr("(ok + kp + cast(substr(view, 2) as long)) % 53 = 0")
+    ens = distorted(spark, sf).withColumns({**{c: F.when(~gap, F.col(c)) for c in "xy"}, "x_ens_var": F.lit(1e-4), "y_ens_var": F.lit(1e-4)})
+    out = R.smooth_through_cameras(ens, X.cameras(spark, sf, BENT), X.VIEWS, 1.0)
+    made = []
+    for c in ("x", "y", "at_x", "at_y", "at_z"):
+        made += [(F.round(F.avg(c), 2) + 0.0).alias(f"{c}_mean"), (F.round(F.avg(F.col(c) * (F.col("frame") % 97)), 2) + 0.0).alias(f"{c}_by_frame")]
+    return out.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.count("x_ens_median").alias("n_seen"), *made)
+
+
+@register("smooth_through_cameras", "M22")
+def smooth_through_cameras(spark: SparkSession, sf: str) -> DataFrame:
+    """Noisy ensembles smoothed in space with the likeliest process variance of each keypoint, and how far from the true pixels they are."""
+    cams = X.cameras(spark, sf)
+    ens = E.ensemble(X.holes(spark, sf), "mean", ("session", "view", "frame", "keypoint"))
+    out = R.smooth_through_cameras(R.tuned_through_cameras(ens, cams, X.VIEWS, (0.01, 0.1, 1.0)), cams, X.VIEWS, "process_variance")
+    true = X.seen(spark, sf).select("session", "view", "frame", "keypoint", "u", "w")
+    far = lambda a, b: F.round(F.avg(F.hypot(F.col(a) - F.col("u"), F.col(b) - F.col("w"))), 3)
+    return out.join(true, ["session", "view", "frame", "keypoint"]).groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("n"), far("x", "y").alias("smoothed_error"), far("x_ens_median", "y_ens_median").alias("ensemble_error"),
+        F.round(F.avg("x_posterior_var"), 3).alias("x_posterior_var"), F.round(F.max("step"), 1).alias("step"))
