@@ -1,6 +1,7 @@
 """Near duplicates, lines and chunks against brute force, and on odd input."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -98,6 +99,52 @@ def test_one_of_each_group_stays(spark, odd, no_docs):
     assert simhash.one_of_each_group(no_docs).columns == no_docs.columns
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_covered_against_all_pairs(spark):
+    """Two classes: one of random sets around a few centres, with distances on both sides of the threshold, one of copies."""
+    draw = random.Random(4)
+    centres = [draw.sample(range(10**6), 60) for _ in range(6)]
+    sets = {}
+    for n in range(200):
+        own = list(centres[n % 6])
+        for k in range(draw.randrange(0, 16)):
+            own[draw.randrange(60)] = 10**7 + 100 * n + k
+        sets[n] = frozenset(own)
+    sets.update({n: frozenset(centres[0]) for n in range(300, 330)})
+    root = lambda n: 0 if n < 300 else 300
+    rows = [(n, root(n), (False, n, n), sorted(s)) for n, s in sets.items()]
+    schema = "node long, root long, best struct<none: boolean, doc_id: long, uid: long>, s array<long>"
+    gone = {r.node for r in simhash.covered(spark.createDataFrame(rows, schema), 0.8).collect()}
+    kept = sorted(set(sets) - gone)
+    assert [n for n in kept if n >= 300] == [300] and 0 in kept
+    for n in kept:
+        assert not any(m != n and root(m) == root(n) and jaccard(sets[m], sets[n]) >= 0.8 for m in kept)
+    for n in gone:
+        assert any(root(m) == root(n) and jaccard(sets[m], sets[n]) >= 0.8 for m in kept)
+    assert simhash.covered(spark.createDataFrame([], schema), 0.8).collect() == []
+
+
+def test_only_documents_alike_to_one_that_stays_go(spark):
+    """Chains of ever more changed documents: what goes has a partner at 0.8, what is below stays."""
+    draw = random.Random(8)
+    rows = []
+    for group in range(30):
+        words = [f"g{group}w{k}" for k in range(250)]
+        for step in range(8):
+            rows.append((len(rows), " ".join(words)))
+            for _ in range(2 + group % 6):
+                words[draw.randrange(250)] = f"x{len(rows)}y{draw.randrange(10**6)}"
+    shingles = {i: frozenset(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    kept = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = lambda i: [j for j in range(i // 8 * 8, i // 8 * 8 + 8) if j != i and jaccard(shingles[i], shingles[j]) >= 0.8]
+    assert all(kept & set(near(i)) for i in shingles if i not in kept)
+    missed = [i for i in kept if kept & set(near(i))]
+    assert len(missed) <= 4 and 30 <= len(kept) < 200
+
+
 # Lines
 
 def slow_lines(rows, least):

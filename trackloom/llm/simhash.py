@@ -15,12 +15,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackloom.llm.common import batches, packed, texts_in_python, tidy, utf8
 from trackloom.llm.components import components
-from trackloom.session import materialised
+from trackloom.session import lookup, materialised
 
 SEED = 42
 PIVOTS = 32
@@ -28,13 +29,19 @@ PIVOTS = 32
 PART = 8192
 
 
-def fingerprint(text: bytes, words: int, lanes: int) -> np.ndarray:
-    """``lanes`` 64-bit words: a bit is 1 if set in over half the hashes of the shingles, repeats included."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """A hash of each shingle, repeats included; of fewer words the whole sequence is one, and no words have none."""
     w = text.lower().split()
-    if not w:
+    starts = range(max(1, len(w) - words + 1) if w else 0)
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in starts), "<u8", len(starts))
+
+
+def fingerprint(text: bytes, words: int, lanes: int, repeats: bool = True) -> np.ndarray:
+    """``lanes`` 64-bit words: a bit is 1 if set in over half the hashes of the shingles, each counted once without ``repeats``."""
+    h = shingle_hashes(text, words)
+    h = h if repeats else np.unique(h)
+    if not len(h):
         return np.zeros(lanes, "<u8")
-    shingles = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), "<u8", len(shingles))
     out = np.empty(lanes, "<u8")
     for k in range(lanes):
         ones = np.zeros(64, np.int64)
@@ -53,14 +60,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def with_fingerprints(rows: DataFrame, words: int, lanes: int = 1) -> DataFrame:
+def with_fingerprints(rows: DataFrame, words: int, lanes: int = 1, repeats: bool = True) -> DataFrame:
     """Columns of ``rows`` with ``text`` replaced by ``f0`` ... (signed 64-bit words). Null text counts as empty."""
     keep = [c for c in rows.columns if c != "text"]
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in it:
             for b in batches(big):
-                f = np.stack([fingerprint(t, words, lanes) for t in utf8(b.column("text"))]).view("<i8")
+                f = np.stack([fingerprint(t, words, lanes, repeats) for t in utf8(b.column("text"))]).view("<i8")
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(f[:, k]) for k in range(lanes)],
                                                  names=keep + [f"f{k}" for k in range(lanes)])
 
@@ -206,24 +213,74 @@ def linked_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", wo
     return prints.join(named, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def with_shingles(rows: DataFrame, words: int) -> DataFrame:
+    """Columns of ``rows`` with ``text`` replaced by ``s``: the distinct hashes of its shingles."""
+    keep = [c for c in rows.columns if c != "text"]
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in it:
+            for b in batches(big, 64):
+                sets = pa.array([np.unique(shingle_hashes(t, words)).view("<i8") for t in utf8(b.column("text"))], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [sets], names=[*keep, "s"])
+
+    return texts_in_python(rows, run, rows.select(*keep).schema.add("s", T.ArrayType(T.LongType())))
+
+
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Jaccard similarity of two sets without repeats, from ``similarity``; sets too unequal in size are not compared."""
+    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    both = F.size(F.array_intersect(a, b))
+    reached = both * (1 + similarity) >= similarity * (small + large) - 1e-9
+    return F.when(small >= similarity * large - 1e-9, reached).otherwise(F.lit(False))
+
+
+def covered(members: DataFrame, similarity: float, most: int = 16) -> DataFrame:
+    """``node`` of all ``members`` (``node``, ``root``, ``best``, ``s``) that are alike to one of their class that stays.
+
+    A round takes heads of each class, in the first round its smallest ``best``, later the smallest of each of 4 and then ``most``
+    parts by hash. A head that is not alike to a smaller head stays; members alike to one that stays go. The others go
+    into the next round, until no class has two left. So no two that stay are alike, none goes without its partner, and a class costs
+    its members times ``most`` comparisons a round, whatever its size.
+    """
+    now, parts, gone = members, 1, None
+    while True:
+        part = F.pmod(F.xxhash64("node"), F.lit(parts))
+        ids = lookup(now.groupBy("root", part.alias("part")).agg(F.min("best").alias("first")).select(F.col("first.uid").alias("node")), "heads")
+        heads = materialised(now.join(ids, "node").select("root", F.col("node").alias("head"), F.col("best").alias("first"), F.col("s").alias("t")), "head-sets")
+        if parts > 1:
+            other = heads.select("root", F.col("first").alias("smaller"), F.col("t").alias("u"))
+            waits = heads.join(other, "root").where((F.col("smaller") < F.col("first")) & alike(F.col("t"), F.col("u"), similarity)).select("head").distinct()
+            heads = materialised(heads.join(lookup(waits, "waiting"), "head", "left_anti"), "staying")
+        near = now.join(heads, "root").where((F.col("node") != F.col("head")) & alike(F.col("s"), F.col("t"), similarity))
+        goes = lookup(near.select("node").distinct(), "covered")
+        gone = goes if gone is None else gone.unionByName(goes)
+        rest = now.join(goes, "node", "left_anti").join(heads.select(F.col("head").alias("node")), "node", "left_anti")
+        rest = materialised(rest, "undecided")
+        crowded = lookup(rest.groupBy("root").count().where("count > 1").select("root"), "undecided-classes")
+        if not crowded.take(1):
+            return gone
+        now, parts = rest.join(crowded, "root", "left_semi"), min(parts * 4, most)
+
+
 def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, lanes: int = 4,
-                      similarity: float = 0.8, bits: int = 16, keys: int = 48) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group of linked documents that with the smallest id stays.
-
-    Fingerprints of ``64 * lanes`` bits estimate the similarity of two documents' shingles: at a Jaccard similarity s the
-    angle has cosine 2s / (1 + s), and the share of differing bits is angle / pi. Documents link where the estimate reaches
-    ``similarity``, within one standard deviation of its error. Candidates share one of ``keys`` samples of ``bits`` bits,
-    which finds 0.97 of pairs at 0.8 and more above. Documents without words are copies of each other. Of repeated rows one
-    stays; null ids come last. All columns are kept.
+                      similarity: float = 0.8, bits: int = 14, keys: int = 48) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: a document goes if one that stays has ``similarity`` or more of its shingles.
+
+    Fingerprints of ``64 * lanes`` bits only find candidates: at a Jaccard similarity s the angle has cosine 2s / (1 + s), and
+    the share of differing bits is angle / pi. Fingerprints link up to that number and two standard deviations more, if they share
+    one of ``keys`` samples of ``bits`` bits (0.99 of pairs at 0.8 and more above). Within each class of linked fingerprints the
+    Jaccard similarity of the shingle sets is then exact (``covered``). Of a group around one document that with the smallest id stays.
+    Documents without words are copies of each other. Of repeated rows one stays; null ids come last. All columns are kept.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    limit = int(64 * lanes * share + (64 * lanes * share * (1 - share)) ** 0.5)
+    limit = int(64 * lanes * share + 2 * (64 * lanes * share * (1 - share)) ** 0.5)
     named = materialised(packed(docs, uid=F.monotonically_increasing_id(), doc_id=F.col(f"`{id}`"), text=F.col(f"`{text}`").cast("string")), "numbered")
-    prints = materialised(with_fingerprints(named.select("uid", "doc_id", "text"), words, lanes), "fingerprints")
+    prints = materialised(with_fingerprints(named.select("uid", "doc_id", "text"), words, lanes, repeats=False), "fingerprints")
     own = [f"f{k}" for k in range(lanes)]
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best")
     nodes = materialised(prints.groupBy(*own).agg(best).withColumn("node", F.col("best.uid")), "distinct-prints")
     groups = components(near_links(nodes, limit, sampled_keys(lanes, bits, keys), lanes))
-    first = (nodes.select("node", "best").join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-             .agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid")))
+    classed = lookup(nodes.select("node", "best").join(groups, "node"), "classes")
+    members = materialised(with_shingles(named.select(F.col("uid").alias("node"), "text").join(classed, "node"), words), "shingle-sets")
+    first = nodes.select(F.col("node").alias("uid")).join(covered(members, similarity).withColumnRenamed("node", "uid"), "uid", "left_anti")
     return named.join(first, "uid", "left_semi").select("row.*")
