@@ -12,11 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from trackloom.functions.space import valid_observations
 from trackloom.functions.space import valid_observations
 from trackloom.operators.behaviour import norm
 from trackloom.operators.joins import with_cameras
 from trackloom.schema import cols
+from trackloom.session import many_rows
 
 UPPER = [(i, j) for i in range(4) for j in range(i, 4)]
 POINT = ("session", "frame", "keypoint")
@@ -244,7 +244,7 @@ def reprojection_error(points: DataFrame, observations: DataFrame, cameras: Data
                        ) -> DataFrame:
     """keys, view, dx, dy, distance, mean_xy: observations against the projected points, in pixels."""
     both = observations.select(*keys, "view", F.col("x").alias("ox"), F.col("y").alias("oy")).join(
-        points.select(*keys, "X", "Y", "Z"), list(keys))
+        many_rows(points.select(*keys, "X", "Y", "Z")), list(keys))
     seen = project(both, cameras)
     dx, dy = F.abs(F.col("px") - F.col("ox")), F.abs(F.col("py") - F.col("oy"))
     return seen.select(*keys, "view", dx.alias("dx"), dy.alias("dy"), norm(dx, dy).alias("distance"),
