@@ -20,7 +20,7 @@ def broadcast_parts(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["confident_view_errors", "reprojection_error", "prefer_full_space", "valid_observations"])
+@pytest.mark.parametrize("name", ["confident_view_errors", "reprojection_error", "prefer_full_space", "valid_observations", "smooth_through_cameras"])
 def test_rows_of_frames_are_not_broadcast(spark, sf, name):
     """Tables that explode or a task made have more rows than the files behind them tell."""
     with scope(spark):
