@@ -1,9 +1,13 @@
 """What reaches the driver and the shuffle as the tables grow."""
 
+import gzip
+
 import pytest
 
 from trackloom.catalog import entries
+from trackloom.operators.joins import labelled_only
 from trackloom.session import scope
+from trackloom.sources import markers as K
 
 ALL = entries()
 
@@ -20,9 +24,49 @@ def broadcast_parts(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["confident_view_errors", "reprojection_error", "prefer_full_space", "valid_observations", "smooth_through_cameras"])
+@pytest.mark.parametrize("name", ["confident_view_errors", "reprojection_error", "prefer_full_space", "valid_observations", "smooth_through_cameras",
+                                  "labels_with_predictions", "pixel_error", "error_by_model_seed", "reprojection_score", "method_errors",
+                                  "error_table", "crop_to_full", "remap_guarded", "triangulation_error"])
 def test_rows_of_frames_are_not_broadcast(spark, sf, name):
     """Tables that explode or a task made have more rows than the files behind them tell."""
     with scope(spark):
         for part in broadcast_parts(ALL[name].build(spark, sf)):
             assert "Generate" not in part and "InPandas" not in part
+
+
+def test_labelled_frames_are_told_by_bits(spark):
+    frames = [-1, 0, 6, 7, 8, 9, 32767, 32768, 32769, 5_000_000_000]
+    pred = spark.createDataFrame([(s, f, k) for s in ("a", "b", None) for f in [*frames, None] for k in (1, 2)], "session string, frame long, k int")
+    lab = spark.createDataFrame([("a", f) for f in frames[::2]] * 2 + [("b", 7), (None, 7), ("b", None)], "session string, frame long")
+    with scope(spark):
+        few = labelled_only(pred, lab)
+        assert few.columns == pred.columns
+        got = sorted((r.session, r.frame, r.k) for r in few.collect())
+    assert got == sorted([("a", f, k) for f in frames[::2] for k in (1, 2)] + [("b", 7, 1), ("b", 7, 2)])
+
+
+def test_predictions_are_not_shuffled_to_ask_for_labels(spark, sf):
+    with scope(spark):
+        plan = ALL["labels_with_predictions"].build(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan and "BroadcastHashJoin" in plan and plan.count("SortMergeJoin") == 1
+
+
+def test_views_are_gathered_by_one_narrow_shuffle(spark, sf):
+    """The ten sums of an observation are made after the shuffle."""
+    with scope(spark):
+        plan = ALL["leave_one_view_out_error"].build(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    head, _, below = plan.partition("REPARTITION_BY_COL")
+    assert " AS s9#" in head and " AS s9#" not in below and "collect_list" in head
+
+
+def test_snippets_are_packed_and_have_their_own_header(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK", 4)
+    df = spark.createDataFrame([(s, f, "a", f + 0.5, None) for s in ("s", "t") for f in range(10)], "session string, frame long, keypoint string, x double, y double")
+    K.write_markers(df, str(tmp_path / "tracks"), ["a"], ["x", "y"], ["session"])
+    files = sorted((tmp_path / "tracks").rglob("part-*"))
+    assert len(files) == 6 and all(f.name.endswith(".txt.gz") for f in files)
+    for f in files:
+        lines = gzip.open(f, "rt").read().splitlines()
+        part = int(f.parent.name.removeprefix("part="))
+        assert lines[:3] == ["scorer,trackloom,trackloom", "bodyparts,a,a", "coords,x,y"]
+        assert lines[3:] == [f"{n},{n}.5," for n in range(4 * part, min(4 * part + 4, 10))]

@@ -10,6 +10,7 @@ from trackloom.catalog.registry import register
 from trackloom.catalog.space import KEYS
 from trackloom.operators import ensemble as E
 from trackloom.operators import select as P
+from trackloom.operators.joins import labelled_only
 from trackloom.schema import rounded
 
 
@@ -104,7 +105,7 @@ def error_summary(spark: SparkSession, sf: str) -> DataFrame:
 
     lab = X.labels(spark, sf).select(*KEYS, "lx", "ly")
     # The label join comes first: only labelled frames are combined over seeds.
-    pred = X.holes(spark, sf).join(lab.select("session", "frame").distinct(), ["session", "frame"], "left_semi")
+    pred = labelled_only(X.holes(spark, sf), lab)
     errors = V.pixel_error(lab, E.ensemble(pred, "median", seeds=X.SEEDS))
     out = V.error_summary(errors, ["view", "keypoint"])
     return _rounded(out, ["mean", "std", "min", "max", "ci_low", "ci_high"])
@@ -120,7 +121,7 @@ def error_by_model_seed(spark: SparkSession, sf: str) -> DataFrame:
     from trackloom.operators import evaluate as V
 
     lab = X.labels(spark, sf).select(*KEYS, "lx", "ly")
-    out = V.error_summary(V.pixel_error(lab, X.predictions(spark, sf)))
+    out = V.error_summary(V.pixel_error(lab, labelled_only(X.predictions(spark, sf), lab)))
     return _rounded(out, ["mean", "std", "min", "max", "ci_low", "ci_high"])
 
 

@@ -17,7 +17,7 @@ from trackloom.schema import rounded
                                                        + digest_sql("q", ["seed", *GROUP], ["dx", "dy"])))
 def labels_with_predictions(spark: SparkSession, sf: str) -> DataFrame:
     lab = X.labels(spark, sf).select(*KEYS, "lx", "ly")
-    both = J.labels_with_predictions(lab, X.predictions(spark, sf).select("seed", *KEYS, "x", "y"))
+    both = J.labels_with_predictions(lab, J.labelled_only(X.predictions(spark, sf).select("seed", *KEYS, "x", "y"), lab))
     moved = both.withColumns({"dx": F.col("x") - F.col("lx"), "dy": F.col("y") - F.col("ly")})
     return digest(moved, ["seed", *GROUP], ["dx", "dy"])
 

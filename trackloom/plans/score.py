@@ -8,15 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from trackloom.operators.ensemble import ensemble
 from trackloom.operators.evaluate import error_summary, pixel_error
+from trackloom.operators.joins import labelled_only
 
 POINT = ("session", "view", "frame", "keypoint")
 
 
-def labelled_only(pred: DataFrame, labels: DataFrame) -> DataFrame:
-    """Predictions of labelled frames; the rest never reaches the ensemble."""
-    return pred.join(labels.select("session", "frame").distinct(), ["session", "frame"], "left_semi")
-
-
 def method_errors(pred: DataFrame, labels: DataFrame, modes: Sequence[str] = ("mean", "median"),
                   seeds: Sequence[int] | None = None) -> DataFrame:
     """Error summary per model and method: each seed by itself, and the seeds combined in the given ways."""
