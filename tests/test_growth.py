@@ -2,9 +2,11 @@
 
 import gzip
 
+import numpy as np
 import pytest
 
-from trackloom.catalog import entries
+from trackloom.catalog import entries, fixtures as X
+from trackloom.operators import geometry as G, latent as M, smooth as S
 from trackloom.operators.joins import labelled_only
 from trackloom.session import scope
 from trackloom.sources import markers as K
@@ -70,3 +72,47 @@ def test_snippets_are_packed_and_have_their_own_header(spark, tmp_path, monkeypa
         part = int(f.parent.name.removeprefix("part="))
         assert lines[:3] == ["scorer,trackloom,trackloom", "bodyparts,a,a", "coords,x,y"]
         assert lines[3:] == [f"{n},{n}.5," for n in range(4 * part, min(4 * part + 4, 10))]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distortion_is_inverted_once_a_row(spark, sf):
+    seen = X.predictions(spark, sf).select("session", "view", "frame", "keypoint", "x", "y")
+    with scope(spark):
+        assert plan_of(G.undistort(seen, X.cameras(spark, sf, (-0.05, 0.01))).where("ux is not null")).count("aggregate(") == 1
+
+
+def test_tasks_get_no_more_of_a_larger_table(spark, sf, monkeypatch):
+    whole = X.table(spark, sf, "orders")
+    monkeypatch.setattr(X, "SPLIT", 1024)
+    cut = X.table(spark, sf, "orders")
+    assert cut.rdd.getNumPartitions() > 2 * whole.rdd.getNumPartitions()
+    assert cut.exceptAll(whole).count() == 0 and whole.exceptAll(cut).count() == 0
+
+
+def test_components_are_fitted_in_one_pass(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(500, 4)) @ draw.normal(size=(4, 4)) + [1e4, -5, 0, 300]
+    x[draw.random(x.shape) < 0.2] = np.nan
+    df = spark.createDataFrame([([None if np.isnan(v) else float(v) for v in row],) for row in x], "v array<double>").repartition(7).localCheckpoint()
+    spark.sparkContext.setJobGroup("one pass", "fit")
+    model = M.fit_pca(df, "v", 4, missing=True)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one pass")) == 1
+    there, off = np.isfinite(x).astype(float), np.nan_to_num(x - np.nanmean(x, axis=0))
+    cov = off.T @ off / (there.T @ there - 1)
+    assert np.allclose(model.mean, np.nanmean(x, axis=0), rtol=1e-12) and np.allclose(model.variance, np.clip(np.linalg.eigvalsh(cov)[::-1], 0, None))
+
+
+def test_tracks_are_shuffled_without_arrays(spark):
+    ens = spark.range(9).selectExpr("'s' AS session", "'v' AS view", "'k' AS keypoint", "id AS frame", "id * 1D AS x", "id * 2D AS y",
+                                    "1D AS x_ens_var", "1D AS y_ens_var")
+    plan = plan_of(S.smooth_single_view(ens, 1.0))
+    assert "struct(frame, frame" in plan and "_J00" in plan and "flatten(_o#" not in plan
+
+
+def test_seeds_are_combined_once(spark, sf):
+    with scope(spark):
+        assert "o_orderkey" not in plan_of(ALL["smooth_tuned_single_view"].build(spark, sf))
