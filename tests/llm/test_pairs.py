@@ -190,6 +190,14 @@ def test_estimates_far_from_the_threshold_are_not_counted(spark):
     assert got.agg(F.sum("n_removed")).first()[0] == 1999
 
 
+def test_documents_are_shuffled_whatever_few_lose_lines(spark):
+    """A join that is a broadcast on small tables only would have the shuffle grow faster than the input."""
+    rows = [(i, "shared line\nown " + str(i), f"site{i}") for i in range(20)]
+    got = linededup.without_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and got.agg(F.sum("n_removed")).first()[0] == 19
+
+
 # Chunks
 
 def test_boundaries_move_with_the_text():

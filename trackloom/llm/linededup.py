@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import SPACE, packed
-from trackloom.session import lookup, materialised
+from trackloom.session import lookup, many_rows, materialised
 
 #: log2 of the registers of a sketch; the standard error is 1.04 / sqrt(2^LG_K), 1.6 %.
 LG_K = 12
@@ -41,7 +41,8 @@ def without_spread_lines(docs: DataFrame, min_sites: int = 8, id: str = "doc_id"
     any group of copies. Null text stays null and has no lines; repeated rows have the same result.
 
     Only line hashes and places are shuffled to find the lines. Then each document that loses some gets their places as one
-    array, no longer than its own lines.
+    array, no longer than its own lines. For that documents are shuffled once, at every size: documents that lose lines are
+    a share of all, so their number has no bound and they are not broadcast.
     """
     rows = packed(docs, doc_id=F.col(f"`{id}`").cast("long"), text=F.col(f"`{text}`").cast("string"), site=F.col(f"`{site}`").cast("string"))
     rows = rows.withColumn("print", F.xxhash64("text"))
@@ -53,7 +54,7 @@ def without_spread_lines(docs: DataFrame, min_sites: int = 8, id: str = "doc_id"
     place = F.struct("nil", "doc_id", "print", "at")
     gone = light.join(spread, "line").where(place != F.col("first")).groupBy("doc_id", "print").agg(F.collect_set("at").alias("gone"))
     gone = materialised(gone.select(F.col("doc_id").alias("of"), F.col("print").alias("of_print"), "gone"), "gone")
-    both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")), "left")
+    both = rows.join(many_rows(gone), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))
     # the outer transform names the split text, so that it is split once and not for each line
     left = F.transform(F.array(all_lines), lambda own: F.array_join(F.transform(stay, lambda k: F.get(own, k)), "\n"))[0]
