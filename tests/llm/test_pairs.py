@@ -233,3 +233,21 @@ def test_neighbours_of_odd_documents(spark, odd, no_docs):
     check_neighbours(odd.limit(1))
     check_neighbours(spark.createDataFrame([(None, "a b c"), (None, "d")], "doc_id long, text string"))
     assert chunking.neighbour_fingerprints(no_docs).count() == 0
+
+
+def test_large_classes_end_as_in_one_task(spark, monkeypatch):
+    """Classes of unlike members take a few rounds whatever their size; the joins of large ones and the task of small ones agree."""
+    draw = random.Random(5)
+    rows = [(n, n % 2, (n % 9 == 0, None if n % 9 == 0 else n // 2, n), sorted(draw.sample(range(14), 3))) for n in range(300)]
+    schema = "node long, root long, best struct<none: boolean, doc_id: long, uid: long>, s array<long>"
+    df = spark.createDataFrame(rows, schema)
+    written = []
+    monkeypatch.setattr(simhash, "lookup", lambda f, name, own=simhash.lookup: written.append(name) or own(f, name))
+    want = sorted(r.node for r in simhash.covered(df, 0.5).collect())
+    assert written == ["class-sizes", "settled"] and 100 < len(want) < 290
+    monkeypatch.setattr(simhash, "WIDEST", 16)
+    assert sorted(r.node for r in simhash.covered(df, 0.5, small=100).collect()) == want
+    sets = {n: set(s) for n, _, _, s in rows}
+    kept = set(sets) - set(want)
+    near = {n: any(m != n and m % 2 == n % 2 and jaccard(sets[m], sets[n]) >= 0.5 for m in kept) for n in sets}
+    assert near == {n: n in set(want) for n in sets}

@@ -57,14 +57,19 @@ def tidy(run: Callable) -> Callable:
     """``run`` for ``mapInArrow``, after which a task gives back what it no longer uses: Python workers outlive their tasks."""
     def tidied(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    """Memory that this process no longer uses goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -27,6 +27,8 @@ SEED = 42
 PIVOTS = 32
 #: Rows of one key that a task compares; keys with more are dealt out as pairs of parts.
 PART = 8192
+#: Heads of one class in a round at most.
+WIDEST = 1024
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -234,32 +236,96 @@ def alike(a: Column, b: Column, similarity: float) -> Column:
     return F.when(small >= similarity * large - 1e-9, reached).otherwise(F.lit(False))
 
 
-def covered(members: DataFrame, similarity: float, most: int = 16) -> DataFrame:
+def settled(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray, dealt: np.ndarray, similarity: float, parts: int, most: int) -> np.ndarray:
+    """Which members of one class go: the rounds of ``covered`` from ``parts`` parts on.
+
+    ``flat`` holds the members' sets one after the other, ``sizes`` their sizes; ``order`` is a member's place by ``best`` and
+    ``dealt`` the hash that deals it to a part. What a head has in common with the others is counted over the members
+    that each of its shingles is in, so members without a common shingle cost nothing.
+    """
+    n = len(sizes)
+    number = np.unique(flat, return_inverse=True)[1]
+    of = np.repeat(np.arange(n), sizes)
+    by_shingle = np.argsort(number, kind="stable")
+    holders, ends = of[by_shingle], np.cumsum(np.bincount(number)) if len(number) else np.zeros(0, np.int64)
+    edges, own = np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def near(k: int) -> np.ndarray:
+        lists = [holders[edges[x] : edges[x + 1]] for x in number[own[k] : own[k + 1]].tolist()]
+        both = np.bincount(np.concatenate(lists), minlength=n) if lists else np.zeros(n, np.int64)
+        small, large = np.minimum(sizes, sizes[k]), np.maximum(sizes, sizes[k])
+        out = (both * (1 + similarity) >= similarity * (small + large) - 1e-9) & (small >= similarity * large - 1e-9)
+        out[k] = False
+        return out
+
+    left, gone = np.argsort(order), np.zeros(n, bool)
+    while len(left) > 1:
+        heads = left[np.sort(np.unique(dealt[left] % parts, return_index=True)[1])]
+        found = [near(k) for k in heads.tolist()]
+        stays = [not any(found[j][k] for j in range(i)) for i, k in enumerate(heads.tolist())]
+        goes = np.zeros(n, bool)
+        for own_near, stay in zip(found, stays):
+            goes |= own_near & stay
+        goes_now = np.zeros(n, bool)
+        goes_now[left] = goes[left]
+        gone |= goes_now
+        goes_now[heads[stays]] = True
+        left, parts = left[~goes_now[left]], min(parts * 4, most)
+    return gone
+
+
+def settle(members: DataFrame, similarity: float, parts: int, most: int) -> DataFrame:
+    """``node`` of what goes of ``members`` whose classes are small enough for a task: each class is read by one."""
+    def run(t: pa.Table) -> pa.Table:
+        sets = t.column("s").combine_chunks()
+        sizes = np.diff(sets.offsets.to_numpy())
+        flat = sets.flatten().to_numpy(zero_copy_only=False)
+        # a null id stands last, as in ``best``; Python cannot compare it
+        best = [(b["none"], 0 if b["none"] else b["doc_id"], b["uid"]) for b in t.column("best").to_pylist()]
+        order = np.argsort(sorted(range(len(best)), key=best.__getitem__))
+        gone = settled(flat, sizes, order, t.column("dealt").to_numpy(), similarity, parts, most)
+        return pa.table({"node": t.column("node").filter(pa.array(gone))})
+
+    rows = members.select("root", "node", "s", "best", F.xxhash64("node").alias("dealt"))
+    return rows.groupBy("root").applyInArrow(run, "node long")
+
+
+def covered(members: DataFrame, similarity: float, most: int = 16, small: int = 4096, hashes: int = 1 << 21) -> DataFrame:
     """``node`` of all ``members`` (``node``, ``root``, ``best``, ``s``) that are alike to one of their class that stays.
 
     A round takes heads of each class, in the first round its smallest ``best``, later the smallest of each of 4 and then ``most``
     parts by hash. A head that is not alike to a smaller head stays; members alike to one that stays go. The others go
-    into the next round, until no class has two left. So no two that stay are alike, none goes without its partner, and a class costs
-    its members times ``most`` comparisons a round, whatever its size.
+    into the next round, until no class has two left. So no two that stay are alike, and none goes without its partner.
+
+    Classes of ``small`` members and ``hashes`` shingles at most go through their rounds in one task. Larger ones go through them as
+    joins, one class in many tasks, until they are as small; they have up to a sixteenth of their members as heads, so
+    that the rounds grow with the logarithm of the class and not with it (from ``WIDEST`` heads on, with the class again).
     """
     now, parts, gone = members, 1, None
     while True:
-        part = F.pmod(F.xxhash64("node"), F.lit(parts))
-        ids = lookup(now.groupBy("root", part.alias("part")).agg(F.min("best").alias("first")).select(F.col("first.uid").alias("node")), "heads")
-        heads = materialised(now.join(ids, "node").select("root", F.col("node").alias("head"), F.col("best").alias("first"), F.col("s").alias("t")), "head-sets")
+        sizes = lookup(now.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("held")).where("n > 1"), "class-sizes")
+        fits = (F.col("n") <= small) & (F.col("held") <= hashes)
+        goes = lookup(settle(now.join(sizes.where(fits).select("root"), "root", "left_semi"), similarity, parts, most), "settled")
+        gone = goes if gone is None else gone.unionByName(goes)
+        if not sizes.where(~fits).take(1):
+            return gone
+        wide = F.lit(parts) if parts < most else F.greatest(F.lit(parts), F.least(F.ceil(F.col("n") / 16), F.lit(WIDEST))).cast("int")
+        wide = sizes.where(~fits).select("root", wide.alias("parts"), F.ceil(F.col("n") / PART).cast("int").alias("deals"))
+        now = now.join(wide, "root")
+        hashed = F.xxhash64("node")
+        ids = lookup(now.groupBy("root", F.pmod(hashed, F.col("parts")).alias("part")).agg(F.min("best").alias("first")).select(F.col("first.uid").alias("node")), "heads")
+        heads = materialised(now.join(ids, "node").select("root", F.col("node").alias("head"), F.col("best").alias("first"), F.col("s").alias("t"), "deals"), "head-sets")
         if parts > 1:
             other = heads.select("root", F.col("first").alias("smaller"), F.col("t").alias("u"))
             waits = heads.join(other, "root").where((F.col("smaller") < F.col("first")) & alike(F.col("t"), F.col("u"), similarity)).select("head").distinct()
             heads = materialised(heads.join(lookup(waits, "waiting"), "head", "left_anti"), "staying")
-        near = now.join(heads, "root").where((F.col("node") != F.col("head")) & alike(F.col("s"), F.col("t"), similarity))
+        now = now.select(*members.columns, F.pmod(hashed, F.col("deals")).cast("int").alias("deal"))
+        asked = heads.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+        near = now.join(asked, ["root", "deal"]).where((F.col("node") != F.col("head")) & alike(F.col("s"), F.col("t"), similarity))
         goes = lookup(near.select("node").distinct(), "covered")
-        gone = goes if gone is None else gone.unionByName(goes)
-        rest = now.join(goes, "node", "left_anti").join(heads.select(F.col("head").alias("node")), "node", "left_anti")
-        rest = materialised(rest, "undecided")
-        crowded = lookup(rest.groupBy("root").count().where("count > 1").select("root"), "undecided-classes")
-        if not crowded.take(1):
-            return gone
-        now, parts = rest.join(crowded, "root", "left_semi"), min(parts * 4, most)
+        gone = gone.unionByName(goes)
+        rest = now.select(*members.columns).join(goes, "node", "left_anti").join(heads.select(F.col("head").alias("node")), "node", "left_anti")
+        now, parts = materialised(rest, "undecided"), min(parts * 4, most)
 
 
 def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, lanes: int = 4,

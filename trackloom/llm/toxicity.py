@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import batches, fold, labelled_sample, logistic_fit, packed, texts_in_python, utf8
+from trackloom.llm.common import batches, fold, give_back, labelled_sample, logistic_fit, packed, texts_in_python, utf8
 
 #: Bytes of a window, and of it before the piece that it is taken for.
 WINDOW, BEFORE = 64, 24
@@ -159,7 +159,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, texts: int = 10_000,
                  label: str = "toxic") -> Model:
     """A model from at most ``texts`` labelled texts (a fifth of them toxic), whole and of any length, whose id passes ``learn``."""
     sample = labelled_sample(docs, labels, learn, {1: texts // 5, 0: texts - texts // 5}, id, text, label)
-    return fit([t for t, y in sample if y], [t for t, y in sample if not y])
+    toxic, ordinary = [t for t, y in sample if y], [t for t, y in sample if not y]
+    del sample
+    model = fit(toxic, ordinary)
+    del toxic, ordinary
+    give_back()  # the driver goes on with other stages
+    return model
 
 
 def with_toxicity(docs: DataFrame, model: Model, whole: bool = True, id: str = "doc_id", text: str = "text") -> DataFrame:
