@@ -270,3 +270,19 @@ def test_run_gives_packed_pieces(spark, sf):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
     assert zlib.crc32(bytes(out.first().ids)) >= 0
+
+
+def test_tokens_do_not_depend_on_what_a_worker_remembers(monkeypatch):
+    from tokenizers import Tokenizer
+
+    draw = np.random.default_rng(3)
+    texts = [" ".join("".join(draw.choice(list("abcé'1!"), 4)) for _ in range(50)) + " x\x0b漢 don't" for _ in range(40)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(packing, "REMEMBERED", 150)
+    ids = packing.Ids(TOKENIZER)
+    assert packing.worker_ids(TOKENIZER) is packing.worker_ids(TOKENIZER) and ids.encoder is packing.Ids(TOKENIZER).encoder
+    for _ in range(2):
+        assert [x for k in range(0, 40, 3) for x in ids.of(texts[k : k + 3])] == want
+    learnt = []
+    monkeypatch.setattr(ids, "learn", lambda parts, whole: learnt.append(parts))
+    assert ids.of(texts[-1:]) == want[-1:] and learnt == [set()]

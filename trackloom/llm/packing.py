@@ -6,6 +6,8 @@ import os
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +18,26 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import batches, texts_in_python, utf8
 from trackloom.session import materialised
 
-#: Parts of words whose ids a task remembers before it starts anew: some 300 bytes each, 120 MB in all.
-REMEMBERED = 400_000
+#: Parts of words whose ids a worker remembers before it starts anew, and as many before them: some 300 bytes each, 180 MB in all.
+REMEMBERED = 300_000
 #: Texts in which the tokenizer's own parting rules need no more than the parts below: no character changes but by case.
 SIMPLE = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*")
 #: Fixed by the tokenizer file: runs of letters, contractions, single digits, runs of anything else but white space.
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
+@lru_cache(1)
+def encoders(path: str) -> tuple:
+    """The tokenizer of a file, and one of the same model for parts that are parted and in lower case already; read once a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = Tokenizer.from_file(path)
+    parts = Tokenizer(whole.model)
+    parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return whole, parts
+
+
 class Ids:
     """Token ids of texts as little-endian 32-bit numbers, remembered by part of a word.
 
@@ -33,30 +47,33 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
-        from tokenizers import Tokenizer
-
-        self.encoder = Tokenizer.from_file(path)
+        self.encoder, self.simple = encoders(path)
         self.added = [t.content.lower() for t in self.encoder.get_added_tokens_decoder().values()]
         vocabulary = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def parts(self, text: str) -> list[str]:
+    def parts(self, text: str, whole: set[str]) -> list[str]:
+        """The words that the tokenizer gets whole are added to ``whole``."""
         if SIMPLE.fullmatch(text):
             return PARTS.findall(text.lower())
         out: list[str] = []
         for word in text.replace("\n", " ").replace("\t", " ").split(" "):
-            out += PARTS.findall(word.lower()) if SIMPLE.fullmatch(word) else [word]
+            if SIMPLE.fullmatch(word):
+                out += PARTS.findall(word.lower())
+            else:
+                out.append(word)
+                whole.add(word)
         return out
 
-    def learn(self, parts: set[str]) -> None:
+    def learn(self, parts: set[str], whole: set[str]) -> None:
         """Some parts at a time: the tokenizer's answers are many times as large as the ids."""
-        simple = [p for p in parts if PARTS.fullmatch(p) and SIMPLE.fullmatch(p)]  # one token with an end each
+        simple = list(parts - whole)  # one token with an end each
         for k in range(0, len(simple), 500):
             own = simple[k : k + 500]
-            ids = np.array(self.encoder.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.simple.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             raw = ids.tobytes()
             if len(cuts) == len(own) + 1:
@@ -67,18 +84,39 @@ class Ids:
             self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(own, self.encoder.encode_batch_fast(own, add_special_tokens=False)))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        whole = [any(a in t.lower() for a in self.added) for t in texts]
+        whole = [any(a in low for a in self.added) for low in map(str.lower, texts)]
         known = iter(self.of_parts([t for t, own in zip(texts, whole) if not own]))
         return [np.array(self.encoder.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if own else next(known) for t, own in zip(texts, whole)]
 
     def of_parts(self, texts: list[str]) -> list[bytes]:
-        parted = [self.parts(t) for t in texts]
-        missing = set().union(*parted).difference(self.known)
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = set().union(*parted)
-        self.learn(missing)
-        return [b"".join([self.known[p] for p in parts]) for parts in parted]
+        """Each part of a batch is looked up once; the texts' ids are put together by its number."""
+        whole: set[str] = set()
+        parted = [self.parts(t, whole) for t in texts]
+        every = list(chain.from_iterable(parted))
+        part = pa.array(every, pa.large_string()).dictionary_encode().indices.to_numpy()  # numbered as they first appear
+        firsts = np.flatnonzero(part > np.maximum.accumulate(np.concatenate([[-1], part[:-1]])))
+        distinct = [every[k] for k in firsts.tolist()]
+        ids = list(map(self.known.get, distinct))
+        absent = [k for k, own in enumerate(ids) if own is None]
+        again = {distinct[k]: self.older[distinct[k]] for k in absent if distinct[k] in self.older}
+        if len(self.known) + len(absent) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        self.known.update(again)
+        self.learn({distinct[k] for k in absent} - again.keys(), whole)
+        for k in absent:
+            ids[k] = self.known[distinct[k]]
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[part])])
+        raw = flat[np.repeat(starts[part] - ends[:-1], sizes[part]) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[np.cumsum([0, *map(len, parted)])]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+@lru_cache(1)
+def worker_ids(path: str) -> Ids:
+    """One for all tasks of a worker, which share most of their parts."""
+    return Ids(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,9 +130,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
     last = np.array([end], "<u4").tobytes()
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, task, seen = Ids(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        ids, task, seen = worker_ids(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for big in it:
-            for b in batches(big, 256):
+            for b in batches(big, 500):
                 out: list[list] = [[], [], [], [], [], []]
                 found = ids.of([t.decode() for t in utf8(b.column("text"))])
                 for doc_id, all_ids in zip(b.column("doc_id").to_pylist(), found):
@@ -108,7 +146,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)] + [pa.array([task] * len(out[0]), pa.int32())],
                                                  names=["doc_id", "piece", "start", "length", "ids", "nth", "task"])
-        ids.known.clear()
 
     return texts_in_python(rows, run, "doc_id long, piece int, start long, length long, ids binary, nth long, task int")
 
