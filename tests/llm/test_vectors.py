@@ -107,6 +107,38 @@ def test_long_lists_are_dealt_out_without_loss(spark, crowd, monkeypatch):
     assert found(near_vectors(frame(spark, crowd), cosine=0.95)) == brute(crowd, 0.95)
 
 
+@pytest.mark.parametrize("held, lists", [(30, (4,)), (7, (16,)), (10_000, (16,))])
+def test_large_labels_are_dealt_out_in_blocks_without_loss(spark, crowd, monkeypatch, held, lists):
+    monkeypatch.setattr(vectordedup, "BLOCK", held)
+    monkeypatch.setattr(vectordedup, "PART", 50)
+    monkeypatch.setattr(vectordedup, "LISTS", lists)
+    assert found(near_vectors(frame(spark, crowd), cosine=0.95)) == brute(crowd, 0.95)
+
+
+def test_vectors_travel_once_to_a_block_not_once_to_a_list(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    rows = [(k, 0, [float(v) for v in draw.normal(size=6).astype(np.float32)]) for k in range(400)]
+    met = []
+    kept = vectordedup.materialised
+
+    def watched(df, name):
+        made = kept(df, name)
+        met.append((name, made.count()))
+        return made
+
+    monkeypatch.setattr(vectordedup, "materialised", watched)
+    monkeypatch.setattr(vectordedup, "LISTS", (16,))
+    assert found(near_vectors(frame(spark, rows), cosine=0.9)) == brute(rows, 0.9)
+    assert dict(met)["lists"] == 400  # some 4 lists a vector before
+
+
+def test_vectors_of_doubles_are_compared_as_they_are(spark):
+    one = [1.0, 1e-9, 0.0]  # less than single precision tells apart from the next
+    rows = [(1, 0, one), (2, 0, [1.0, 2e-9, 0.0]), (3, 0, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert found(near_vectors(df)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_no_vectors(spark):
     assert near_vectors(frame(spark, [])).count() == 0
     assert found(near_vectors(frame(spark, [(4, None, [1.0]), (2, 1, None)]))) == [(2, 0, 2, True), (4, 0, 4, True)]

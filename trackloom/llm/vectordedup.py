@@ -13,18 +13,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackloom.llm.components import components
 from trackloom.session import materialised
 
 #: Vectors that the index is fitted to at most, the numbers of lists tried, components of a subspace, codes of a subspace.
 SAMPLE, LISTS, WIDTH, CODES = 20_000, (1, 4, 16, 64, 256, 1024), 8, 256
-#: Vectors of a list that one task holds as members, and that it is asked about; longer lists are dealt out by parts.
-PART = 8192
-#: What copying a vector to one more list costs, counted in comparisons.
+#: Vectors of a label that one task holds as members of their lists, and that it is asked about; larger labels are dealt out by parts.
+BLOCK, PART = 32768, 8192
+#: What asking about a vector in one more list costs, counted in comparisons.
 COPY = 300
+#: Pairs that a task has table distances of at a time.
+PAIRS = 2**21
 #: Rounding of sums of products of unit vectors, and of the single-precision tables.
 SLACK, TABLE_SLACK = 1e-9, 1e-5
 
@@ -80,7 +84,7 @@ class Index:
 
 def fitted(x: np.ndarray, radius: float, per_label: float) -> Index:
     """An index for lists of ``per_label`` vectors in all, from unit vectors ``x``. Of the numbers of lists that with the least
-    work is taken: lists that a vector is asked about in, by their length and the cost of the copy."""
+    work is taken: lists that a vector is asked about in, by their length and the cost of asking."""
     best: tuple[float, np.ndarray] | None = None
     for k in LISTS:
         if best and (len(x) < 20 * k or per_label < 20 * k):
@@ -103,7 +107,20 @@ def unit(flat: np.ndarray) -> np.ndarray:
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
-    return np.stack([np.pad(np.asarray(v, float), (0, dims - len(v))) for v in column.to_pylist()]) if len(column) else np.zeros((0, dims))
+    """Rows of ``dims`` numbers; shorter vectors are zero beyond their end."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = pc.list_value_length(whole).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(n), dims))
+    out[np.arange(dims) < n[:, None]] = pc.list_flatten(whole).to_numpy(zero_copy_only=False)
+    return out
+
+
+def packed_rows(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
+
+
+def unpacked_rows(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -130,13 +147,13 @@ def linked_in(index: Index, at: int, members: dict[str, np.ndarray], asking: dic
     count = np.zeros(len(asking["node"]), np.int64)
     nodes, place = np.unique(np.concatenate([asking["node"], members["node"]]), return_inverse=True)
     root, links = np.arange(len(nodes)), []
-    reach = ((index.radius + members["error"]) ** 2 + TABLE_SLACK).astype(np.float32)
-    for start in range(0, len(count), 256):
-        some = slice(start, start + 256)
-        far = np.zeros((len(count[some]), len(reach)), np.float32)
-        for k, table in enumerate(index.tables(asking["x"][some], at)):
-            far += table[:, members["codes"][:, k]]
-        a, m = np.nonzero(far <= reach)
+    reach = ((index.radius + members["error"]) ** 2 + TABLE_SLACK).astype(np.float32)[:, None]
+    step = max(1, min(256, PAIRS // max(1, len(reach))))
+    for start in range(0, len(count), step):
+        far = np.zeros((len(reach), len(count[start : start + step])), np.float32)
+        for k, table in enumerate(index.tables(asking["x"][start : start + step], at)):
+            far += np.ascontiguousarray(table.T)[members["codes"][:, k]]
+        m, a = np.nonzero(far <= reach)
         for part in range(0, len(a), 65536):
             i, j = a[part : part + 65536] + start, m[part : part + 65536]
             near = np.einsum("nk,nk->n", asking["x"][i], members["x"][j]) >= cosine
@@ -147,6 +164,32 @@ def linked_in(index: Index, at: int, members: dict[str, np.ndarray], asking: dic
     return count, [(int(nodes[a]), int(nodes[b])) for a, b in links]
 
 
+def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As few of the links as connect what all of them connect."""
+    if not links:
+        return links
+    nodes, place = np.unique(np.array(links, np.int64), return_inverse=True)
+    i, j = place.reshape(-1, 2).T
+    return [(int(nodes[a]), int(nodes[b])) for a, b in unite(np.arange(len(nodes)), i, j)]
+
+
+def linked_block(index: Index, members: dict[str, np.ndarray], asking: dict[str, np.ndarray], cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """``linked_in`` over all lists that the members are in (``home``): each is asked about the vectors that it can hold a neighbour of."""
+    count, links = np.zeros(len(asking["node"]), np.int64), []
+    probes = [index.lists(asking["x"][k : k + 1024])[1] for k in range(0, len(count), 1024)]
+    probes = np.concatenate(probes) if probes else np.zeros((0, len(index.centres)), bool)
+    for cell in np.unique(members["home"]).tolist():
+        asked = np.flatnonzero(probes[:, cell])
+        if len(asked):
+            own = members["home"] == cell
+            some, used = linked_in(index, cell, {k: v[own] for k, v in members.items()}, {k: v[asked] for k, v in asking.items()}, cosine)
+            count[asked] += some
+            links += used
+            if len(links) > len(count) + len(members["node"]):
+                links = spanning(links)
+    return count, spanning(links)
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, id: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` of every row.
 
@@ -160,9 +203,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id: str = "vec_id", l
 
     Rows with equal label and vector are one class, counted map-side before anything is compared, so copies cost nothing;
     a class has two 64-bit hashes as its key. The index is fitted to ``SAMPLE`` classes by hash at most and holds all. Each
-    class is a member of one list of its label and is asked about in the lists that can hold a neighbour of it. Lists longer than
-    ``PART`` are dealt out as pairs of parts. A task returns a count for each vector it was asked about and fewer links than
-    vectors, so that n near copies of each other make no n^2 rows.
+    class is a member of one list of its label and is asked about in the lists that can hold a neighbour of it. A task holds the
+    lists of a whole label, or ``BLOCK`` members of neighbouring lists of it, and is asked about ``PART`` vectors: a vector travels
+    once to each block that has a list of its, not once to each list. A task returns a count for each vector it was asked about
+    and fewer links than vectors, so that n near copies of each other make no n^2 rows.
     """
     spark, radius = vectors.sparkSession, float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     v = F.col(f"`{vector}`").cast("array<double>")
@@ -178,50 +222,74 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id: str = "vec_id", l
     sample = classes.select("label", "p", "q", "v").orderBy("p", "q", "label").limit(SAMPLE).toArrow()
     index = fitted(unit(matrix(sample.column("v"), dims)), radius, total / max(1, labels))
 
+    held = vectors.schema[vector].dataType
+    kind = np.float32 if isinstance(held, T.ArrayType) and isinstance(held.elementType, T.FloatType) else np.float64  # as it came, so exact
+
     def listed(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in it:
             for start in range(0, big.num_rows, 1024):
                 b = big.slice(start, 1024)
-                x = unit(matrix(b.column("v"), dims))
-                home, probes = index.lists(x)
+                raw = matrix(b.column("v"), dims)
+                x = unit(raw)
+                home = squares(x, index.centres).argmin(axis=1)
                 codes, error = index.codes(x, home)
-                row, cell = np.nonzero(probes)
-                raw = pa.array([r.tobytes() for r in x], pa.binary())
-                kept = [b.column(c).take(pa.array(row)) for c in ("label", "node", "n")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(cell, pa.int32()), pa.array(cell == home[row]), raw.take(pa.array(row)),
-                                                  pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(row)), pa.array(error[row])],
-                                                 names=["label", "node", "n", "cell", "member", "x", "codes", "error"])
-
-    spread = classes.select("label", "node", "n", "v").mapInArrow(
-        listed, "label string, node long, n long, cell int, member boolean, x binary, codes binary, error double")
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("label", "node", "n")], pa.array(home, pa.int32()), packed_rows(raw.astype(kind)),
+                                                  packed_rows(codes), pa.array(error)], names=["label", "node", "n", "home", "x", "codes", "error"])
+
+    spread = classes.select("label", "node", "n", "v").mapInArrow(listed, "label string, node long, n long, home int, x binary, codes binary, error double")
     spread = materialised(spread, "lists")
-    sizes = spread.groupBy("label", "cell").agg(F.ceil(F.count_if("member") / PART).cast("int").alias("parts"), F.ceil(F.count("*") / PART).cast("int").alias("turns"))
-    sizes = materialised(sizes.where("turns > 1"), "long-lists")
-    dealt = spread.join(sizes, ["label", "cell"], "left").fillna(1, ["parts", "turns"])
-    some = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
-    # as a member a vector is in one part and there for all turns, as asking it is in one turn and meets all parts
-    members = dealt.where("member").withColumn("part", some("parts", "part")).withColumn("turn", upto("turns")).withColumn("asks", F.lit(False))
-    asking = dealt.withColumn("turn", some("turns", "turn")).withColumn("part", upto("parts")).withColumn("asks", F.lit(True))
-    meeting = members.unionByName(asking).drop("member", "parts", "turns")
+    run = Window.partitionBy("label")
+    cells = spread.groupBy("label", "home").agg(F.count("*").alias("many")).withColumn("total", F.sum("many").over(run))
+    cells = cells.where(F.col("total") > min(BLOCK, PART)).withColumn("start", F.sum("many").over(run.orderBy("home")) - F.col("many"))
+    turns = F.ceil(F.max("total") / PART).cast("int").alias("turns")
+    spans = F.map_from_entries(F.collect_list(F.struct("home", F.struct("start", "many"))))
+    laid = F.when(F.max("total") > BLOCK, F.transform(F.sequence(F.lit(0), F.lit(len(index.centres) - 1)), lambda i: F.try_element_at(spans, i)))
+    large = materialised(cells.groupBy("label").agg(turns, laid.alias("spans")), "large-labels")
+    dealt = spread.join(large, "label", "left").withColumn("turns", F.coalesce("turns", F.lit(1)))
+    some = lambda many, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), many)
+    block = lambda place: F.floor(place / BLOCK).cast("int")
+    home = F.get("spans", F.col("home"))
+    blocks = F.array_distinct(F.flatten(F.transform("probes", lambda i: F.when(F.get("spans", i).isNotNull(), F.sequence(
+        block(F.get("spans", i)["start"]), block(F.get("spans", i)["start"] + F.get("spans", i)["many"] - 1))).otherwise(F.array().cast("array<int>")))))
+    # as a member a vector is in one block and there for all turns, as asking it is in one turn and meets all its blocks
+    members = dealt.select("label", "node", "n", "home", "x", "codes", "error",
+                           F.when(F.col("spans").isNull(), 0).otherwise(block(home["start"] + some(home["many"], "part"))).alias("block"),
+                           F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("home", "int"), ("codes", "binary"), ("error", "double"))]
+
+    def probing(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in it:
+            for start in range(0, big.num_rows, 1024):
+                b = big.slice(start, 1024)
+                row, cell = np.nonzero(index.lists(unit(unpacked_rows(b.column("x"), kind, dims).astype(float)))[1])
+                ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell, pa.int32()))],
+                                                 names=[*b.schema.names, "probes"])
+
+    asks = dealt.select("label", "node", "n", "x", "turns", "spans")
+    few = asks.where("spans is null").withColumn("block", F.lit(0))
+    many = asks.where("spans is not null").drop("spans").mapInArrow(probing, "label string, node long, n long, x binary, turns int, probes array<int>")
+    many = many.join(large.select("label", "spans"), "label").withColumn("block", F.explode(blocks))
+    asking = few.drop("spans").unionByName(many.drop("spans", "probes")).withColumn("turn", some(F.col("turns"), "turn").cast("int"))
+    meeting = members.unionByName(asking.select("label", "node", "n", *nothing[:1], "x", *nothing[1:], "block", "turn"))
 
     def compared(t: pa.Table) -> pa.Table:
-        def side(asks: bool) -> dict[str, np.ndarray]:
-            own = t.filter(pa.compute.equal(t.column("asks"), asks))
-            return {"node": own.column("node").to_numpy(), "weight": own.column("n").to_numpy(), "error": own.column("error").to_numpy(),
-                    "x": np.frombuffer(b"".join(own.column("x").to_pylist()), float).reshape(-1, dims),
-                    "codes": np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(own.num_rows, -1) if own.num_rows else np.zeros((0, 1), np.uint8)}
-
-        members, asking = side(False), side(True)
-        if not len(members["node"]) or not len(asking["node"]):
+        def side(own: pa.Table) -> dict[str, np.ndarray]:
+            return {"node": own.column("node").to_numpy(), "weight": own.column("n").to_numpy(), "x": unit(unpacked_rows(own.column("x"), kind, dims).astype(float))}
+
+        there = t.column("home").is_valid()
+        held, asking = t.filter(there), side(t.filter(pc.invert(there)))
+        if not held.num_rows or not len(asking["node"]):
             return pa.table([pa.array([], pa.int64())] * 3, names=["node", "links", "other"])
-        count, links = linked_in(index, t.column("cell")[0].as_py(), members, asking, cosine)
+        members = {**side(held), "home": held.column("home").to_numpy(), "error": held.column("error").to_numpy(),
+                   "codes": unpacked_rows(held.column("codes"), np.uint8, len(index.books))}
+        count, links = linked_block(index, members, asking, cosine)
         at = np.flatnonzero(count)
         nodes = np.concatenate([asking["node"][at], np.array([a for a, _ in links], np.int64)])
         return pa.table([pa.array(nodes), pa.array([*count[at].tolist(), *[None] * len(links)], pa.int64()),
                          pa.array([*[None] * len(at), *[b for _, b in links]], pa.int64())], names=["node", "links", "other"])
 
-    found = materialised(meeting.groupBy("label", "cell", "part", "turn").applyInArrow(compared, "node long, links long, other long"), "found-links")
+    found = materialised(meeting.groupBy("label", "block", "turn").applyInArrow(compared, "node long, links long, other long"), "found-links")
     counts = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = classes.select("label", "p", "q", "node", "least", "n").join(counts, "node", "left").join(groups, "node", "left")
