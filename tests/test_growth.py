@@ -5,7 +5,10 @@ import gzip
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from trackloom.catalog import entries, fixtures as X
+from trackloom.functions.space import prefer_full_space, remap_guarded
 from trackloom.operators import geometry as G, latent as M, smooth as S
 from trackloom.operators.joins import labelled_only
 from trackloom.session import scope
@@ -116,3 +119,42 @@ def test_tracks_are_shuffled_without_arrays(spark):
 def test_seeds_are_combined_once(spark, sf):
     with scope(spark):
         assert "o_orderkey" not in plan_of(ALL["smooth_tuned_single_view"].build(spark, sf))
+
+
+@pytest.mark.parametrize("name, others", [("valid_observations", 1), ("prefer_full_space", 1), ("triangulate_valid", 0), ("pose_from_views", 1),
+                                          ("leave_one_view_out_error", 3)])
+def test_frames_are_shuffled_once_for_all_steps(spark, sf, name, others):
+    """Windows, joins and groups on more keys find their rows where ``together`` put them: only groups of fewer keys are shuffled again."""
+    with scope(spark):
+        plan = plan_of(ALL[name].build(spark, sf))
+    assert plan.count("REPARTITION_BY_COL") >= 1 and plan.count("ENSURE_REQUIREMENTS") == others
+
+
+def test_steps_in_place_keep_rows_with_repeated_and_null_keys(spark):
+    rows = [(s, "v", f, k, n, float(i), None if i % 5 == 0 else 1.0) for i, (s, f, k, n) in enumerate(
+        [(s, f, k, n) for s in ("a", "b", None) for f in (1, 2, None) for k in ("p", "q", None) for n in (0, 1)] * 2)]
+    df = spark.createDataFrame(rows, "session string, view string, frame long, keypoint string, seed long, x double, y double")
+    keys = ["seed", "session", "view", "frame", "keypoint"]
+    box = df.select("session", "view", "frame").distinct().where("session <> 'b'").selectExpr("*", "1D AS box_x", "2D AS box_y", "3D AS box_w", "4D AS box_h")
+    u = df.where("x < 40").withColumn("x", F.col("x") + 0.5)
+    got = sorted(map(str, prefer_full_space(df, u, box, keys).collect()))
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+    plain = u.select(*keys, F.col("x").alias("ux"), F.col("y").alias("uy"), F.lit(True).alias("_u"))
+    both = remap_guarded(df.join(plain, keys, "left").join(box, ["session", "view", "frame"], "left"))
+    taken = F.col("_u").isNotNull() & F.col("box_x").isNotNull()
+    want = both.withColumns({"x": F.when(taken, F.col("ux")).otherwise(F.col("x")), "y": F.when(taken, F.col("uy")).otherwise(F.col("y"))}).select(*df.columns)
+    assert got == sorted(map(str, want.collect()))
+
+
+def test_frames_of_held_out_views_are_counted_by_bits(spark):
+    rows = [(n, s, f, v, k, float(i)) for i, (n, s, f, v, k) in enumerate((n, s, f, v, k) for n in (0, 1) for s in ("a", "b", None)
+            for f in (-3, 0, 5, 32768, 32769, 10**9, None) for v in ("v0", "v1") for k in ("nose", "paw") if (n, s) != (1, "b"))]
+    df = spark.createDataFrame(rows, "seed long, session string, frame long, view string, keypoint string, error double")
+    got = {r.seed: (r.head_px, r.all_px, r.n_frames) for r in G.leave_one_out_summary(df, ["nose"], ["seed"]).collect()}
+    one = df.toPandas()
+    for seed, part in one.groupby("seed"):
+        means = part.groupby(["session", "frame", "view"], dropna=False).agg(a=("error", "mean"))
+        heads = part[part.keypoint == "nose"].groupby(["session", "frame", "view"], dropna=False).agg(a=("error", "mean"))
+        assert np.allclose(got[seed][:2], (heads.a.mean(), means.a.mean()))
+        assert got[seed][2] == (12 if seed == 0 else 6)
+    assert G.leave_one_out_summary(df.where("1 = 0"), ["nose"]).collect()[0].n_frames == 0
