@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.catalog import entries, fixtures as X
 from trackloom.functions.space import prefer_full_space, remap_guarded
-from trackloom.operators import geometry as G, latent as M, smooth as S
+from trackloom.operators import geometry as G, latent as M, ordered as O, smooth as S
 from trackloom.operators.joins import labelled_only
 from trackloom.session import scope
 from trackloom.sources import markers as K
@@ -158,3 +158,49 @@ def test_frames_of_held_out_views_are_counted_by_bits(spark):
         assert np.allclose(got[seed][:2], (heads.a.mean(), means.a.mean()))
         assert got[seed][2] == (12 if seed == 0 else 6)
     assert G.leave_one_out_summary(df.where("1 = 0"), ["nose"]).collect()[0].n_frames == 0
+
+
+def test_tracks_are_shuffled_once_for_ensemble_and_smoother(spark, sf):
+    with scope(spark):
+        for name in ("smooth_single_view", "smoothing_likelihood", "smoothing_choice"):
+            plan = plan_of(ALL[name].build(spark, sf))
+            scans = plan.count("Scan parquet")
+            assert plan.count("REPARTITION_BY_COL") >= 1 and scans == plan.count("REPARTITION_BY_COL")
+            assert "partial_avg" not in plan.split("REPARTITION_BY_COL")[1].split("Scan parquet")[0]
+
+
+def test_neighbours_are_shuffled_without_structs(spark):
+    df = spark.createDataFrame([("a", f, float(f * f) if f % 3 else None) for f in range(10)], "k string, frame long, x double")
+    out = O.neighbours(df, ["k"], "frame", ["x"], ahead=True, chunk=4)
+    below = plan_of(out).split("Exchange")[-1]
+    assert "struct" not in below
+    at = lambda f: (float(f * f) if f % 3 else None) if 0 <= f < 10 else None
+    for r in out.collect():
+        assert (r.has_prev, r.prev_x, r.has_next, r.next_x) == (r.frame > 0, at(r.frame - 1), r.frame < 9, at(r.frame + 1))
+
+
+def test_points_are_shuffled_before_their_sums_are_made(spark, sf):
+    """After an ensemble, the views of a point come from many tasks: ten sums of each would be shuffled."""
+    with scope(spark):
+        for name in ("triangulate", "triangulate_bent"):
+            head, _, below = plan_of(ALL[name].build(spark, sf)).partition("REPARTITION_BY_COL")
+            assert "partial_sum(s9" not in below.split("Scan")[0]
+
+
+def test_projection_is_not_repeated_in_filters(spark, sf):
+    with scope(spark):
+        plan = G.project(X.world(spark, sf), X.cameras(spark, sf, (-0.05, 0.01))).where("px is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull((" not in plan and all("r00" not in line for line in plan.split("\n") if line.strip(" :+-").startswith("Filter"))
+
+
+def test_keypoints_of_a_frame_move_together(spark, sf):
+    with scope(spark):
+        plan = plan_of(ALL["motion_energy"].build(spark, sf))
+    assert plan.count("REPARTITION_BY_COL") == 2 and "_w0" not in plan.split("REPARTITION_BY_COL")[1]  # read for the ranges and for their ends
+
+
+def test_index_of_a_snippet_is_not_shuffled_twice(spark, tmp_path):
+    df = spark.createDataFrame([("s", f, k, f + 0.5) for f in (3, 1, 2) for k in ("a", "b")], "session string, frame long, keypoint string, x double")
+    K.write_markers(df, str(tmp_path / "t"), ["a", "b"], ["x"], ["session"])
+    (file,) = (tmp_path / "t").rglob("part-*")
+    assert gzip.open(file, "rt").read().splitlines()[3:] == ["1,1.5,1.5", "2,2.5,2.5", "3,3.5,3.5"]
