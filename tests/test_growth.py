@@ -204,3 +204,9 @@ def test_index_of_a_snippet_is_not_shuffled_twice(spark, tmp_path):
     K.write_markers(df, str(tmp_path / "t"), ["a", "b"], ["x"], ["session"])
     (file,) = (tmp_path / "t").rglob("part-*")
     assert gzip.open(file, "rt").read().splitlines()[3:] == ["1,1.5,1.5", "2,2.5,2.5", "3,3.5,3.5"]
+
+
+def test_ingested_rows_are_not_shuffled_by_session(spark, sf):
+    with scope(spark):
+        plan = plan_of(ALL["ingest_new_predictions"].build(spark, sf))
+    assert "SortMergeJoin" not in plan and "LeftSemi, BuildRight" in plan
